@@ -1,11 +1,12 @@
 """Queries of this subpackage, and SQL where SQL can express them."""
 
-from . import chat, mixing, packing, quality
+from . import chat, langid, mixing, packing, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op8_packing": packing.op8_packing,
+    "op9_language_id": langid.op9_language_id,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLE = {
