@@ -1,11 +1,12 @@
 """Queries of this subpackage, and SQL where SQL can express them."""
 
-from . import chat, html_text, langid, mixing, packing, quality
+from . import chat, fingerprints, html_text, langid, mixing, packing, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op6_html_extraction": html_text.op6_html_extraction,
+    "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_packing": packing.op8_packing,
     "op9_language_id": langid.op9_language_id,
     "op10_quality_classifier": quality.op10_quality_classifier,
