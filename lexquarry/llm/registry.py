@@ -1,10 +1,11 @@
 """Queries of this subpackage, and SQL where SQL can express them."""
 
-from . import chat, fingerprints, html_text, langid, mixing, packing, quality
+from . import chat, fingerprints, html_text, langid, minhash, mixing, packing, quality
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op6_html_extraction": html_text.op6_html_extraction,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_packing": packing.op8_packing,
