@@ -60,11 +60,19 @@ def leaves(fp: Column) -> Column:
     return F.regexp_extract_all(fp, F.lit(r"[:.]([0-9a-f]{8})"), F.lit(1))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    own, other = F.array_distinct(leaves(a)), F.array_distinct(leaves(b))
+def _root(fp: str | Column) -> Column:
+    return F.substring_index(fp, "/", 1)
+
+
+def _alike(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
+    own, other = F.array_distinct(leaves_a), F.array_distinct(leaves_b)
     counts = F.struct(F.size(own).alias("a"), F.size(other).alias("b"), F.size(F.array_intersect(own, other)).alias("both"))
-    share = _let(counts, lambda n: n["both"].cast("double") / (n["a"] + n["b"] - n["both"]))
-    return F.when(F.substring_index(a, "/", 1) == F.substring_index(b, "/", 1), F.lit(1.0)).otherwise(share)
+    return F.when(root_a == root_b, F.lit(1.0)).otherwise(_let(counts, lambda n: n["both"].cast("double") / (n["a"] + n["b"] - n["both"])))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Of two fingerprints: 1 for equal texts, else the share of leaves in both."""
+    return _alike(_root(a), leaves(a), _root(b), leaves(b))
 
 
 def next_ids(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -84,21 +92,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document.
 
     Only ids and lengths decide which document follows; texts are shuffled once, by id. That one exchange serves
-    both joins: it gives each document's opening and fingerprint to the one before, and takes them in."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text").cast("string")).alias("text"))
+    both joins: it gives each document's opening, root and leaves to the one before, and takes them in."""
+    ids = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")  # an alias would hide that exchanges are alike
+    base = docs.select(ids, text_or_empty(F.col("text").cast("string")).alias("text"))
     known = base.where("doc_id is not null")
     lengths = known.groupBy("doc_id").agg((F.max(F.length("text")) / EDIT_SHARE).cast("int").alias("k"))
     follow = materialize(next_ids(lengths.select("doc_id")).join(lengths, "doc_id"), "next").withColumnRenamed("doc_id", "taker")
-    given = known.join(follow, F.col("doc_id") == F.col("next_id")).select("taker", F.struct(F.xxhash64("text").alias("h"), F.left("text", "k").alias("opening"), fingerprint(F.col("text")).alias("fp")).alias("n"))
-    given = given.groupBy("taker").agg(F.min("n").alias("n")).select("taker", F.col("n.opening").alias("opening"), F.col("n.fp").alias("next_fp"))
+    given = known.join(follow, F.col("doc_id") == F.col("next_id")).select("taker", F.struct(F.xxhash64("text").alias("h"), F.left("text", "k").alias("opening"), _let(fingerprint(F.col("text")), lambda fp: F.struct(F.substring_index(fp, "/", 1).alias("root"), F.unhex(F.array_join(leaves(fp), "")).alias("leaves"))).alias("tree")).alias("n"))
+    given = given.groupBy("taker").agg(F.min("n").alias("n")).select("taker", F.col("n.opening").alias("opening"), F.col("n.tree").alias("next_tree"))
     rows = known.join(given, F.col("doc_id") == F.col("taker"), "left").drop("taker")
-    alone = base.where("doc_id is null").withColumns({"opening": F.lit(None).cast("string"), "next_fp": F.lit(None).cast("string")})
+    alone = base.where("doc_id is null").withColumns({"opening": F.lit(None).cast("string"), "next_tree": F.lit(None).cast("struct<root:string,leaves:binary>")})
     k = (F.length("text") / EDIT_SHARE).cast("int")
     edited = F.concat(F.left("text", F.length("text") - k), F.left(F.coalesce("opening", F.lit("")), k))
     rows = rows.unionByName(alone).withColumn("edited", edited)
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fp")
-    near = lambda b: F.coalesce(likeness(F.col("fingerprint"), F.col(b)), F.lit(0.0))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fp").alias("near_next"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_tree")
+    of_next = F.coalesce(_alike(_root("fingerprint"), leaves(F.col("fingerprint")), F.col("next_tree.root"), F.regexp_extract_all(F.lower(F.hex("next_tree.leaves")), F.lit(".{8}"), F.lit(0))), F.lit(0.0))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), of_next.alias("near_next"))
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
