@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _shingles
@@ -71,38 +71,36 @@ def sketches(docs: DataFrame) -> DataFrame:
     return narrow.mapInPandas(run, "doc_id long, n_shingles long, key_a long, key_b long, sig array<int>, low binary")
 
 
-def _prefix(depth: int) -> Column:
-    """Hash of a row's first `depth` values in its tree."""
-    return F.xxhash64("tree", F.slice("sig", F.col("tree") * DEPTH + 1, depth))
+def _prefixes(sets: DataFrame, depth: int) -> DataFrame:
+    """vertex, tree, region (hash of the first `depth` values in the tree) for each tree."""
+    of_tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice("sig", t * DEPTH + 1, depth)))
+    return sets.select("vertex", F.posexplode(of_tree).alias("tree", "region"))
 
 
 def regions(sets: DataFrame) -> DataFrame:
     """sets: vertex, sig, low. Rows (region, block, vertex, low): those that share a region, with adaptive depth.
-    block is null in a region of at most CAP rows; larger ones at full depth come as pairs of blocks."""
-    open_rows = sets.select("vertex", "sig", "low", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    done = []
+    block is null in a region of at most CAP rows; larger ones at full depth come as pairs of blocks. Only
+    (vertex, tree, hash) is dealt by region; signatures follow where a region has several rows."""
+    open_rows, done = _prefixes(sets, BASE), []
     for depth in range(BASE, DEPTH + 1):
-        rows = open_rows.withColumn("region", _prefix(depth))
-        shared = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("region", "_r")
-        shared = materialize(shared, "regions")
-        large = shared.where(F.col("n") > CAP)
-        more = bool(large.limit(1).count())
-        small = rows.join(shared.where(F.col("n") <= CAP), F.col("region") == F.col("_r"))
-        done.append(small.select("region", F.lit(None).cast("string").alias("block"), "vertex", "low"))
-        if not more:
+        shared = open_rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("region", "_r")
+        rows = materialize(open_rows.join(shared.hint("merge"), F.col("region") == F.col("_r")).drop("_r"), "regions")
+        done.append(rows.where(F.col("n") <= CAP).select("region", F.lit(None).cast("string").alias("block"), "vertex"))
+        large = rows.where(F.col("n") > CAP)
+        if not large.limit(1).count():
             break
-        open_rows = rows.join(large, F.col("region") == F.col("_r")).select("vertex", "sig", "low", "tree", "region", "n")
-        if depth == DEPTH:
-            blocks = F.ceil(F.col("n") / (CAP // 2)).cast("int")
-            own = open_rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("vertex"), "blocks").cast("int"))
-            pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("-", F.least("own", j), F.greatest("own", j)))
-            done.append(own.select("region", F.explode(pair).alias("block"), "vertex", "low"))
+        if depth < DEPTH:
+            of_large = large.select(F.col("vertex").alias("_v"), F.col("tree").alias("_t"))
+            open_rows = _prefixes(sets.join(of_large.select("_v").distinct(), F.col("vertex") == F.col("_v"), "left_semi"), depth + 1)
+            open_rows = open_rows.join(of_large, (F.col("vertex") == F.col("_v")) & (F.col("tree") == F.col("_t"))).drop("_v", "_t")
         else:
-            open_rows = materialize(open_rows.drop("region", "n"), "dense")
+            own = large.withColumn("blocks", F.ceil(F.col("n") / (CAP // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("vertex"), "blocks").cast("int"))
+            pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("-", F.least("own", j), F.greatest("own", j)))
+            done.append(own.select("region", F.explode(pair).alias("block"), "vertex"))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
-    return out
+    return out.join(sets.select(F.col("vertex").alias("_v"), "low").hint("merge"), F.col("vertex") == F.col("_v")).drop("_v")
 
 
 def _similar(low: np.ndarray, least: float, step: int = 256) -> Iterator[tuple[int, np.ndarray]]:
@@ -179,7 +177,7 @@ def links(docs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between vertices: for each cell a spanning forest of its links."""
     wanted = cells.groupBy("vertex").agg(F.collect_list("cell").alias("cells"))  # at most TREES * blocks cells each
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = narrow.join(wanted, F.col("doc_id") == F.col("vertex")).select("vertex", "text", "cells")
+    texts = narrow.join(wanted.hint("merge"), F.col("doc_id") == F.col("vertex")).select("vertex", "text", "cells")
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,8 +206,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     vertices = materialize(named.groupBy(*keys).agg(F.min("doc_id").alias("vertex"), F.min_by("sig", "doc_id").alias("sig"), F.min_by("low", "doc_id").alias("low")), "sets")
     found = materialize(candidates(regions(vertices), percent), "cells")
     of_vertex = components(materialize(links(docs, found, percent), "links"), "a", "b")
-    label = vertices.select(*keys, "vertex").join(of_vertex, F.col("vertex") == F.col("id"), "left").select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.coalesce("component", "vertex").alias("component"))
-    out = rows.select("doc_id", "n_shingles", *keys).join(label, (F.col("key_a") == F.col("_a")) & (F.col("key_b") == F.col("_b")) & (F.col("n_shingles") > 0), "left")
+    label = vertices.select(*keys, "vertex").join(of_vertex.hint("merge"), F.col("vertex") == F.col("id"), "left").select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.coalesce("component", "vertex").alias("component"))
+    out = rows.select("doc_id", "n_shingles", *keys).join(label.hint("merge"), (F.col("key_a") == F.col("_a")) & (F.col("key_b") == F.col("_b")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
