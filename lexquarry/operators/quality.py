@@ -19,7 +19,7 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def valid_labels(labels: DataFrame, kind: str, id_col: str) -> DataFrame:
     """Rows with a kind and an id, neither 'Missing'; kind in capitals, PRIMARY or SECONDARY only."""
-    good = labels.where(F.col(kind).isNotNull() & F.col(id_col).isNotNull() & (F.col(kind) != "Missing") & (F.col(id_col) != "Missing"))
+    good = labels.where(F.col(kind).isNotNull() & F.col(id_col).isNotNull() & (F.col(kind) != "Missing") & (F.col(id_col).cast("string") != "Missing"))
     return good.withColumn(kind, F.upper(kind)).where(F.col(kind).isin("PRIMARY", "SECONDARY"))
 
 
@@ -28,7 +28,7 @@ def label_summary(labels: DataFrame, key: str, kind: str, item: str, kinds: list
     flags = [F.max((F.col(kind) == k).cast("int")).cast("boolean").alias(f"has_{k.lower()}") for k in kinds]
     return labels.groupBy(key).agg(
         F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"), *flags,
-        F.countDistinct(F.when(F.col(item) != "Missing", F.col(item))).alias("items"))
+        F.countDistinct(F.when(F.col(item).cast("string") != "Missing", F.col(item))).alias("items"))
 
 
 def distribution(rows: DataFrame, kind: str) -> DataFrame:

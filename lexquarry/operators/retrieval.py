@@ -215,7 +215,7 @@ def mmr(candidates: DataFrame, k: int = 25, trade: float = 0.7, by: str = "query
             repeat = similar if len(chosen) == 1 else np.maximum(repeat, similar)
         return g.iloc[chosen].assign(mmr_rank=range(1, len(chosen) + 1))
 
-    return candidates.groupBy(by).applyInPandas(choose, candidates.schema.add("mmr_rank", "int"))
+    return candidates.groupBy(by).applyInPandas(choose, candidates.schema.add("mmr_rank", "integer"))
 
 
 def expand_and_prune(ranked: DataFrame, k: int = 15, most_tokens: int = 1000, by: str = "document_id") -> DataFrame:

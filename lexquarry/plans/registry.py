@@ -1,4 +1,6 @@
 """All registered queries of the engine and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import corpus, relational
+
+QUERIES = corpus.QUERIES | relational.QUERIES
+ORACLE = corpus.ORACLE | relational.ORACLE

@@ -82,7 +82,8 @@ def pages(spark: SparkSession, path: str, parsers: list[Parser], pattern: str =
                 got, used, errors = None, None, []
                 for n, parser in enumerate(parsers):
                     try:
-                        if any(x.strip() for x in (found := parser(bytes(content)))):
+                        found = parser(bytes(content))
+                        if any(x.strip() for x in found):
                             got, used = found, n
                             break
                         errors.append(f"{n}: empty")
@@ -144,7 +145,7 @@ def xml_text(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("text", clean_page(F.coalesce(nodes(column), stripped))).withColumn("format", xml_format(column))
 
 
-_SECTION = "array<struct<ordinal:int,level:int,kind:string,title:string,text:string>>"
+_SECTION = T.ArrayType(T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("level", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("kind", "title", "text")]]))
 
 
 @F.pandas_udf(_SECTION)
