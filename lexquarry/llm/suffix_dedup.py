@@ -13,7 +13,7 @@ document and an earlier start). Documents are whole UTF-8 texts; strings never c
    common prefixes of WINDOW bytes start equal windows, and all but the first of them are removed.
 4. An anchor with more than CAP differing segments would be too much for a shard; its windows are grouped by a 128-bit
    hash instead, with minima taken before the shuffle.
-5. Removed spans go back to the documents by doc_id. One exchange of texts serves steps 3 and 5.
+5. Removed spans go back to the documents by doc_id.
 
 Defined results: null text is empty; rows with null doc_id lose nothing and remove nothing; rows with equal doc_id and equal
 text are one document (both lose the same bytes), with differing texts they are ordered by a hash of the text;
@@ -250,10 +250,9 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs)
     met = materialize(map_groups(_packed(texts, buckets), ["bucket"], _settle, "kind int, anchor long, doc_id long, th long, span long"), "runs")
-    segments = _segments(texts, met.where("kind > 0"))
+    segments = materialize(_segments(texts, met.where("kind > 0")), "segments")
     gone = map_groups(segments.where("kind = 1").drop("kind"), ["anchor"], _shard, "doc_id long, th long, span long").union(met.where("kind = 0").select("doc_id", "th", "span"))
-    if met.where("kind = 2").limit(1).count():
-        gone = gone.union(_hot(materialize(_segments(texts, met.where("kind = 2")), "hot")))
+    gone = gone.union(_hot(segments.where("kind = 2")))
     return texts, gone.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
 
 
