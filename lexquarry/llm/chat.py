@@ -13,7 +13,7 @@ Inside role and text three strings are escaped, so that every mark in the output
 back is exact: ``\`` becomes ``\b``, ``<`` becomes ``\l``, ``###`` becomes ``\h``; a role's ``: `` becomes ``:\s``.
 
 Defined results: null text and role are empty; null turn sorts first; null conv_id is a conversation of its
-own; rows of equal seq are ordered by kind, role and text; an empty log gives no rows. A rendered conversation is one
+own; rows of equal seq are ordered by kind (deltas last) and text; an empty log gives no rows. A rendered conversation is one
 value, so its size bounds the task that joins its turns; folding and rendering need no more than that.
 """
 
@@ -49,14 +49,13 @@ def fold(log: DataFrame) -> DataFrame:
     resets = F.when(F.col("kind").isin("edit", "regenerate", "message"), F.col("seq"))
     earlier = W.partitionBy("conv_id").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
     own = W.partitionBy("conv_id", "turn")
-    alive = log.withColumn("_cut", F.max(cuts).over(earlier)).where("_cut is null or seq > _cut").withColumn("_reset", F.max(resets).over(own)).where("_reset is null or seq >= _reset")
-    part = F.struct("seq", F.expr("case kind when 'delta' then 1 else 0 end").alias("k"), F.coalesce("role", F.lit("")).alias("role"), text_or_empty("text").alias("text"))
+    role = F.max(F.when(F.col("role") != "", F.struct("seq", "role"))).over(own)["role"]
+    alive = log.withColumn("_cut", F.max(cuts).over(earlier)).where("_cut is null or seq > _cut")
+    alive = alive.withColumns({"_reset": F.max(resets).over(own), "_role": role}).where("_reset is null or seq >= _reset")
+    part = F.struct("seq", (F.col("kind") == "delta").alias("later"), "kind", text_or_empty("text").alias("text"))
     parts = F.array_sort(F.collect_list(part))
-    return alive.groupBy("conv_id", "turn").agg(parts.alias("_p")).select(
-        "conv_id", "turn",
-        F.element_at(F.concat(F.array(F.lit("")), F.filter(F.transform("_p", lambda x: x["role"]), lambda r: r != "")), -1).alias("role"),
-        F.array_join(F.transform("_p", lambda x: x["text"]), "").alias("text"),
-    )
+    out = alive.groupBy("conv_id", "turn").agg(parts.alias("_p"), F.coalesce(F.first("_role"), F.lit("")).alias("role"))
+    return out.select("conv_id", "turn", "role", F.array_join(F.transform("_p", lambda x: x["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _bytes
 from ._common import table
@@ -203,7 +204,7 @@ def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
             batch[column] = np.concatenate(got) if got else np.zeros(0)
             yield batch.drop(columns="_text")
 
-    schema = rows.drop("_text").schema.add(column, "double")
+    schema = T.StructType([*rows.drop("_text").schema.fields, T.StructField(column, T.DoubleType())])
     return rows.mapInPandas(run, schema)
 
 
