@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicon as L
 from ..functions.text import availability_prior, inference_boost, repository_doi_prior, specific_score, word_tokens
@@ -215,7 +216,7 @@ def mmr(candidates: DataFrame, k: int = 25, trade: float = 0.7, by: str = "query
             repeat = similar if len(chosen) == 1 else np.maximum(repeat, similar)
         return g.iloc[chosen].assign(mmr_rank=range(1, len(chosen) + 1))
 
-    return candidates.groupBy(by).applyInPandas(choose, candidates.schema.add("mmr_rank", "integer"))
+    return candidates.groupBy(by).applyInPandas(choose, T.StructType([*candidates.schema.fields, T.StructField("mmr_rank", T.IntegerType())]))
 
 
 def expand_and_prune(ranked: DataFrame, k: int = 15, most_tokens: int = 1000, by: str = "document_id") -> DataFrame:

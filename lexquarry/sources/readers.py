@@ -29,7 +29,7 @@ def query(spark: SparkSession, sql: str, limit: int = 100, **views: DataFrame) -
 
 def json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows of a JSON array: bad ones, which don't fit the schema, are kept apart and not lost."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).persist()  # Spark can't ask a file for bad rows alone
     return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad")
 
 
