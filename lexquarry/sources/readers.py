@@ -29,8 +29,10 @@ def query(spark: SparkSession, sql: str, limit: int = 100, **views: DataFrame) -
 
 def json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows of a JSON array: bad ones, which don't fit the schema, are kept apart and not lost."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).persist()  # Spark can't ask a file for bad rows alone
-    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad")
+    items = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("item"))
+    checked = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    rows = items.select("item", F.from_json("item", checked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.where("r._bad is null").select(*[F.col("r")[f.name].alias(f.name) for f in schema]), rows.where("r._bad is not null").select(F.col("item").alias("_bad"))
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType | None = None, required: list[str] = (), index: bool = False) -> DataFrame:
