@@ -20,11 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a local folder only where it is unset (tests)."""
+    """This application's part of the cluster's shared folder, spark.checkpoint.dir; local only where that is unset (tests)."""
     if not (d := spark.conf.get("spark.checkpoint.dir", None)):
         d = f"file://{tempfile.mkdtemp(prefix='lexquarry-')}"
         spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+    return f"{d.rstrip('/')}/lexquarry-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; DataFrames that read it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -24,12 +24,13 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import table
 
 #: Labelled documents of each language, and languages, that the fit reads at most.
-SAMPLE, LANGUAGES = 250, 200
+SAMPLE, LANGUAGES = 250, 100
 HELD_OUT_MOD, HELD_OUT = 3, 1
 #: Log-probability that a change of language costs.
 SWITCH = 6.0
@@ -214,15 +215,16 @@ def label(texts: list[str | None], scores: Scores, spans: bool = False) -> tuple
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Fit on at most `sample` documents of each language, of those that are not held out."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    known = docs.where("lang is not null and doc_id is not null").where(crc % HELD_OUT_MOD != HELD_OUT)
-    langs = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(crc % HELD_OUT_MOD != HELD_OUT)
+    langs = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     place = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    texts, marks = [], []
-    for lang in langs:  # one bounded top-k each; their ids pick the whole texts
-        ids = [r[0] for r in known.where(F.col("lang") == lang).select("doc_id").orderBy(place, "doc_id").limit(sample).collect()]
-        own = sorted((r[0] or "" for r in docs.where(F.col("doc_id").isin(ids) & (F.col("lang") == lang)).select("text").limit(2 * sample).collect()))
-        texts += own
-        marks += [lang] * len(own)
+    # about 4 * sample rows of each language reach the window that takes the first `sample`
+    near = F.conv(F.substring(place, 1, 8), 16, 10).cast("double") / 2.0**32 < F.lit(4.0 * sample) / F.col("n")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id"))
+    chosen = known.join(F.broadcast(langs), "lang").where(near).withColumn("nth", nth).where(F.col("nth") <= sample).select("doc_id", "lang")
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).limit(2 * sample * LANGUAGES).collect()  # bounded by `sample`
+    rows = sorted((r["lang"], r["text"] or "") for r in rows)
+    marks, texts = [r[0] for r in rows], [r[1] for r in rows]
     return fit(texts, marks)
 
 
