@@ -231,3 +231,42 @@ def id_variants(raw: str | Column) -> Column:
         *when(r"(?i)^(ENS)([A-Z]+)(\d+)$", "$1-$2-$3", "$1 $2 $3"),
         *when(r"(?i)^([A-Z0-9]{2,6})(\d{3,})$", "$1-$2", "$1 $2", of=r),
     )), lambda x: x.isNotNull() & (x != ""))
+
+
+#: Words that are never taken for an identifier.
+STOP_WORDS = ["the", "and", "for", "with", "from", "this", "that", "data", "table", "figure"]
+
+
+def entity_like(token: str | Column) -> Column:
+    """Whether a token may be an identifier: it holds a digit, is no year and no stop word."""
+    t = _col(token)
+    return t.rlike(r"\d") & ~t.rlike(r"^(19|20)\d{2}$") & ~F.lower(t).isin(STOP_WORDS) & (F.length(t) >= 3)
+
+
+def without_controls(text: str | Column) -> Column:
+    return F.regexp_replace(_col(text), r"\p{C}", "")
+
+
+def section_text(sections: Column) -> Column:
+    """An array of (ordinal, kind, text) as '## kind' and the text, sections parted by blank lines."""
+    return F.array_join(F.transform(F.array_sort(sections), lambda s: F.concat(F.lit("## "), s["kind"], F.lit("\n"), s["text"])), "\n\n")
+
+
+def numeric_suffix(chunk_id: str | Column) -> Column:
+    """The number at the end of an id; ids without one come last."""
+    return F.coalesce(F.regexp_extract(_col(chunk_id), r"(\d+)$", 1).try_cast("long"), F.lit(1_000_000_000).cast("long"))
+
+
+def accession_list(text: str | Column) -> Column:
+    """Array of (kind, citation) of all accession numbers in a text, each once: the offline extractor of citations."""
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(_col(text), F.lit("(?i)" + pattern), F.lit(0)), lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("citation")))
+
+    return F.array_distinct(F.concat(*[found(k, p) for k, p in L.ACCESSIONS.items()]))
+
+
+def matched_keywords(text: str | Column, keywords: dict[str, list[str]]) -> Column:
+    """Array of (category, keyword) that occur in a text."""
+    t = F.lower(_col(text))
+    each = F.array(*[F.struct(F.lit(k).alias("category"), F.lit(w).alias("keyword"), F.contains(t, F.lit(w)).alias("there")) for k, ws in keywords.items() for w in ws])
+    return F.transform(F.filter(each, lambda x: x["there"]), lambda x: x.dropFields("there"))

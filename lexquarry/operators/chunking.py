@@ -55,11 +55,17 @@ def characters(documents: DataFrame, size: int, overlap: int = 0, text: str = "t
 
 
 def sections(documents: DataFrame, most: int = 2000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Splits at the coarsest separator that gives pieces of at most `most` characters: blank lines, lines, sentences, words."""
-    piece = lambda c, sep: F.filter(F.split(c, sep), lambda x: F.trim(x) != "")
+    """Splits at the coarsest separator that gives pieces of at most `most` characters: blank lines, lines, sentences,
+    and, where a sentence is longer, runs of whole words."""
+    def finer(pieces: Column, sep: str) -> Column:
+        cut = lambda x: F.filter(F.split(x, sep), lambda y: F.trim(y) != "")
+        return F.flatten(F.transform(pieces, lambda x: F.when(F.length(x) > most, cut(x)).otherwise(F.array(x))))
+
     fine = F.array(F.col(text))
-    for sep in (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+", r"\s+"):
-        fine = F.flatten(F.transform(fine, lambda x, sep=sep: F.when(F.length(x) > most, piece(x, sep)).otherwise(F.array(x))))
+    for sep in (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+"):
+        fine = finer(fine, sep)
+    runs = F.lit(rf"(?s)\S.{{0,{most - 1}}}(?=\s|$)|\S{{1,{most}}}")
+    fine = F.flatten(F.transform(fine, lambda x: F.when(F.length(x) > most, F.regexp_extract_all(x, runs, F.lit(0))).otherwise(F.array(x))))
     return documents.where(F.col(text).isNotNull()).select(key, F.posexplode(fine).alias("ordinal", "chunk_text"))
 
 
@@ -81,7 +87,11 @@ def run_summary(results: DataFrame) -> DataFrame:
 def merge_results(parts: DataFrame, key: str, lists: list[str], scalars: list[str]) -> DataFrame:
     """Batch results into one for each key: lists joined in order of `part`, scalars the first that is not null."""
     ordered = F.array_sort(F.collect_list(F.struct("part", *lists)))
-    return parts.groupBy(key).agg(*[F.flatten(F.transform(ordered, lambda x, c=c: x[c])).alias(c) for c in lists], *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("part"))).alias(c) for c in scalars])
+
+    def joined(name: str) -> Column:
+        return F.flatten(F.transform(ordered, lambda x: x[name])).alias(name)
+
+    return parts.groupBy(key).agg(*[joined(c) for c in lists], *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("part"))).alias(c) for c in scalars])
 
 
 def adjusted_window(longest_sentence: Column, buffer: int = 0) -> Column:

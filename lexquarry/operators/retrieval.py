@@ -298,3 +298,90 @@ def result_stats(results: DataFrame, score: str = "score") -> DataFrame:
     """Median, greatest and mean score of results above 0."""
     good = results.where(F.col(score) > 0)
     return good.agg(F.median(score).alias("median_score"), F.max(score).alias("max_score"), F.avg(score).alias("avg_score"))
+
+
+def hash_embedding(texts: DataFrame, key: str, text: str = "text", dims: int = 64) -> DataFrame:
+    """key, dim, value: a deterministic embedding where no model is installed. Each token adds 1 or -1 to the dimension its md5 names."""
+    tokens = texts.select(key, F.explode(word_tokens(text)).alias("t")).withColumn("h", F.md5(F.col("t").cast("binary")))
+    dim = F.pmod(F.conv(F.substring("h", 1, 6), 16, 10).cast("int"), F.lit(dims)).alias("dim")
+    sign = F.when(F.conv(F.substring("h", 7, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
+    return tokens.groupBy(key, dim).agg(F.sum(sign).alias("value"))
+
+
+def as_vectors(long: DataFrame, key: str, dims: int = 64) -> DataFrame:
+    """key, embedding: long embeddings as arrays scaled to length 1."""
+    entries = F.map_from_entries(F.collect_list(F.struct("dim", "value")))
+    v = long.groupBy(key).agg(entries.alias("m")).select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    return v.select(key, F.transform("v", lambda x: F.coalesce(F.try_divide(x, norm(F.col("v"))), F.lit(0.0))).alias("embedding"))
+
+
+def within_group(queries: DataFrame, vectors: DataFrame, k: int, by: str) -> DataFrame:
+    """query_id, id, score, rank: the k nearest vectors of each query's own group. An equi-join by group; a group is never gathered."""
+    pairs = vectors.join(queries, by)
+    return top(pairs.select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("score")), k, ["query_id"], "score", "id")
+
+
+def training_retrieval(queries: DataFrame, chunks: DataFrame, k: int = 3, boost: float = 0.15, fuse: bool = True) -> DataFrame:
+    """query_id, id, score, rank. chunks: id, vector, text, cited. The 5 k nearest for each query, then cosine plus the
+    boost of keywords; all queries in one join, so results stay with their keys."""
+    from ..functions.text import training_boost
+
+    near = nearest(queries, chunks, 5 * k)
+    if not fuse:
+        return near.where(F.col("rank") <= k)
+    joined = near.drop("rank").join(chunks.select("id", "text", "cited"), "id")
+    return top(joined.select("query_id", "id", (F.col("score") + F.lit(boost) * training_boost("text", F.col("cited"))).alias("score")), k, ["query_id"], "score", "id")
+
+
+def boosted_dense(queries: DataFrame, chunks: DataFrame, prototypes: DataFrame | None = None, k: int = 25, presence: float = 0.5) -> DataFrame:
+    """query_id, id, score, rank: scaled cosine plus keyword boost, plus `presence` for chunks among the k nearest of a prototype."""
+    near = nearest(queries, chunks, 5 * k)
+    joined = near.withColumn("scaled", minmax("score", ["query_id"])).join(chunks.select("id", "text"), "id")
+    score = F.col("scaled") + inference_boost("text")
+    if prototypes is not None:
+        liked = nearest(prototypes, chunks, k).select("id").distinct().withColumn("liked", F.lit(True))
+        joined = joined.join(liked, "id", "left")
+        score = score + F.when(F.col("liked"), presence).otherwise(0.0)
+    return top(joined.select("query_id", "id", score.alias("score")), k, ["query_id"], "score", "id")
+
+
+def document_context(queries: DataFrame, chunks: DataFrame, k: int = 15, most_tokens: int = 1000) -> DataFrame:
+    """document_id, chunk_id, position: chunks for one stated query (one row: query_id, text, vector), chosen in each document. chunks: document_id,
+    chunk_id, text, vector, previous_chunk_id, next_chunk_id, token_count. Hybrid ranks within documents, then neighbours, then the token budget."""
+    q = queries.limit(1).select(F.col("vector").alias("_q"))
+    scored = chunks.crossJoin(F.broadcast(q))  # one row
+    signal = cosine(F.col("vector"), F.col("_q")) + availability_prior("text") + specific_score("text") + repository_doi_prior("text") + inference_boost("text")
+    rank = F.row_number().over(W.partitionBy("document_id").orderBy(F.desc("_s"), "chunk_id"))
+    ranked = scored.withColumn("_s", signal).withColumn("rank", rank)
+    ranked = ranked.withColumn("rank", F.when(F.col("rank") <= k, F.col("rank")))
+    return expand_and_prune(ranked.select("document_id", "chunk_id", "rank", "previous_chunk_id", "next_chunk_id", "token_count"), k, most_tokens)
+
+
+def corpus_context(queries: DataFrame, chunks: DataFrame, k: int = 200, percentile: float = 0.7) -> DataFrame:
+    """document_id, pre, anchor, post: triplets around the chunks that one query ranks best over the whole corpus: hybrid scores,
+    collapse of neighbours, percentile gate, diversity."""
+    ranked = hybrid(queries, chunks, k).withColumnRenamed("id", "chunk_id")
+    info = ranked.join(chunks.select("chunk_id", "document_id", "vector", "previous_chunk_id", "next_chunk_id"), "chunk_id")
+    kept = collapse_neighbours(info.select("document_id", "chunk_id", "rank", "fused", "query_id", "vector", "previous_chunk_id", "next_chunk_id"))
+    gated = percentile_gate(kept, "fused", percentile, ["query_id"])
+    chosen = mmr(gated.join(F.broadcast(queries.select("query_id", F.col("vector").alias("query")).limit(MOST_QUERIES)), "query_id").select("query_id", F.col("chunk_id").alias("id"), "query", "vector"), k)
+    return chosen.select(F.col("id").alias("anchor")).distinct().join(info.select("document_id", F.col("chunk_id").alias("anchor"), F.col("previous_chunk_id").alias("pre"), F.col("next_chunk_id").alias("post")).distinct(), "anchor").select("document_id", "pre", "anchor", "post")
+
+
+def with_target(retrieved: DataFrame, targets: DataFrame, key: str = "dataset_id") -> DataFrame:
+    """key, chunk_ids: retrieved ids with a dataset's own chunks and their neighbours, sorted."""
+    empty = F.array().cast("array<string>")
+    joined = retrieved.join(targets, key, "full")
+    return joined.select(key, F.array_sort(F.array_union(F.coalesce("retrieved", empty), F.coalesce("targets", empty))).alias("chunk_ids"))
+
+
+def step_order(needs: dict[str, list[str]]) -> list[str]:
+    """Steps after those that they need, alphabetical among the ready ones."""
+    left, out = {k: set(v) for k, v in needs.items()}, []
+    while left:
+        ready = sorted(k for k, v in left.items() if not v & left.keys())
+        if not ready:
+            raise ValueError("the steps need each other")
+        out.append(ready[0])
+        del left[ready[0]]
+    return out

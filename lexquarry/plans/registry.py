@@ -1,6 +1,6 @@
 """All registered queries of the engine and their DuckDB oracles."""
 
-from . import corpus, relational
+from . import corpus, more, relational
 
-QUERIES = corpus.QUERIES | relational.QUERIES
-ORACLE = corpus.ORACLE | relational.ORACLE
+QUERIES = corpus.QUERIES | relational.QUERIES | more.QUERIES
+ORACLE = corpus.ORACLE | relational.ORACLE | more.ORACLE

@@ -211,3 +211,50 @@ def pattern_table(patterns: dict[str, str]) -> dict[str, str]:
     """Anchored patterns as word-bounded ones, without those that are too broad."""
     bounded = {k: rf"\b{p.removeprefix('^').removesuffix('$')}\b" for k, p in patterns.items()}
     return {k: p for k, p in bounded.items() if not too_broad(p)}
+
+
+def docx_pages(content: bytes) -> list[str]:
+    """Paragraphs of a word-processor file, as one page."""
+    import io
+    import zipfile
+
+    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    name = lambda e: e.tag.rsplit("}", 1)[-1]
+    return ["\n".join("".join(t.text or "" for t in p.iter() if name(t) == "t") for p in root.iter() if name(p) == "p")]
+
+
+def xlsx_pages(content: bytes) -> list[str]:
+    """Sheets of a spreadsheet, a page each: cells parted by tabs, rows by line ends."""
+    import io
+    import re
+    import zipfile
+
+    z = zipfile.ZipFile(io.BytesIO(content))
+    name = lambda e: e.tag.rsplit("}", 1)[-1]
+    shared = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        shared = ["".join(t.text or "" for t in s.iter() if name(t) == "t") for s in ET.fromstring(z.read("xl/sharedStrings.xml")) if name(s) == "si"]
+    out = []
+    for sheet in sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1])):
+        rows = []
+        for row in (e for e in ET.fromstring(z.read(sheet)).iter() if name(e) == "row"):
+            cells = []
+            for c in row:
+                value = "".join(t.text or "" for t in c.iter() if name(t) in ("v", "t"))
+                cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
+            rows.append("\t".join(cells))
+        out.append("\n".join(rows))
+    return out
+
+
+#: Parsers of office files by extension.
+OFFICE = {"docx": docx_pages, "xlsx": xlsx_pages}
+
+
+def office(spark: SparkSession, path: str) -> DataFrame:
+    """pages() of all office files in a folder, each kind by its parser."""
+    out = None
+    for kind, parser in OFFICE.items():
+        df = pages(spark, path, [parser], f"*.{kind}")
+        out = df if out is None else out.union(df)
+    return out

@@ -52,3 +52,12 @@ def test_resplit_keeps_words(spark):
     parts = chunking.resplit(chunking.chunk(df), most=200, window=50, overlap=0).orderBy("ordinal").collect()
     assert [r.ordinal for r in parts] == list(range(len(parts))) and len(parts) > 2
     assert {w for r in parts for w in r.chunk_text.split()} == {f"word{i}" for i in range(400)}
+
+
+def test_sections_and_merging(spark):
+    df = spark.createDataFrame([(1, "a b\n\nc d e. f g\nh\n\nlonger sentence without end"), (2, None)], "doc_id long, text string")
+    parts = [r.chunk_text for r in chunking.sections(df, 6).orderBy("ordinal").collect()]
+    assert parts == ["a b", "c d e.", "f g", "h", "longer", "senten", "ce", "withou", "t end"]
+    rows = spark.createDataFrame([("k", 2, [3], None), ("k", 1, [1, 2], None), ("k", 3, [4], "x")], "k string, part int, l array<int>, s string")
+    merged = chunking.merge_results(rows, "k", ["l"], ["s"]).first()
+    assert merged.l == [1, 2, 3, 4] and merged.s == "x"
