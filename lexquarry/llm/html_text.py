@@ -33,13 +33,14 @@ WINDOW, SHARE = 3, 0.3
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp noembed noframes".split())
-DROPPED = frozenset("head nav header footer aside form button dialog menu canvas audio video fieldset figcaption_".split())
+DROPPED = frozenset("head nav header footer aside form button dialog menu canvas audio video fieldset".split())
 MAIN = frozenset(["article", "main"])
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words in a class or id that mark a part as none of the main text.
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|adsense|banners?|promos?|promoted|sponsor(?:ed|s)?|sidebars?|side-bar|nav|navbar|navigation|menus?|breadcrumbs?|footer|site-header|page-header|masthead|"
-    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|comment-list|commentlist|replies|disqus|respond|login|signup|search|pagination|pager|widget)(?:$|[\s_-])", re.I)
+    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|comment-list|commentlist|replies|disqus|respond|login|signup|search|pagination|pager|widget|topbar|toolbar|skip-link|announcement|disclaimer|paywall|reviews?|discussion)(?:$|[\s_-])", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -57,7 +58,7 @@ def _marked(a: dict[str, str]) -> bool:
         return True
     if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I):
         return True
-    return any(_MARKS.search(a[k]) for k in ("class", "id") if a.get(k))
+    return any(_MARKS.search(_HUMP.sub("-", a[k])) for k in ("class", "id") if a.get(k))
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:

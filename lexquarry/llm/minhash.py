@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _shingles
-from ._common import materialize, table
+from ._common import broadcast_if_small, materialize, table
 from ._components import components
 from ._groups import Union, map_groups
 
@@ -213,9 +213,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay: one of each component, with their own columns."""
+    """The documents that stay: one of each component, with their own columns. Of rows that repeat a doc_id one stays,
+    that whose text has the least hash; rows without doc_id all stay."""
     gone = materialize(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"), "twice")
+    if not twice.limit(1).count():
+        return kept
+    on = F.col("doc_id") == F.col("_twice")
+    one = kept.join(broadcast_if_small(twice), on, "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
+    return kept.join(broadcast_if_small(twice), on, "left_anti").unionByName(one.select("_row.*"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

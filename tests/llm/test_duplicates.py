@@ -68,6 +68,7 @@ def test_minhash(spark, monkeypatch, cap):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), expected[r.doc_id], expected[r.doc_id] == r.doc_id)
     kept = minhash.keep(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in ids if expected[i] == i} | {None}
+    assert kept.groupBy("doc_id").count().where("count > 1").count() == 0
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 

@@ -72,6 +72,7 @@ def test_html():
     assert [html_text.extract(x) for x in (None, "", "<p></p>", "<nav>x</nav>")] == [""] * 4
     plain = "<div class='nav'>a</div><div><p>" + "long text " * 30 + "</p><p>short</p></div><div class='footer'>c</div><div>d</div>"
     assert html_text.extract(plain) == ("long text " * 30).strip() + " short"
+    assert html_text.extract("<main><p>kept</p><div class='userComments'>no</div><p class='shadow loadable'>too</p></main>") == "kept too"
     assert html_text.extract("<div class=ad>buy<article><p>kept</p></article>") == "kept"
 
 
