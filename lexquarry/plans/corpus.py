@@ -234,10 +234,10 @@ def candidate_pages(spark, d):
     return readers.candidate_pages(rows, "page_id", "pages", "no such word")
 
 
-@query("SELECT page_id, ['a', 'B', 'c'] AS spliced FROM pages")
+@query("SELECT page_id, 'a,B,c' AS spliced FROM pages")
 def page_splice(spark, d):
     rows = table(spark, d, "pages").select("page_id", F.array(*map(F.lit, "abc")).alias("x"), F.array(*map(F.lit, "ABCD")).alias("y"), F.array(F.lit(2)).alias("c"))
-    return rows.select("page_id", readers.splice_pages("x", "y", "c").alias("spliced"))
+    return rows.select("page_id", F.array_join(readers.splice_pages("x", "y", "c"), ",").alias("spliced"))
 
 
 # --- chunks ------------------------------------------------------------------------------------------------
