@@ -13,7 +13,8 @@ from ._common import materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
+    """Written, so that the join back to links has plain shuffles on both sides, of which Spark can split a hot vertex."""
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u"), "least")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

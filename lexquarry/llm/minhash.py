@@ -84,6 +84,7 @@ def regions(sets: DataFrame) -> DataFrame:
     open_rows, done = _prefixes(sets, BASE), []
     for depth in range(BASE, DEPTH + 1):
         shared = open_rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("region", "_r")
+        shared = materialize(shared, "shared")  # so that Spark can split the rows of a dense region in the join
         rows = materialize(open_rows.join(shared.hint("merge"), F.col("region") == F.col("_r")).drop("_r"), "regions")
         done.append(rows.where(F.col("n") <= CAP).select("region", F.lit(None).cast("string").alias("block"), "vertex"))
         large = rows.where(F.col("n") > CAP)
