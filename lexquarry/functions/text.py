@@ -5,6 +5,7 @@ Regular expressions use [\\p{L}\\p{N}_] for word characters where Unicode matter
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -81,16 +82,23 @@ def _has(text: Column, word_list: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in word_list])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, however often body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def _number_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [c.cast("int") for c in conditions])
 
 
 def availability_features(text: str | Column) -> Column:
     """Struct of hits, unique and density of availability cues."""
-    t = F.lower(_col(text))
-    hits = reduce(lambda a, b: a + b, [occurrences(t, w) for w in L.AVAILABILITY_CUES]).cast("double")
-    unique = _number_of([F.contains(t, F.lit(w)) for w in L.AVAILABILITY_CUES]).cast("double")
-    return F.struct(hits.alias("hits"), unique.alias("unique"), (hits / F.greatest(F.length(t), F.lit(1))).alias("density"))
+    def of(t: Column) -> Column:
+        there = [F.contains(t, F.lit(w)) for w in L.AVAILABILITY_CUES]
+        hits = reduce(lambda a, b: a + b, [F.when(c, occurrences(t, w)).otherwise(0) for c, w in zip(there, L.AVAILABILITY_CUES)]).cast("double")
+        return F.struct(hits.alias("hits"), _number_of(there).cast("double").alias("unique"), F.length(t).alias("length"))
+
+    return _let(_let(F.lower(_col(text)), of), lambda x: F.struct(x["hits"].alias("hits"), x["unique"].alias("unique"), (x["hits"] / F.greatest(x["length"], F.lit(1))).alias("density")))
 
 
 def guess_section(text: str | Column) -> Column:
@@ -102,19 +110,24 @@ def guess_section(text: str | Column) -> Column:
 
 
 def availability_prior(text: str | Column) -> Column:
-    t = F.lower(_col(text))
-    return F.least(F.lit(1.0), _number_of([F.contains(t, F.lit(w)) for w in L.AVAILABILITY_CUES]) / F.lit(4.0))
+    return _let(F.lower(_col(text)), lambda t: F.least(F.lit(1.0), _number_of([F.contains(t, F.lit(w)) for w in L.AVAILABILITY_CUES]) / F.lit(4.0)))
 
 
 def specific_score(text: str | Column) -> Column:
-    """How many tight identifier patterns occur, at most three, over three."""
-    return F.least(F.lit(L.SPECIFIC_ENOUGH), _number_of([_col(text).rlike("(?i)" + p) for p in L.SPECIFIC.values()])) / F.lit(float(L.SPECIFIC_ENOUGH))
+    """How many tight identifier patterns occur, at most three, over three. No pattern spans white space, and all but one need a
+    digit, so they are tried on the few words that could match."""
+    likely = F.array_join(F.filter(F.split(_col(text), r"\s+"), lambda w: w.rlike(r"\d|(?i:CVCL_)")), " ")
+    hits = _let(likely, lambda t: F.when(t == "", F.lit(0)).otherwise(_number_of([t.rlike("(?i)" + p) for p in L.SPECIFIC.values()])))
+    return F.least(F.lit(L.SPECIFIC_ENOUGH), hits) / F.lit(float(L.SPECIFIC_ENOUGH))
 
 
 def repository_doi_prior(text: str | Column) -> Column:
-    t = F.lower(_col(text))
-    doi = reduce(lambda a, b: a | b, [t.rlike("(?i)" + p) for p in L.REPOSITORY_DOIS.values()])
-    return F.when(~doi, 0.0).when(_has(t, L.REPOSITORY_NAMES) | (availability_prior(text) > 0), 1.0).otherwise(0.6)
+    def of(t: Column) -> Column:
+        doi = reduce(lambda a, b: a | b, [t.rlike(p) for p in L.REPOSITORY_DOIS.values()])
+        named = _has(t, L.REPOSITORY_NAMES) | _has(t, L.AVAILABILITY_CUES)
+        return F.when(~F.contains(t, F.lit("doi.org/10.")) | ~doi, 0.0).when(named, 1.0).otherwise(0.6)
+
+    return _let(F.lower(_col(text)), of)
 
 
 def accession_counts(text: str | Column) -> dict[str, Column]:
@@ -126,14 +139,14 @@ def _boost(text: Column, keywords: dict[str, list[str]]) -> Column:
 
 
 def training_boost(text: str | Column, cited: Column | None = None) -> Column:
-    score = _boost(preprocess(text), L.TRAINING_KEYWORDS)
+    score = _let(preprocess(text), lambda t: _boost(t, L.TRAINING_KEYWORDS))
     if cited is not None:
         score = score + F.when(cited, L.TRAINING_CITED).otherwise(0.0)
     return F.least(F.lit(L.TRAINING_CAP), score)
 
 
 def inference_boost(text: str | Column) -> Column:
-    return F.least(F.lit(L.INFERENCE_CAP), _boost(F.lower(_col(text)), L.INFERENCE_KEYWORDS))
+    return F.least(F.lit(L.INFERENCE_CAP), _let(F.lower(_col(text)), lambda t: _boost(t, L.INFERENCE_KEYWORDS)))
 
 
 def fused_score(distance: Column, symbolic: Column, boost: float = 0.15) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicon as L
+from ._groups import by_group
 from ..functions.text import availability_prior, inference_boost, repository_doi_prior, specific_score, word_tokens
 
 #: BM25's parameters; vectors that a broadcast may hold; rows of a block of vectors.
@@ -171,8 +172,10 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 25, per_signal: int |
     sparse = bm25(queries, chunks, n).select("query_id", F.lit("sparse").alias("list"), F.col("chunk_id").alias("id"), "rank")
     dense = nearest(queries, chunks, n, q=("query_id", "vector"), v=("chunk_id", "vector")).select("query_id", F.lit("dense").alias("list"), "id", "rank")
     fused = top(rank_fusion(sparse.union(dense), max(5, n // 2)), 2 * n, ["query_id"], "score", "id")
-    rows = fused.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id")
-    rows = rows.withColumns({"rrf": minmax("score", ["query_id"]), "das": availability_prior("text"), "regex": specific_score("text"), "doi_repo": repository_doi_prior("text"), "boost": inference_boost("text")})
+    # rules read a candidate's text once, however many queries it is a candidate of
+    texts = chunks.select(F.col("chunk_id").alias("id"), "text").join(fused.select("id").distinct(), "id", "left_semi")
+    rules = texts.select("id", availability_prior("text").alias("das"), specific_score("text").alias("regex"), repository_doi_prior("text").alias("doi_repo"), inference_boost("text").alias("boost"))
+    rows = fused.join(rules.repartition("id"), "id").withColumn("rrf", minmax("score", ["query_id"]))
     rows = rows.withColumn("near", neighbour_boost(rows, "regex", ["query_id"]))
     total = sum((F.lit(L.FUSION[c]) * F.col(c) for c in ("rrf", "das", "regex", "doi_repo")), F.col("near") + F.col("boost"))
     return top(rows.select("query_id", "id", total.alias("fused")), k, ["query_id"], "fused", "id")
@@ -186,17 +189,21 @@ def percentile_gate(rows: DataFrame, score: str, p: float = 0.7, by: list[str] |
 
 
 def collapse_neighbours(ranked: DataFrame, by: str = "document_id") -> DataFrame:
-    """Walk each document's chunks by rank and drop the direct neighbours of every kept one. Neighbours never cross documents."""
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["rank", "chunk_id"])
-        there, banned, keep = set(g["chunk_id"]), set(), []
-        for cid, a, b in zip(g["chunk_id"], g["previous_chunk_id"], g["next_chunk_id"]):
-            keep.append(cid not in banned)
-            if keep[-1]:
-                banned |= {a, b} & there
-        return g[keep]
+    """Walk each document's chunks by rank and drop the direct neighbours of every kept one. Neighbours never cross documents.
+    Only ids and ranks reach Python."""
+    kind = dict(ranked.dtypes)
+
+    def walk(rows: list[tuple]) -> list[tuple]:
+        there, banned, keep = {r[1] for r in rows}, set(), []
+        for doc, cid, _, before, after in rows:
+            if cid not in banned:
+                keep.append((doc, cid))
+                banned |= {before, after} & there
+        return keep
 
-    return ranked.groupBy(by).applyInPandas(walk, ranked.schema)
+    ids = ranked.select(by, "chunk_id", "rank", "previous_chunk_id", "next_chunk_id")
+    kept = by_group(ids, by, ["rank", "chunk_id"], walk, f"{by} {kind[by]}, chunk_id {kind['chunk_id']}")
+    return ranked.join(kept, [by, "chunk_id"], "left_semi")
 
 
 def mmr(candidates: DataFrame, k: int = 25, trade: float = 0.7, by: str = "query_id") -> DataFrame:
@@ -222,29 +229,32 @@ def mmr(candidates: DataFrame, k: int = 25, trade: float = 0.7, by: str = "query
 def expand_and_prune(ranked: DataFrame, k: int = 15, most_tokens: int = 1000, by: str = "document_id") -> DataFrame:
     """ranked: document_id, chunk_id, rank (null: not ranked, only a possible neighbour), previous_chunk_id, next_chunk_id, token_count.
     Takes ranked chunks and their neighbours up to k, then drops neighbours before anchors from the last rank up until the tokens fit."""
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        info = {r.chunk_id: r for r in g.itertuples()}
+    def pick(rows: list[tuple]) -> list[tuple]:
+        tokens = {r[1]: r[5] for r in rows}
         taken: list[str] = []
         groups = []
-        for r in g[g["rank"].notna()].sort_values(["rank", "chunk_id"]).itertuples():
+        for _, anchor, rank, before, after, _ in rows:
+            if rank is None:
+                continue
             if len(taken) >= k:
                 break
             own = []
-            for i, cid in enumerate((r.chunk_id, r.previous_chunk_id, r.next_chunk_id)):
-                if cid in info and cid not in taken and len(taken) < k:
+            for i, cid in enumerate((anchor, before, after)):
+                if cid in tokens and cid not in taken and len(taken) < k:
                     taken.append(cid)
                     own += [cid] if i else []
-            groups.append((r.chunk_id, own))
-        total = sum(info[c].token_count for c in taken)
+            groups.append((anchor, own))
+        total = sum(tokens[c] for c in taken)
         for anchor, own in reversed(groups):
             for cid in [*own, anchor]:
                 if total > most_tokens and cid in taken:
                     taken.remove(cid)
-                    total -= info[cid].token_count
-        return pd.DataFrame({by: g[by].iloc[0], "chunk_id": taken, "position": range(1, len(taken) + 1)})
+                    total -= tokens[cid]
+        return [(rows[0][0], cid, n) for n, cid in enumerate(taken, 1)]
 
     kind = dict(ranked.dtypes)
-    return ranked.groupBy(by).applyInPandas(pick, f"{by} {kind[by]}, chunk_id {kind['chunk_id']}, position int")
+    narrow = ranked.select(by, "chunk_id", "rank", "previous_chunk_id", "next_chunk_id", "token_count")
+    return by_group(narrow, by, ["rank", "chunk_id"], pick, f"{by} {kind[by]}, chunk_id {kind['chunk_id']}, position int")
 
 
 def ordered_union(first: Column, then: Column, k: int) -> Column:
@@ -258,40 +268,39 @@ def triplets(rows: DataFrame, by: str = "document_id", order: str = "ordinal", i
 
 def merge_triplets(rows: DataFrame, by: str = "document_id", order: str = "ordinal") -> DataFrame:
     """Join triplets that share two ids with the first group that fits: document_id, group (from 0), chunk_ids (sorted), anchors (in order)."""
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        groups: list[set] = []
-        anchors = []
-        for r in g.sort_values(order).itertuples():
-            ids = {x for x in (r.pre, r.anchor, r.post) if isinstance(x, str) and x}
-            fit = next((i for i, own in enumerate(groups) if len(own & ids) >= 2), None)
+    def merge(triples: list[tuple]) -> list[tuple]:
+        groups: list[tuple[set, list]] = []
+        for _, _, pre, anchor, post in triples:
+            ids = {x for x in (pre, anchor, post) if x}
+            fit = next((g for g in groups if len(g[0] & ids) >= 2), None)
             if fit is None:
-                groups.append(set(ids))
-                anchors.append([r.anchor])
+                groups.append((set(ids), [anchor]))
             else:
-                groups[fit] |= ids
-                anchors[fit].append(r.anchor)
-        return pd.DataFrame({by: g[by].iloc[0], "group": range(len(groups)), "chunk_ids": [sorted(x) for x in groups], "anchors": anchors})
+                fit[0].update(ids)
+                fit[1].append(anchor)
+        return [(triples[0][0], n, sorted(ids), anchors) for n, (ids, anchors) in enumerate(groups)]
 
-    return rows.groupBy(by).applyInPandas(merge, f"{by} {dict(rows.dtypes)[by]}, group int, chunk_ids array<string>, anchors array<string>")
+    kind = dict(rows.dtypes)
+    return by_group(rows.select(by, order, "pre", "anchor", "post"), by, [order], merge, f"{by} {kind[by]}, group int, chunk_ids array<{kind['anchor']}>, anchors array<{kind['anchor']}>")
 
 
 def budget_groups(groups: DataFrame, tokens: DataFrame, most: int = 1000, by: str = "document_id") -> DataFrame:
     """Drop neighbours from the end, then anchors from the end, until a group's tokens fit. tokens: document_id, tokens (map id -> count)."""
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for ids, anchors, counts in zip(g["chunk_ids"], g["anchors"], g["tokens"]):
-            count, ids, anchors = dict(counts or {}), list(ids), set(anchors)
-            drop = [c for c in ids if c not in anchors][::-1] + [c for c in reversed(ids) if c in anchors]
-            own = set(ids)
-            for c in drop:
-                if sum(count.get(x, 0) for x in own) <= most:
+    def fit(rows: list[tuple]) -> list[tuple]:
+        out = []
+        for doc, n, ids, anchors, counts in rows:
+            ids, anchors, count = list(ids), set(anchors), dict(counts if counts is not None else {})
+            left = set(ids)
+            for c in [c for c in reversed(ids) if c not in anchors] + [c for c in reversed(ids) if c in anchors]:
+                if sum(count.get(x, 0) for x in left) <= most:
                     break
-                own.discard(c)
-            kept.append([c for c in ids if c in own])
-        return pd.DataFrame({by: g[by], "group": g["group"], "chunk_ids": kept})
+                left.discard(c)
+            out.append((doc, n, [c for c in ids if c in left]))
+        return out
 
-    joined = groups.join(tokens, by)
-    return joined.groupBy(by).applyInPandas(fit, f"{by} {dict(groups.dtypes)[by]}, group int, chunk_ids array<string>")
+    kind = dict(groups.dtypes)
+    joined = groups.join(tokens, by).select(by, "group", "chunk_ids", "anchors", "tokens")
+    return by_group(joined, by, ["group"], fit, f"{by} {kind[by]}, group int, chunk_ids {kind['chunk_ids']}")
 
 
 def result_stats(results: DataFrame, score: str = "score") -> DataFrame:
