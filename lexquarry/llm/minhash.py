@@ -1,19 +1,19 @@
-"""MinHash near-duplicates with an LSH forest, confirmed on whole shingle sets.
+"""MinHash near-duplicates with LSH orders, confirmed on whole shingle sets.
 
 1. Every text becomes its set of 5-word shingles (64-bit hashes). Equal sets are one vertex, named by
    their smallest doc_id, so copies are never compared.
 2. A set's signature of TREES * DEPTH minhashes gives it a place in TREES sorted orders. In each order the rows
-   with a common prefix of BASE values are neighbours. Depth adapts to the region: where more than CAP rows share a
-   prefix, the prefix grows value by value; rows that share all DEPTH values are compared in blocks, each with
-   each, so that no region is cut short.
+   with a common prefix of BASE values are a region, and all of a region are compared. One of more than CAP rows comes in
+   blocks, each with each, so that none is cut short: its n rows are copied n * 2 / CAP times, quadratic in n.
 3. Within a region the signatures' agreement picks groups of sets that may be similar enough (four standard deviations
    below the threshold still count); groups that several orders found are kept once.
 4. Only sets in groups are made again from whole texts, each group in a task; exact intersections of all its pairs
    come from matrix products. A group returns a spanning forest of its links, so the number of links returned is linear.
 5. Components of these links are found in DataFrames.
 
-Two sets of similarity 0.85 fall apart in all regions of BASE values with probability (1 - 0.85**3)**16 = 2e-7, and
-in all of 5 values, where a region is that dense, with 8e-5.
+Two sets of similarity 0.85 fall apart in all orders with probability (1 - 0.85**3)**16 = 2e-7, at 0.8 with 1e-5,
+however dense their regions are. Step 3 misses 7e-5 of the pairs at exactly 0.85 (binomial tail of 160 values at four
+deviations), 1e-5 at 0.86, 2e-6 at 0.87; at 0.8 with a threshold of 0.8 6e-5.
 
 Defined results: null text and text without words have an empty set and are linked with nothing; rows with null doc_id are linked with nothing
 (component_id null, kept); rows with equal doc_id share a vertex; equal sets always share a component; an
@@ -39,7 +39,7 @@ from ._groups import Union, map_groups
 WIDTH = 5
 #: Links have similarity >= PERCENT / 100.
 PERCENT = 85
-TREES, DEPTH, BASE = 16, 10, 3
+TREES, DEPTH, BASE = 16, 10, 3  # orders, values of each in a signature, values that a region shares
 #: Rows of a region that one task compares.
 CAP = 1024
 #: Characters of texts that are turned into sets at once.
@@ -71,36 +71,23 @@ def sketches(docs: DataFrame) -> DataFrame:
     return narrow.mapInPandas(run, "doc_id long, n_shingles long, key_a long, key_b long, sig array<int>, low binary")
 
 
-def _prefixes(sets: DataFrame, depth: int) -> DataFrame:
-    """vertex, tree, region (hash of the first `depth` values in the tree) for each tree."""
-    of_tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice("sig", t * DEPTH + 1, depth)))
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """vertex, tree, region (hash of the first BASE values in the tree) for each tree."""
+    of_tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice("sig", t * DEPTH + 1, BASE)))
     return sets.select("vertex", F.posexplode(of_tree).alias("tree", "region"))
 
 
 def regions(sets: DataFrame) -> DataFrame:
-    """sets: vertex, sig, low. Rows (region, block, vertex, low): those that share a region, with adaptive depth.
-    block is null in a region of at most CAP rows; larger ones at full depth come as pairs of blocks. Only
-    (vertex, tree, hash) is dealt by region; signatures follow where a region has several rows."""
-    open_rows, done = _prefixes(sets, BASE), []
-    for depth in range(BASE, DEPTH + 1):
-        shared = open_rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("region", "_r")
-        shared = materialize(shared, "shared")  # so that Spark can split the rows of a dense region in the join
-        rows = materialize(open_rows.join(shared.hint("merge"), F.col("region") == F.col("_r")).drop("_r"), "regions")
-        done.append(rows.where(F.col("n") <= CAP).select("region", F.lit(None).cast("string").alias("block"), "vertex"))
-        large = rows.where(F.col("n") > CAP)
-        if not large.limit(1).count():
-            break
-        if depth < DEPTH:
-            of_large = large.select(F.col("vertex").alias("_v"), F.col("tree").alias("_t"))
-            open_rows = _prefixes(sets.join(of_large.select("_v").distinct(), F.col("vertex") == F.col("_v"), "left_semi"), depth + 1)
-            open_rows = open_rows.join(of_large, (F.col("vertex") == F.col("_v")) & (F.col("tree") == F.col("_t"))).drop("_v", "_t")
-        else:
-            own = large.withColumn("blocks", F.ceil(F.col("n") / (CAP // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("vertex"), "blocks").cast("int"))
-            pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("-", F.least("own", j), F.greatest("own", j)))
-            done.append(own.select("region", F.explode(pair).alias("block"), "vertex"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
+    """sets: vertex, sig, low. Rows (region, block, vertex, low): those that share a region.
+    block is null in a region of at most CAP rows; larger ones come as pairs of blocks, so that every two of their rows
+    meet. Only (vertex, tree, hash) is dealt by region; signatures follow where a region has several rows."""
+    prefixes = _prefixes(sets)
+    shared = prefixes.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("region", "_r")
+    shared = materialize(shared, "shared")  # so that Spark can split the rows of a dense region in the join
+    rows = materialize(prefixes.join(shared.hint("merge"), F.col("region") == F.col("_r")).drop("_r"), "regions")
+    own = rows.where(F.col("n") > CAP).withColumn("blocks", F.ceil(F.col("n") / (CAP // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("vertex"), "blocks").cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("-", F.least("own", j), F.greatest("own", j)))
+    out = rows.where(F.col("n") <= CAP).select("region", F.lit(None).cast("string").alias("block"), "vertex").union(own.select("region", F.explode(pair).alias("block"), "vertex"))
     return out.join(sets.select(F.col("vertex").alias("_v"), "low").hint("merge"), F.col("vertex") == F.col("_v")).drop("_v")
 
 

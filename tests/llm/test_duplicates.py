@@ -138,3 +138,19 @@ def test_vectors(spark, monkeypatch, cap):
         else:
             assert (r.n_links, r.component_id, r.kept) == (degree[r.vec_id], expected[r.vec_id], expected[r.vec_id] == r.vec_id), r
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_minhash_keeps_the_links_of_a_dense_region(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CAP", 8)
+    rng = random.Random(11)
+    page = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(page))]
+    for i in range(1, 401):  # each is similar to the page only
+        copy = list(page)
+        for k in (0, 1, 2):
+            copy[rng.randrange(5 + 65 * k, 60 + 65 * k)] = f"new{i}-{k}"
+        rows.append((i, " ".join(copy)))
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(s & sets[0]) >= 0.85 * len(s | sets[0]) for s in sets)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in out} == {0}
