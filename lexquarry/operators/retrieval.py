@@ -1,6 +1,6 @@
 """Retrieval: vector, lexical and rule-based signals, fused and re-ranked.
 
-Queries are few and chunks many: queries (a bounded set) are broadcast, chunks stay where they are and only the best
+Queries are few and chunks many: queries are broadcast in blocks of bounded size, chunks stay where they are and only the best
 k of each partition travel. Order-dependent re-rankings run in applyInPandas by document or query, on candidates that
 a top-k has bounded before.
 """
@@ -8,6 +8,7 @@ a top-k has bounded before.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from ..functions import lexicon as L
 from ._groups import by_group
 from ..functions.text import availability_prior, inference_boost, repository_doi_prior, specific_score, word_tokens
 
-#: BM25's parameters; vectors that a broadcast may hold; rows of a block of vectors.
+#: BM25's parameters; query vectors that a broadcast may hold, more go in blocks; rows of a block of vectors.
 K1, B = 1.5, 0.75
 MOST_QUERIES, BLOCK = 20_000, 2048
 EPSILON = 1e-8
@@ -50,14 +51,30 @@ def best_scores(hits: DataFrame, k: int, query: str = "query_id", id_col: str =
     return top(hits.groupBy(query, id_col).agg(F.max(score).alias(score)), k, [query], score, id_col)
 
 
+def in_blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """All queries, in DataFrames of at most MOST_QUERIES rows that may be broadcast; one empty if there are none."""
+    rows = queries.toLocalIterator()
+    block = list(islice(rows, MOST_QUERIES))
+    while True:
+        yield queries.sparkSession.createDataFrame(block, queries.schema)
+        if not (block := list(islice(rows, MOST_QUERIES))):
+            return
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", q: tuple[str, str] = ("query_id", "query"), v: tuple[str, str] = ("id", "vector")) -> DataFrame:
-    """query_id, id, score, rank: the k nearest vectors for each query, by blocked matrix products. The
-    queries are a bounded set (at most MOST_QUERIES), sent to each task once."""
-    rows = queries.select(*q).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; use knn()")
+    """query_id, id, score, rank: the k nearest vectors for each query, by blocked matrix products. Queries are sent to
+    each task once, at most MOST_QUERIES at a time: each further block is another pass over the vectors."""
+    kinds, rows = (dict(queries.dtypes)[q[0]], dict(vectors.dtypes)[v[0]]), queries.select(*q).toLocalIterator()
+    found = _nearest(list(islice(rows, MOST_QUERIES)), kinds, vectors, k, metric, v)
+    while block := list(islice(rows, MOST_QUERIES)):
+        found = found.union(_nearest(block, kinds, vectors, k, metric, v))
+    return top(found, k, ["query_id"], "score", "id")
+
+
+def _nearest(rows: list, kinds: tuple[str, str], vectors: DataFrame, k: int, metric: str, v: tuple[str, str]) -> DataFrame:
+    """query_id, id, score: for the queries of one block, the k nearest of each batch of vectors."""
     names = [r[0] for r in rows]
-    m = np.array([r[1] for r in rows], "f8").reshape(len(rows), -1)
+    m = np.array([r[1] for r in rows], "f8").reshape(len(rows), -1 if rows else 0)
     shared = vectors.sparkSession.sparkContext.broadcast((names, _unit(m) if metric == "cosine" else m))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,9 +89,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
             order = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :n]
             yield pd.DataFrame({"query_id": np.repeat(np.array(names), n), "id": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
 
-    kinds = dict(queries.dtypes)[q[0]], dict(vectors.dtypes)[v[0]]
-    local = vectors.select(F.col(v[0]).alias("id"), F.col(v[1]).alias("vector")).mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
-    return top(local, k, ["query_id"], "score", "id")
+    return vectors.select(F.col(v[0]).alias("id"), F.col(v[1]).alias("vector")).mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -373,7 +388,7 @@ def corpus_context(queries: DataFrame, chunks: DataFrame, k: int = 200, percenti
     info = ranked.join(chunks.select("chunk_id", "document_id", "vector", "previous_chunk_id", "next_chunk_id"), "chunk_id")
     kept = collapse_neighbours(info.select("document_id", "chunk_id", "rank", "fused", "query_id", "vector", "previous_chunk_id", "next_chunk_id"))
     gated = percentile_gate(kept, "fused", percentile, ["query_id"])
-    chosen = mmr(gated.join(F.broadcast(queries.select("query_id", F.col("vector").alias("query")).limit(MOST_QUERIES)), "query_id").select("query_id", F.col("chunk_id").alias("id"), "query", "vector"), k)
+    chosen = mmr(gated.join(queries.select("query_id", F.col("vector").alias("query")), "query_id").select("query_id", F.col("chunk_id").alias("id"), "query", "vector"), k)
     return chosen.select(F.col("id").alias("anchor")).distinct().join(info.select("document_id", F.col("chunk_id").alias("anchor"), F.col("previous_chunk_id").alias("pre"), F.col("next_chunk_id").alias("post")).distinct(), "anchor").select("document_id", "pre", "anchor", "post")
 
 

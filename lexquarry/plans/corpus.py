@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -364,9 +366,10 @@ def cosine_topk(spark, d):
 @query(f"WITH {_NEAR} SELECT query_id, label, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label)::INT AS rank FROM (SELECT query_id, label, max(score) AS score FROM near JOIN v ON v.vec_id = near.id GROUP BY ALL)) WHERE rank <= 5")
 def best_score_topk(spark, d):
     q, v = _stated(spark, d)
-    hits = v.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").join(F.broadcast(q.limit(retrieval.MOST_QUERIES)))
-    scored = hits.select("query_id", F.col("label").alias("id"), retrieval.cosine(F.col("vector"), F.col("query")).alias("score"))
-    return retrieval.best_scores(scored, 5).select("query_id", F.col("id").alias("label"), F.round("score", 6).alias("score"), "rank")
+    labelled = v.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    score = retrieval.cosine(F.col("vector"), F.col("query")).alias("score")
+    best = [retrieval.best_scores(labelled.join(F.broadcast(block)).select("query_id", F.col("label").alias("id"), score), 5) for block in retrieval.in_blocks(q)]
+    return reduce(DataFrame.union, best).select("query_id", F.col("id").alias("label"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH v AS ({_V}), p AS (SELECT vec_id AS p_id, e AS pe FROM v WHERE vec_id < 3),
@@ -412,8 +415,9 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
 
     q, v = _stated(spark, d)
     first = retrieval.nearest(q, v, 20).select("query_id", "id", "rank")
-    order = W.partitionBy("query_id").orderBy((F.col("id") * 7919) % 1009, "id")
-    second = v.select("id").join(F.broadcast(q.select("query_id").limit(retrieval.MOST_QUERIES))).withColumn("rank", F.row_number().over(order)).where("rank <= 20").select("query_id", "id", "rank")
+    order = (F.col("id") * 7919) % 1009, F.col("id")
+    same = v.select("id").orderBy(*order).limit(20).withColumn("rank", F.row_number().over(W.orderBy(*order)))  # for every query
+    second = q.select("query_id").join(F.broadcast(same)).select("query_id", "id", "rank")
     return retrieval.rank_fusion(first.union(second))
 
 
@@ -448,7 +452,7 @@ def hybrid_score(spark, d):
 @query()
 def mmr_rerank(spark, d):
     q, v = _stated(spark, d)
-    candidates = retrieval.nearest(q, v, 30).join(v, "id").join(F.broadcast(q.limit(retrieval.MOST_QUERIES)), "query_id").select("query_id", "id", "query", "vector")
+    candidates = retrieval.nearest(q, v, 30).join(v, "id").join(q, "query_id").select("query_id", "id", "query", "vector")
     return retrieval.mmr(candidates, 10).select("query_id", "id", "mmr_rank")
 
 

@@ -80,3 +80,17 @@ def test_best_threshold_and_retention(spark):
     counts = spark.createDataFrame([(1, 4)], "doc_id long, n int")
     got = {r.doc_id: r.retention for r in features.chunking_results(chunks, counts, counts.limit(0), "doc_id").collect()}
     assert got == {1: 0.0, 2: None}
+
+
+def test_every_stated_query_is_answered(spark, tmp_path, monkeypatch):
+    from lexquarry.plans import corpus
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(401)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    names = ("best_score_topk", "cosine_topk", "rrf_fusion", "mmr_rerank")
+    whole = {n: sorted(corpus.QUERIES[n](spark, str(tmp_path)).collect()) for n in names}
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 2)
+    for n in names:
+        assert {r.query_id for r in whole[n]} == set(range(0, 401, 50))
+        assert sorted(corpus.QUERIES[n](spark, str(tmp_path)).collect()) == whole[n]
