@@ -339,6 +339,13 @@ def as_vectors(long: DataFrame, key: str, dims: int = 64) -> DataFrame:
     return v.select(key, F.transform("v", lambda x: F.coalesce(F.try_divide(x, norm(F.col("v"))), F.lit(0.0))).alias("embedding"))
 
 
+def with_vectors(texts: DataFrame, key: str, text: str = "text", dims: int = 64) -> DataFrame:
+    """Every row of texts with its vector, a hash embedding; without tokens zeros. key: unique and not null."""
+    vectors = as_vectors(hash_embedding(texts, key, text, dims), key, dims).withColumnRenamed("embedding", "vector")
+    zeros = F.array_repeat(F.lit(0.0).cast("double"), dims)
+    return texts.join(vectors, key, "left").withColumn("vector", F.coalesce("vector", zeros))
+
+
 def within_group(queries: DataFrame, vectors: DataFrame, k: int, by: str) -> DataFrame:
     """query_id, id, score, rank: the k nearest vectors of each query's own group. An equi-join by group; a group is never gathered."""
     pairs = vectors.join(queries, by)

@@ -443,9 +443,8 @@ def rank_neighbour_boost(spark, d):
 def hybrid_score(spark, d):
     from ..operators import retrieval as r
 
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    chunks = v.join(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), _cited().alias("text")), "chunk_id")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(v.select(F.col("chunk_id").alias("query_id"), "vector"), "query_id")
+    chunks = r.with_vectors(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), _cited().alias("text")), "chunk_id")
+    q = r.with_vectors(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
     return r.hybrid(q, chunks, 10)
 
 

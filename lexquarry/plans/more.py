@@ -83,9 +83,10 @@ def within_group_topk(spark, d):
 
 
 def _text_vectors(spark, d):
-    q, v = _stated(spark, d)
-    texts = _docs(spark, d).select(F.col("doc_id").alias("id"), _cited().alias("text"), (F.col("doc_id") % 4 < 3).alias("cited"))
-    return q, v.join(texts, "id")
+    """The stated queries (documents with ids divisible by 50) and all documents, each with a vector of its text."""
+    texts = _docs(spark, d).select(F.col("doc_id").alias("id"), _cited().alias("text"), (F.col("doc_id") % 4 < 3).alias("cited"), "source")
+    chunks = retrieval.with_vectors(texts, "id")
+    return chunks.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), chunks
 
 
 @query()
@@ -97,7 +98,7 @@ def training_retrieval(spark, d):
 @query()
 def boosted_dense(spark, d):
     q, chunks = _text_vectors(spark, d)
-    prototypes = models.prototypes(table(spark, d, "embeddings"), "label").select(F.col("label").alias("query_id"), F.col("prototype").alias("query"))
+    prototypes = models.prototypes(chunks, "source", "vector").select(F.col("source").alias("query_id"), F.col("prototype").alias("query"))
     return retrieval.boosted_dense(q, chunks, prototypes, 10).withColumn("score", F.round("score", 6))
 
 

@@ -94,3 +94,17 @@ def test_every_stated_query_is_answered(spark, tmp_path, monkeypatch):
     for n in names:
         assert {r.query_id for r in whole[n]} == set(range(0, 401, 50))
         assert sorted(corpus.QUERIES[n](spark, str(tmp_path)).collect()) == whole[n]
+
+
+def test_every_document_is_searched(spark, tmp_path):
+    from lexquarry.plans import corpus, more
+
+    docs = [(i, f"page{i} word{i} term{i}", "en", f"s{i % 2}", 9) for i in range(60)] + [(100, "", "en", "s0", 0), (150, None, "en", None, 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], i % 2) for i in range(5)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(3, "page50 word50 term50"), (700, "page9 word9")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.query_id, r.id) for r in corpus.hybrid_score(spark, str(tmp_path)).collect()}
+    assert {q for q, _ in found} == {3, 700} and {i for _, i in found} - set(range(5))
+    for f in (more.training_retrieval, more.boosted_dense):
+        found = {(r.query_id, r.id) for r in f(spark, str(tmp_path)).collect()}
+        assert (50, 50) in found and {q for q, _ in found} == {0, 50, 100, 150}
