@@ -19,7 +19,8 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd
             continue
         last = np.ones(len(batch), bool)
         for k in key:
-            last &= (batch[k] == batch[k].iloc[-1]).to_numpy()
+            end = batch[k].iloc[-1]
+            last &= (batch[k].isna() if pd.isna(end) else batch[k] == end).to_numpy()  # null is a group
         cut = int(np.argmax(last))
         carried = batch.iloc[cut:].reset_index(drop=True)
         if cut:

@@ -109,3 +109,14 @@ def test_oracles(spark, name):
     df = registry.QUERIES[name](spark, DIR)
     assert sorted(df.columns) == sorted(columns)
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr(list(r)) for r in rel.fetchall())
+
+
+def test_groups_with_null_in_their_key_are_passed_on():
+    import pandas as pd
+
+    from lexquarry.llm._groups import whole_groups
+
+    batches = [pd.DataFrame({"region": [i, i, i + 1], "block": [None] * 3}) for i in range(0, 20, 2)]
+    frames = list(whole_groups(iter(batches), ["region", "block"]))
+    assert max(map(len, frames)) <= 4 and sum(map(len, frames)) == 30
+    assert not any(set(a["region"]) & set(b["region"]) for a, b in zip(frames, frames[1:]))
