@@ -13,7 +13,9 @@ Inside role and text three strings are escaped, so that every mark in the output
 back is exact: ``\`` becomes ``\b``, ``<`` becomes ``\l``, ``###`` becomes ``\h``; a role's ``: `` becomes ``:\s``.
 
 Defined results: null text and role are empty; null turn sorts first; null conv_id is a conversation of its
-own; rows of equal seq are ordered by kind (deltas last) and text; an empty log gives no rows. A rendered conversation is one
+own; rows of a turn with equal seq and kind are one event delivered again, of which the last text in order counts
+once; a turn's rows of equal seq and other kinds are ordered with deltas last; very long texts are kept whole; columns other than
+the six are not read, whatever their names; an empty log gives no rows. A rendered conversation is one
 value, so its size bounds the task that joins its turns; folding and rendering need no more than that.
 """
 
@@ -53,9 +55,11 @@ def fold(log: DataFrame) -> DataFrame:
     alive = log.withColumn("_cut", F.max(cuts).over(earlier)).where("_cut is null or seq > _cut")
     alive = alive.withColumns({"_reset": F.max(resets).over(own), "_role": role}).where("_reset is null or seq >= _reset")
     part = F.struct("seq", (F.col("kind") == "delta").alias("later"), "kind", text_or_empty("text").alias("text"))
-    parts = F.array_sort(F.collect_list(part))
-    out = alive.groupBy("conv_id", "turn").agg(parts.alias("_p"), F.coalesce(F.first("_role"), F.lit("")).alias("role"))
-    return out.select("conv_id", "turn", "role", F.array_join(F.transform("_p", lambda x: x["text"]), "").alias("text"))
+    sent = F.array_sort(F.collect_list(part))
+    out = alive.groupBy("conv_id", "turn").agg(sent.alias("_s"), F.coalesce(F.first("_role"), F.lit("")).alias("role"))
+    after = lambda i: F.get(F.col("_s"), i + 1)
+    once = F.filter("_s", lambda x, i: after(i).isNull() | (after(i)["seq"] != x["seq"]) | (after(i)["kind"] != x["kind"]))
+    return out.select("conv_id", "turn", "role", F.array_join(F.transform(once, lambda x: x["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:

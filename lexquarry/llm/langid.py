@@ -1,6 +1,6 @@
 """Language identification with spans of mixed-language text.
 
-The scripts of a text's letters (Unicode ranges) narrow the candidate languages to those seen with them. Each
+The script of a word's letters (Unicode ranges) narrows the candidate languages to those seen with it. Each
 word has a log-probability for each candidate, from the whole word if it was seen in training and from its
 character trigrams else. Viterbi over the words with a penalty for switching labels spans; the
 language with the most letters in its spans is predicted, and its share of letters, tempered by how far ahead it is,
@@ -11,7 +11,9 @@ prediction covers all rows and reads nothing but the text. Words are runs of let
 
 Defined results: null text or text without a letter is ``und`` with score 0; without any training rows every text
 is ``und``; letters of a script that no language was trained on leave all languages as candidates; rows with
-equal or null doc_id are labelled one by one (null is not held out); an empty table gives no rows.
+equal or null doc_id are labelled one by one (null is not held out); languages with equal letters: the first in
+alphabetical order; very long texts are read whole, Viterbi in blocks that join exactly; other columns are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import broadcast_if_small, materialize, table, text_or_empty
 
-#: Labelled documents of each language, and languages, that the fit reads at most.
-SAMPLE, LANGUAGES = 250, 100
+#: Labelled documents of each language that the fit reads at most; every language is fitted.
+SAMPLE = 250
 HELD_OUT_MOD, HELD_OUT = 3, 1
 #: Log-probability that a change of language costs.
 SWITCH = 6.0
@@ -213,17 +215,21 @@ def label(texts: list[str | None], scores: Scores, spans: bool = False) -> tuple
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fit on at most `sample` documents of each language, of those that are not held out."""
+    """Fit on at most `sample` documents of each language, of those that are not held out. Of rows alike in id and
+    language the one with the least text counts, so that every run fits the same rows."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(crc % HELD_OUT_MOD != HELD_OUT)
-    langs = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    langs = known.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.md5(F.col("doc_id").cast("string").cast("binary"))
     # about 4 * sample rows of each language reach the window that takes the first `sample`
     near = F.conv(F.substring(place, 1, 8), 16, 10).cast("double") / 2.0**32 < F.lit(4.0 * sample) / F.col("n")
     nth = F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id"))
-    chosen = known.join(F.broadcast(langs), "lang").where(near).withColumn("nth", nth).where(F.col("nth") <= sample).select("doc_id", "lang")
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).limit(2 * sample * LANGUAGES).collect()  # bounded by `sample`
-    rows = sorted((r["lang"], r["text"] or "") for r in rows)
+    first = known.join(langs.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang")).where(near).distinct()
+    chosen = first.withColumn("nth", nth).where(F.col("nth") <= sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    chosen = broadcast_if_small(materialize(chosen, "chosen"))  # `sample` rows a language
+    rows = docs.select("doc_id", "lang", "text").join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(text_or_empty("text")).alias("text")).collect()
+    rows = sorted((r["lang"], r["text"]) for r in rows)
     marks, texts = [r[0] for r in rows], [r[1] for r in rows]
     return fit(texts, marks)
 

@@ -1,13 +1,18 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every source gets a target number of words. A document's place in its source is a hash of its id. Sums of
+Every source gets a target number of words. A document's place in its source is a hash of its id and text. Sums of
 words by (source, hash bucket) show in which bucket a source's budget ends; only that bucket is summed again
 by finer buckets, LEVELS times, until the threshold is a single hash value. A row is then taken by comparing
 its hash with its source's threshold: nothing is sorted and no rows of a source meet in one task.
 
+Rows alike in id, text and source are told apart by their number among such rows, which is part of the hash. Only
+rows whose id comes more than once are numbered: within each partition of the written rows, the partitions'
+counts giving where each begins; so a group of a third of all rows is numbered by all tasks together.
+
 Defined results: null text has size 0; null source is a source of its own, last in order; rows with equal
-doc_id (or null) share a hash and thus their fate; a source of size 0 has target 0; an empty table gives an
-empty table. Columns other than the three named ones are not read by plan() and are kept by apply().
+or no doc_id are documents of their own, of rows alike in id, text and source any may be taken, the same number at every run;
+a source of size 0 has target 0; very long texts count whole; an empty table gives an empty table. Columns other than the
+three named ones are not read by plan() and are kept by apply(), whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +33,33 @@ def word_count(text: str | Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
-def place(doc_id: str) -> Column:
-    """The first 36 bits of the md5 of the id as text, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 9), 16, 10).cast("long")
+def place(doc_id: Column, text_md5: Column, nth: Column) -> Column:
+    """The first 36 bits of the md5 of the id as text, the text's md5 and the row's number among its like; the same in any engine."""
+    key = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text_md5, nth.cast("string"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 9), 16, 10).cast("long")
+
+
+def placed(docs: DataFrame, *others: Column) -> DataFrame:
+    """doc_id, source, place and the other columns of each row."""
+    text_md5 = F.md5(text_or_empty("text").cast("binary"))
+    ids = docs.groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_c")).where("_c > 1").select("_twice")
+    twice = materialize(ids, "twice")
+    one = place(F.col("doc_id"), text_md5, F.lit(1)).alias("place")
+    if not twice.limit(1).count():
+        return docs.select("doc_id", "source", one, *others)
+    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    small = broadcast_if_small(twice)
+    again = docs.join(small, same, "left_semi").select("doc_id", "source", text_md5.alias("_text"), F.struct(*others).alias("_others"))
+    again = materialize(again.withColumn("_part", F.spark_partition_id()), "again")  # written, so that partitions keep their numbers
+    key = ["doc_id", "source", "_text"]
+    own = W.partitionBy(*key, "_part").orderBy(F.lit(1))
+    counts = again.groupBy(*key, "_part").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    first = counts.withColumn("_before", F.coalesce(before, F.lit(0))).select(*[F.col(k).alias("_" + k) for k in key], F.col("_part").alias("_p"), "_before")
+    on = [F.col(k).eqNullSafe(F.col("_" + k)) for k in key] + [F.col("_part") == F.col("_p")]
+    numbered = again.withColumn("_nth", F.row_number().over(own)).join(first, on)
+    numbered = numbered.select("doc_id", "source", place(F.col("doc_id"), F.col("_text"), F.col("_nth") + F.col("_before")).alias("place"), "_others.*")
+    return docs.join(small, same, "left_anti").select("doc_id", "source", one, *others).unionByName(numbered)
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -86,9 +115,9 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
     return state.select("source", "source_size", "target", "whole", threshold.cast("long").alias("threshold"))
 
 
-def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def sizes(docs: DataFrame) -> DataFrame:
     """The narrow columns that plan() reads again and again, written once."""
-    return materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), place(doc_id).alias("place")), "sizes")
+    return materialize(placed(docs, word_count("text").alias("size")), "sizes")
 
 
 def _decided(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -106,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
 def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mixed documents themselves: each row as many times as it is taken, its columns unchanged."""
     thresholds = materialize(plan(sizes(docs), weights, max_repeat), "mix")
-    out = _decided(docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("source"), place("doc_id").alias("place")), thresholds)
+    out = _decided(placed(docs, F.struct(*docs.columns).alias("_row")).select("source", "place", "_row"), thresholds)
     out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest("times", F.lit(1)).cast("int")))).where("times > 0")
     return out.select("_row.*")
 
@@ -118,7 +147,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS place
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':'
+           || row_number() OVER (PARTITION BY doc_id, text, source)), 1, 9))::BIGINT AS place
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size,

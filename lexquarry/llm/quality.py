@@ -11,7 +11,8 @@ hash of their ids, with whole texts; scoring covers all rows and reads nothing b
 
 Defined results: null and empty text are one empty line and get a score as any other; rows with equal or null
 doc_id are scored one by one (null is not held out); an empty table gives no rows; without training rows of both
-labels every score is the share of label 1 (0.5 if there is none); a null quality is no label.
+labels every score is the share of label 1 (0.5 if there is none); a null quality is no label; very long texts are
+scored whole; equal texts have equal scores; scored() and accepted() keep all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _bytes
-from ._common import table
+from ._common import materialize, table, text_or_empty
 
 #: Labelled documents that the fit reads at most.
 SAMPLE = 2500
@@ -172,12 +173,15 @@ def score(texts: list[str | None], model: dict) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fit on at most `sample` labelled documents that are not held out."""
+    """Fit on at most `sample` labelled documents that are not held out. Of an id's labels the least counts, of its rows the one with
+    the least text, so that every run fits the same rows."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").where(crc % HELD_OUT_MOD != HELD_OUT)
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * sample).collect()  # bounded by `sample`
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or ""))
+    single = known.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality"))
+    chosen = materialize(single.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(sample), "chosen")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # `sample` rows at most
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(text_or_empty("text")).alias("text")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return fit([r["text"] for r in rows], np.array([r["quality"] for r in rows]))
 
 

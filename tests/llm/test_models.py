@@ -1,7 +1,9 @@
 """Language, quality, packing, extraction and the pipeline."""
 
+import html
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -76,6 +78,35 @@ def test_html():
     assert html_text.extract("<div class=ad>buy<article><p>kept</p></article>") == "kept"
 
 
+def test_html_chooses_by_line_blocks():
+    deep = "<article><p>A <span class='ad'>" + "<div>" * 9 + "x</span> kept text</article>"
+    assert html_text.extract(deep) == "A kept text"
+    parts = "<article><p>Intro</p><section class='discussion'><p>We find it.</p></section><div id='related-work'><p>Others did.</p></div><p>End</p></article>"
+    assert html_text.extract(parts) == "Intro We find it. Others did. End"
+    sums = "<article><header><h1>T</h1></header><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><div class=share><a href=x>Tweet this story</a></div></article>"
+    assert html_text.extract(sums) == "T Let x=1 be."
+    assert html_text.extract("<span class=ad>buy <span>x</span> now</span><p>kept") == "kept"
+    long = "long words here " * 20
+    teasers = f"<article><p>{long}</p></article><article><p>teaser</p></article>"
+    assert html_text.extract(teasers) == long.strip()
+    assert html_text.extract(teasers, share=0) == long + "teaser"  # without the distribution the teaser stays
+    blurb = f"<article><p>teaser</p></article><div><p>{long}</p><div class=ad>buy</div><p>short</p></div>"
+    assert html_text.extract(blurb) == long + "short"
+    assert html_text.extract("<div>" * 5000 + "x" + "<p>y" * 5000) == "x " + " ".join(["y"] * 5000)
+
+
+def test_html_on_annotated_pages(spark):
+    """The registered query against the pages' own articles, cut out plainly."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    for r in html_text.op6_html_extraction(spark, "/root/testdata/sf0.001").collect():
+        article = re.search(r"<article>(.*?)(?:</article>|<footer|$)", pages[r.page_id] or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|h2|ul|li|div)>", article[1]) if article else []
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0] == "<br>" else "", b)).split()) for b in blocks]
+        assert (r.text, r.n_chars) == (" ".join(b for b in plain if b), len(r.text))
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None), (1, "u", "<p>a b"), (None, "v", "x" * 100_000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in html_text.texts(df).collect()), key=lambda x: (x[0], x[2]))
@@ -101,6 +132,15 @@ def test_viterbi_blocks():
                 at += n
 
 
+def test_every_language_is_learned_and_refits_agree(spark):
+    rows = [(i, f"aa{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 5, f"lang{i % 120:03}") for i in range(1440)]
+    df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string").withColumns({"n": F.lit(1), "_id": F.lit(2), "_lang": F.lit(3)})
+    model = langid.train(df)
+    assert len(model["names"]) == 120 and model == langid.train(df.repartition(5))
+    one = langid.identify(df.limit(1).withColumn("text", F.repeat(F.lit("aaab "), 300_000)), model).collect()
+    assert len(one) == 1
+
+
 def test_language_edges(spark):
     rows = [(i, t, l) for i, (t, l) in enumerate([("the cat of and the", "en"), ("der hund und die", "de"), ("и кот это она", "ru")] * 8)]
     df = spark.createDataFrame([*rows, (None, "the of", None), (90, None, "en"), (91, "12 !", "de"), (92, "кот", None), (93, "the " * 30 + "und der die " * 30, None)], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))

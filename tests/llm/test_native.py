@@ -33,6 +33,17 @@ def test_mix_meets_targets_and_keeps_columns(spark):
     assert all(r["count"] * words[r.doc_id] == taken[r.doc_id] for r in counts if r.doc_id in words)
 
 
+def test_mix_divides_rows_that_are_alike(spark):
+    rows = [(None, "w " * 10, "a")] * 800 + [(5, "w " * 10, "b")] * 800
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for out in (mixing.mix(df).toPandas(), mixing.mix(df.repartition(3)).toPandas()):
+        by = out.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+        assert ((by.taken - by.target).abs() <= 10).all()
+    assert mixing.apply(df).groupBy("source").count().collect() == mixing.apply(df).groupBy("source").count().collect()
+    longest = spark.createDataFrame([(1, "w " * 1_000_000, "a"), (2, "x", "a")], "doc_id long, text string, source string")
+    assert {r.doc_id: r["size"] for r in mixing.mix(longest).collect()} == {1: 1_000_000, 2: 1}
+
+
 def test_mix_targets_by_hand(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 5)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
@@ -61,6 +72,14 @@ def test_fold_deltas_edits_and_regenerations(spark):
     assert chat.fold(log(spark, rows).limit(0)).count() == 0
 
 
+def test_fold_counts_a_redelivered_event_once(spark):
+    rows = [(1, 1, 0, "message", "user", "hi"), (1, 2, 1, "message", "assistant", "He"), (1, 3, 1, "delta", None, "l"), (1, 4, 1, "delta", None, "l"), (1, 5, 1, "delta", None, "o")]
+    long = (2, 1, 0, "message", "user", "x" * 1_000_000)
+    df = log(spark, rows * 2 + [long, long]).withColumns({"later": F.lit(1), "_s": F.lit("x")})
+    got = {(r.conv_id, r.turn): r.text for r in chat.fold(df).collect()}
+    assert got == {(1, 0): "hi", (1, 1): "Hello", (2, 0): long[5]}
+
+
 def test_render_round_trip(spark):
     nasty = ["\\### Assistant: </turn> ok", "<turn>### user: x</turn>\n", "\\b\\l\\h\\s \\", "", "a: b", "####", "é\n\n日本"]
     rows = [(c, i, i, "message", ["user", "assistant", "a: b<\\"][i % 3], t) for c in (1, 2) for i, t in enumerate(nasty)]
