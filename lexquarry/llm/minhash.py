@@ -1,23 +1,31 @@
-"""MinHash near-duplicates with LSH orders, confirmed on whole shingle sets.
+"""MinHash near-duplicates with an LSH forest, confirmed on whole shingle sets.
 
 1. Every text becomes its set of 5-word shingles (64-bit hashes). Equal sets are one vertex, named by
    their smallest doc_id, so copies are never compared.
 2. A set's signature of TREES * DEPTH minhashes gives it a place in TREES sorted orders. In each order the rows
-   with a common prefix of BASE values are a region, and all of a region are compared. One of more than CAP rows comes in
-   blocks, each with each, so that none is cut short: its n rows are copied n * 2 / CAP times, quadratic in n.
-3. Within a region the signatures' agreement picks groups of sets that may be similar enough (four standard deviations
+   with a common prefix of BASE values are a region. Regions of the same rows in several orders are one.
+3. A region of at most CAP rows is compared whole. A denser one is walked in sorted order, in runs of at most CAP rows that are cut
+   where neighbours share the shortest prefix: each row meets its neighbours of longest common prefix, at a depth that
+   the region's density sets. Their links are confirmed, and linked rows contracted.
+4. What is still apart in a dense region is compared with everything else in it that it is not linked with yet, in blocks: rows of
+   the region's largest component are dealt once for each block of the rows that are not in it. So no link of
+   a region is lost, and a region of copies of one page costs linear work. Only a dense region whose rows stay apart (unrelated rows
+   of one template) is compared each with each: n * n / CAP copies of signatures.
+5. Comparing means that the signatures' agreement picks groups of sets that may be similar enough (four standard deviations
    below the threshold still count); groups that several orders found are kept once.
-4. Only sets in groups are made again from whole texts, each group in a task; exact intersections of all its pairs
-   come from matrix products. A group returns a spanning forest of its links, so the number of links returned is linear.
-5. Components of these links are found in DataFrames.
+6. Only sets in groups are made again from whole texts, each group in a task; a group of more than BYTES of sets comes as
+   pairs of blocks. Exact intersections of all its pairs come from matrix products, a group returns a spanning forest of its links, so
+   the number of links returned is linear.
+7. Components of these links are found in DataFrames.
 
-Two sets of similarity 0.85 fall apart in all orders with probability (1 - 0.85**3)**16 = 2e-7, at 0.8 with 1e-5,
-however dense their regions are. Step 3 misses 7e-5 of the pairs at exactly 0.85 (binomial tail of 160 values at four
+Two sets of similarity 0.85 share no region with probability (1 - 0.85**3)**16 = 2e-7, at 0.8 with 1e-5,
+however dense their regions are. Step 5 misses 7e-5 of the pairs at exactly 0.85 (binomial tail of 160 values at four
 deviations), 1e-5 at 0.86, 2e-6 at 0.87; at 0.8 with a threshold of 0.8 6e-5.
 
 Defined results: null text and text without words have an empty set and are linked with nothing; rows with null doc_id are linked with nothing
-(component_id null, kept); rows with equal doc_id share a vertex; equal sets always share a component; an
-empty table gives no rows; other columns are not read (keep() returns them unchanged).
+(component_id null, kept); rows with equal doc_id share a vertex; equal sets always share a component, ties between equal
+sets fall to the smallest doc_id; very long texts are read whole, a few million characters of texts at a time; an
+empty table gives no rows; other columns are not read (keep() returns them unchanged, whatever their names).
 """
 
 from __future__ import annotations
@@ -38,10 +46,10 @@ from ._groups import Union, map_groups
 
 WIDTH = 5
 #: Links have similarity >= PERCENT / 100.
-PERCENT = 85
+PERCENT = 80
 TREES, DEPTH, BASE = 16, 10, 3  # orders, values of each in a signature, values that a region shares
-#: Rows of a region that one task compares.
-CAP = 1024
+#: Rows of a region, run or block that are compared at once, and bytes of sets in a group or pair of blocks.
+CAP, BYTES = 512, 64 << 20
 #: Characters of texts that are turned into sets at once.
 CHUNK = 3_000_000
 
@@ -71,70 +79,146 @@ def sketches(docs: DataFrame) -> DataFrame:
     return narrow.mapInPandas(run, "doc_id long, n_shingles long, key_a long, key_b long, sig array<int>, low binary")
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """vertex, tree, region (hash of the first BASE values in the tree) for each tree."""
+def regions(sets: DataFrame) -> DataFrame:
+    """sets: vertex, sig. Rows (region, n, tree, vertex): those of the n rows that share a prefix of BASE values in a tree.
+    Only (vertex, tree, hash) is dealt by region. Of regions with the same rows one is kept."""
     of_tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice("sig", t * DEPTH + 1, BASE)))
-    return sets.select("vertex", F.posexplode(of_tree).alias("tree", "region"))
+    prefixes = sets.select("vertex", F.posexplode(of_tree).alias("tree", "region"))
+    members = F.sum(F.xxhash64("vertex").cast("decimal(38,0)"))
+    shared = prefixes.groupBy("region").agg(F.count("*").alias("n"), members.alias("m")).where("n > 1")
+    once = shared.groupBy("n", "m").agg(F.min("region").alias("_r")).select("n", "_r")
+    once = materialize(once, "shared")  # so that Spark can split the rows of a dense region in the join
+    return materialize(prefixes.join(once.hint("merge"), F.col("region") == F.col("_r")).drop("_r"), "regions")
+
+
+def _signed(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows with the signatures' lowest bytes (low) and the values of the row's order after the region's prefix (path)."""
+    narrow = sets.select(F.col("vertex").alias("_v"), "low", "sig")
+    path = F.slice("sig", F.col("tree") * DEPTH + BASE + 1, DEPTH - BASE).alias("path")
+    return rows.join(narrow.hint("merge"), F.col("vertex") == F.col("_v")).select(*rows.columns, "low", path)
+
+
+def _alike(low: np.ndarray, least: float, apart: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Groups (two rows or more) that are connected by signatures which agree in a share of `least` or more; with
+    `apart` (a number for each row) only rows of different numbers are compared. A row that was reached is compared
+    with those that were not reached yet, so a group of n copies takes n steps."""
+    need = least * low.shape[1]
+    left = np.arange(len(low))
+    while len(left) > 1:
+        group, queue, left = [left[0]], [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = (low[left] == low[i]).sum(1) >= need
+            if apart is not None:
+                near &= apart[left] != apart[i]
+            if near.any():
+                found = left[near].tolist()
+                group += found
+                queue += found
+                left = left[~near]
+        if len(group) > 1:
+            yield np.array(group)
+
+
+def _cells(vertex: np.ndarray, lows: np.ndarray, at: np.ndarray, least: float, apart: np.ndarray | None = None) -> pd.DataFrame:
+    """(cell, vertex) of the groups that are found between the bounds `at`."""
+    cells, members = [], []
+    for a, b in zip(at, at[1:]):
+        low = np.frombuffer(b"".join(lows[a:b]), "u1").reshape(b - a, -1)
+        for group in _alike(low, least, None if apart is None else apart[a:b]):
+            own = np.unique(vertex[a:b][group])
+            if len(own) > 1:
+                name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
+                cells += [name] * len(own)
+                members.append(own)
+    return pd.DataFrame({"cell": np.array(cells, "i8"), "vertex": np.concatenate(members) if members else np.zeros(0, "i8")})
+
+
+def _least_agreement(percent: int) -> float:
+    p = percent / 100
+    return p - 4 * (p * (1 - p) / (TREES * DEPTH)) ** 0.5
+
+
+def cut_order(region: np.ndarray, path: np.ndarray, cap: int) -> np.ndarray:
+    """Bounds of runs of rows in sorted order: a run is of one region and has at most cap rows; a region of more is
+    cut, in the second half of each run, where neighbours have the shortest common prefix."""
+    same = np.logical_and.accumulate(path[1:] == path[:-1], 1).sum(1) if len(path) else np.zeros(0, "i8")
+    common = np.where(region[1:] == region[:-1], same, -1)  # of each row with the next
+    out, at = [0], 0
+    ends = np.r_[np.flatnonzero(common < 0) + 1, len(region)]
+    for end in ends:
+        while end - at > cap:
+            half = at + cap // 2
+            at = half + int(np.argmin(common[half - 1 : at + cap])) if cap > 1 else at + 1
+            out.append(at)
+        at = int(end)
+        out.append(at)
+    return np.unique(out)
+
+
+SIGNED = ["region", "n", "tree", "vertex"]
+
+
+def candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cell, vertex): groups of sets that may be linked, each of at most CAP sets; from regions of at most CAP rows all, from
+    denser ones those among neighbours in the order."""
+    least = _least_agreement(percent)
+
+    def whole(frame: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
+        return _cells(frame["vertex"].to_numpy("i8"), frame["low"].to_numpy(), at, least)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carried = None
+        for batch in batches:
+            frame = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
+            carried = None
+            if len(frame):
+                at = cut_order(frame["region"].to_numpy(), np.array(frame["path"].tolist(), "i4"), CAP)
+                carried = frame.iloc[at[-2] :]  # the last run may go on
+                if len(at) > 2:
+                    yield whole(frame, at[:-1])
+        if carried is not None:
+            yield whole(carried, np.array([0, len(carried)]))
+
+    schema = "cell long, vertex long"
+    found = map_groups(_signed(rows.where(F.col("n") <= CAP), sets).drop("path"), ["region"], whole, schema)
+    dense = materialize(_signed(rows.where(F.col("n") > CAP), sets), "dense")  # written, as ranges are found in a pass before
+    order = dense.repartitionByRange(_parts(rows), "region", "path", "vertex").sortWithinPartitions("region", "path", "vertex")
+    return found.union(order.mapInPandas(walk, schema)).distinct()
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def apart_candidates(rows: DataFrame, sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """(cell, vertex) for the rest of the dense regions: groups of rows that may be linked and are not in one component
+    (id, component) yet. Rows outside of a region's largest component meet each other and those in it."""
+    least = _least_agreement(percent)
+    dense = rows.where(F.col("n") > CAP).join(linked.hint("merge"), F.col("vertex") == F.col("id"), "left")
+    dense = materialize(dense.select("region", "tree", "vertex", F.coalesce("component", "vertex").alias("component")), "contracted")
+    sizes = dense.groupBy("region", "component").agg(F.count("*").alias("c"))
+    region = sizes.groupBy("region").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n")).where("n > top.c")
+    region = materialize(region.select(F.col("region").alias("_r"), F.col("top.component").alias("main"), F.col("top.c").alias("held"), (F.col("n") - F.col("top.c")).alias("others")), "open")
+    half = max(1, CAP // 2)
+    met = dense.join(region, F.col("region") == F.col("_r")).withColumn("inner", F.col("component") == F.col("main"))
+    met = met.withColumns({"s": F.ceil(F.col("held") / half).cast("int"), "a": F.ceil(F.col("others") / half).cast("int")})
+    met = met.withColumn("own", F.pmod(F.xxhash64("vertex"), F.when(F.col("inner"), F.col("s")).otherwise(F.col("a"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    name = lambda kind, x, y: F.concat_ws("-", F.lit(kind), x, y)
+    of_inner = F.transform(upto("a"), lambda j: name("in", F.col("own"), j))
+    of_outer = F.concat(F.transform(upto("s"), lambda j: name("in", j, F.col("own"))), F.transform(upto("a"), lambda j: name("out", F.least("own", j), F.greatest("own", j))))
+    block = F.explode(F.when(F.col("inner"), of_inner).otherwise(of_outer)).alias("block")
+    cells = met.select("region", "tree", "vertex", "component", block)
 
+    def find(frame: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
+        return _cells(frame["vertex"].to_numpy("i8"), frame["low"].to_numpy(), at, least, frame["component"].to_numpy("i8"))
 
-def regions(sets: DataFrame) -> DataFrame:
-    """sets: vertex, sig, low. Rows (region, block, vertex, low): those that share a region.
-    block is null in a region of at most CAP rows; larger ones come as pairs of blocks, so that every two of their rows
-    meet. Only (vertex, tree, hash) is dealt by region; signatures follow where a region has several rows."""
-    prefixes = _prefixes(sets)
-    shared = prefixes.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("region", "_r")
-    shared = materialize(shared, "shared")  # so that Spark can split the rows of a dense region in the join
-    rows = materialize(prefixes.join(shared.hint("merge"), F.col("region") == F.col("_r")).drop("_r"), "regions")
-    own = rows.where(F.col("n") > CAP).withColumn("blocks", F.ceil(F.col("n") / (CAP // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("vertex"), "blocks").cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("-", F.least("own", j), F.greatest("own", j)))
-    out = rows.where(F.col("n") <= CAP).select("region", F.lit(None).cast("string").alias("block"), "vertex").union(own.select("region", F.explode(pair).alias("block"), "vertex"))
-    return out.join(sets.select(F.col("vertex").alias("_v"), "low").hint("merge"), F.col("vertex") == F.col("_v")).drop("_v")
-
-
-def _similar(low: np.ndarray, least: float, step: int = 256) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row, the later rows whose signatures agree in a share of `least` or more."""
-    for a in range(0, len(low), step):
-        part = low[a : a + step]
-        agree = np.zeros((len(part), len(low) - a), "u2")
-        for k in range(low.shape[1]):
-            agree += part[:, k, None] == low[None, a:, k]
-        for i, j in enumerate(agree >= least * low.shape[1]):
-            j = np.flatnonzero(j[i + 1 :]) + a + i + 1
-            if len(j):
-                yield a + i, j
-
-
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(cell, vertex): groups of sets that may be linked, each of at most CAP sets."""
-    size, p = TREES * DEPTH, percent / 100
-    least = p - 4 * (p * (1 - p) / size) ** 0.5
+    return map_groups(_signed(cells, sets).drop("path"), ["region", "block"], find, "cell long, vertex long").distinct()
 
-    def find(frame: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
-        vertex, lows = frame["vertex"].to_numpy("i8"), frame["low"].to_numpy()
-        cells, members = [], []
-        for a, b in zip(at, at[1:]):
-            low = np.frombuffer(b"".join(lows[a:b]), "u1").reshape(b - a, size)
-            sets = Union(b - a)
-            for i, js in _similar(low, least):
-                for j in js:
-                    sets.join(i, int(j))
-            roots = np.array([sets.root(i) for i in range(b - a)])
-            order = np.argsort(roots, kind="stable")
-            cuts = np.r_[np.flatnonzero(np.diff(roots[order], prepend=-1)), b - a]
-            for c, d in zip(cuts, cuts[1:]):
-                if d - c > 1:
-                    own = np.unique(vertex[a + order[c:d]])
-                    name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
-                    cells += [name] * len(own)
-                    members.append(own)
-        return pd.DataFrame({"cell": np.array(cells, "i8"), "vertex": np.concatenate(members) if members else np.zeros(0, "i8")})
-
-    found = map_groups(rows, ["region", "block"], find, "cell long, vertex long")
-    return found.distinct()
-
-
-def _links(sets: list[np.ndarray], percent: int, width: int = 4096) -> Iterator[tuple[int, int]]:
-    """Pairs (i < j) of sets with 100 * intersection >= percent * union, exactly."""
+
+def _links(sets: list[np.ndarray], percent: int, own: np.ndarray, width: int = 4096) -> Iterator[tuple[int, int]]:
+    """Pairs (i < j) of sets with 100 * intersection >= percent * union, exactly; of sets of two blocks (own), those of both."""
     n = np.array([len(s) for s in sets])
     if len(sets) <= 8:
         inter = np.zeros((len(sets), len(sets)))
@@ -157,13 +241,23 @@ def _links(sets: list[np.ndarray], percent: int, width: int = 4096) -> Iterator[
             m = np.zeros((len(sets), width), "f4")
             m[row[a:b], column[a:b] - c] = 1
             inter += m @ m.T
-    i, j = np.nonzero(np.triu(100 * inter.astype("f8") >= percent * (n[:, None] + n[None, :] - inter.astype("f8")), 1))
+    linked = 100 * inter.astype("f8") >= percent * (n[:, None] + n[None, :] - inter.astype("f8"))
+    if (own != own[0]).any():
+        linked &= own[:, None] != own[None, :]
+    i, j = np.nonzero(np.triu(linked, 1))
     yield from zip(i.tolist(), j.tolist())
 
 
-def links(docs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+def links(docs: DataFrame, cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between vertices: for each cell a spanning forest of its links."""
-    wanted = cells.groupBy("vertex").agg(F.collect_list("cell").alias("cells"))  # at most TREES * blocks cells each
+    size = sets.select(F.col("vertex").alias("_v"), "n_shingles")
+    sized = cells.join(size.hint("merge"), F.col("vertex") == F.col("_v"))
+    blocks = sized.groupBy(F.col("cell").alias("_c")).agg(F.ceil(F.sum("n_shingles") * 16 / BYTES).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = cells.join(materialize(blocks, "blocks"), F.col("cell") == F.col("_c"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vertex"), "blocks").cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    dealt = dealt.select("vertex", "cell", "own", F.explode(pair).alias("pair")).select("vertex", F.struct("cell", "own", "pair").alias("cell"))
+    wanted = dealt.groupBy("vertex").agg(F.collect_list("cell").alias("cells"))  # a few: at most one a region and block
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = narrow.join(wanted.hint("merge"), F.col("doc_id") == F.col("vertex")).select("vertex", "text", "cells")
 
@@ -174,16 +268,17 @@ def links(docs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
                 values, begin = _shingles.shingle_sets(found[s], WIDTH)
                 yield pd.DataFrame({"vertex": batch["vertex"][s], "cells": batch["cells"][s], "shingles": [values[a:b].tobytes() for a, b in zip(begin, begin[1:])]})
 
-    sets = texts.mapInPandas(again, "vertex long, cells array<long>, shingles binary").select(F.explode("cells").alias("cell"), "vertex", "shingles")
+    made = texts.mapInPandas(again, f"vertex long, cells {wanted.schema['cells'].dataType.simpleString()}, shingles binary")
+    made = made.select(F.explode("cells").alias("c"), "vertex", "shingles").select("c.cell", "c.own", "c.pair.i", "c.pair.j", "vertex", "shingles")
 
     def confirm(frame: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
-        vertex, raw, out = frame["vertex"].to_numpy("i8"), frame["shingles"].to_numpy(), []
+        vertex, raw, block, out = frame["vertex"].to_numpy("i8"), frame["shingles"].to_numpy(), frame["own"].to_numpy(), []
         for a, b in zip(at, at[1:]):
             own, tree = [np.frombuffer(x, "u8") for x in raw[a:b]], Union(b - a)
-            out += [(vertex[a + i], vertex[a + j]) for i, j in _links(own, percent) if tree.join(i, j)]
+            out += [(vertex[a + i], vertex[a + j]) for i, j in _links(own, percent, block[a:b]) if tree.join(i, j)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="i8")
 
-    return map_groups(sets, ["cell"], confirm, "a long, b long")
+    return map_groups(made, ["cell", "i", "j"], confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -191,11 +286,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = materialize(sketches(docs), "sketches")
     named = rows.where("n_shingles > 0 and doc_id is not null")
     keys = ["key_a", "key_b"]
-    vertices = materialize(named.groupBy(*keys).agg(F.min("doc_id").alias("vertex"), F.min_by("sig", "doc_id").alias("sig"), F.min_by("low", "doc_id").alias("low")), "sets")
-    found = materialize(candidates(regions(vertices), percent), "cells")
-    of_vertex = components(materialize(links(docs, found, percent), "links"), "a", "b")
-    label = vertices.select(*keys, "vertex").join(of_vertex.hint("merge"), F.col("vertex") == F.col("id"), "left").select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.coalesce("component", "vertex").alias("component"))
-    out = rows.select("doc_id", "n_shingles", *keys).join(label.hint("merge"), (F.col("key_a") == F.col("_a")) & (F.col("key_b") == F.col("_b")) & (F.col("n_shingles") > 0), "left")
+    first = F.min_by(F.struct("sig", "low", "n_shingles"), "doc_id")
+    vertices = materialize(named.groupBy(*keys).agg(F.min("doc_id").alias("vertex"), first.alias("_")).select(*keys, "vertex", "_.*"), "sets")
+    met = regions(vertices)
+    near = materialize(links(docs, materialize(candidates(met, vertices, percent), "cells"), vertices, percent), "links")
+    of_vertex = components(near, "a", "b")
+    if met.where(F.col("n") > CAP).limit(1).count():
+        rest = materialize(apart_candidates(met, vertices, of_vertex, percent), "cells")
+        if rest.limit(1).count():
+            of_vertex = components(near.union(links(docs, rest, vertices, percent)), "a", "b")
+    label = vertices.select(*keys, "vertex").join(of_vertex.hint("merge"), F.col("vertex") == F.col("id"), "left")
+    label = label.select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.coalesce("component", "vertex").alias("component"))
+    same = (F.col("key_a") == F.col("_a")) & (F.col("key_b") == F.col("_b")) & (F.col("n_shingles") > 0)
+    out = rows.select("doc_id", "n_shingles", *keys).join(label.hint("merge"), same, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -203,15 +306,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that stay: one of each component, with their own columns. Of rows that repeat a doc_id one stays,
     that whose text has the least hash; rows without doc_id all stay."""
-    gone = materialize(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"), "twice")
+    gone = materialize(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    whole = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*docs.columns).alias("_row"))
+    kept = whole.join(gone, F.col("_doc") == F.col("_id"), "left_anti")
+    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count("*").alias("_n"))
+    twice = materialize(ids.where("_n > 1").select("_id"), "twice")
     if not twice.limit(1).count():
-        return kept
-    on = F.col("doc_id") == F.col("_twice")
-    one = kept.join(broadcast_if_small(twice), on, "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
-    return kept.join(broadcast_if_small(twice), on, "left_anti").unionByName(one.select("_row.*"))
+        return kept.select("_row.*")
+    twice, on = broadcast_if_small(twice), F.col("_doc") == F.col("_id")
+    one = kept.join(twice, on, "left_semi").groupBy("_doc").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row"))
+    return kept.join(twice, on, "left_anti").select("_row.*").unionByName(one.select("_row.*"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)

@@ -1,6 +1,7 @@
 """Near-duplicates of texts and vectors, and repeated strings, against brute force."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -50,23 +51,24 @@ def test_components_of_a_path_and_a_star(spark):
     assert _components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-@pytest.mark.parametrize("cap", [1024, 4])
-def test_minhash(spark, monkeypatch, cap):
-    monkeypatch.setattr(minhash, "CAP", cap)  # 4: regions are divided and compared in blocks
+@pytest.mark.parametrize("percent, cap, size", [(80, 512, 64 << 20), (85, 512, 64 << 20), (80, 4, 20_000), (85, 4, 64 << 20)])
+def test_minhash(spark, monkeypatch, percent, cap, size):
+    monkeypatch.setattr(minhash, "CAP", cap)  # 4: regions are walked in sorted order, then compared in blocks
+    monkeypatch.setattr(minhash, "BYTES", size)  # 20,000: groups come as pairs of blocks
     rows = variants()
     sets = {i: shingles(t) for i, t in rows}
     ids = list(sets)
-    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     expected = reach(ids, links)
-    df = spark.createDataFrame([*rows, (None, "one two"), (3, "one two")], "doc_id long, text string").withColumns({"vertex": F.lit(0), "sig": F.lit("x")})
-    out = minhash.near_duplicates(df).collect()
+    df = spark.createDataFrame([*rows, (None, "one two"), (3, "one two")], "doc_id long, text string").withColumns({"vertex": F.lit(0), "sig": F.lit("x"), "_gone": F.lit(1), "_id": F.lit(2)})
+    out = minhash.near_duplicates(df, percent).collect()
     assert len(out) == len(rows) + 2
     for r in out:
         if r.doc_id is None:
             assert r.component_id is None and r.kept
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), expected[r.doc_id], expected[r.doc_id] == r.doc_id)
-    kept = minhash.keep(df)
+    kept = minhash.keep(df, percent)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in ids if expected[i] == i} | {None}
     assert kept.groupBy("doc_id").count().where("count > 1").count() == 0
     assert minhash.near_duplicates(df.limit(0)).count() == 0
@@ -152,5 +154,29 @@ def test_minhash_keeps_the_links_of_a_dense_region(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     sets = [shingles(t) for _, t in rows]
     assert all(len(s & sets[0]) >= 0.85 * len(s | sets[0]) for s in sets)
-    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
     assert {r.component_id for r in out} == {0}
+
+
+def test_orders_are_cut_where_neighbours_share_least():
+    rng = np.random.default_rng(2)
+    for cap in (1, 2, 5, 64):
+        region = np.sort(rng.integers(0, 4, 300))
+        path = rng.integers(0, 3, (300, 5))
+        order = np.lexsort((*path.T[::-1], region))
+        region, path = region[order], path[order]
+        at = minhash.cut_order(region, path, cap)
+        assert at[0] == 0 and at[-1] == 300 and (np.diff(at) <= cap).all() and (np.diff(at) > 0).all()
+        assert all(len(set(region[a:b])) == 1 for a, b in zip(at, at[1:]))
+    path = np.array([[0, 0], [0, 0], [0, 1], [1, 0], [1, 0], [1, 0]])
+    assert minhash.cut_order(np.zeros(6, int), path, 4).tolist() == [0, 3, 6]
+
+
+def test_minhash_on_the_registered_query(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    sets = {r.doc_id: shingles(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    labels = reach(list(sets), links)
+    out = minhash.op3_minhash_near_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out) == sorted((i, len(s), labels[i], labels[i] == i) for i, s in sets.items())
