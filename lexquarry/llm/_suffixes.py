@@ -3,14 +3,16 @@
 Suffixes are classified as S (smaller than the next suffix) or L. Leftmost S suffixes (LMS) are placed at their
 buckets' ends, from which L and then S suffixes are induced bucket by bucket; that sorts the LMS substrings. Their
 names form a shorter text whose suffix array (the recursion) orders the LMS suffixes, and a second induction gives the
-array. A bucket's suffixes are induced all at once, only runs of one letter take a step each; so the
-recursion, whose letters are many and buckets tiny, ranks by doubling instead.
+array. A bucket's suffixes are induced all at once, only runs of one letter take a step each. So a
+recursion with more than LETTERS names, whose buckets would be tiny, ranks by doubling instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+LETTERS = 2048
+
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is S; text ends with a unique least letter."""
@@ -98,11 +100,14 @@ def _doubling(names: np.ndarray) -> np.ndarray:
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Positions of the suffixes of data (bytes), in order."""
-    if not len(data):
-        return np.zeros(0, "i4")
-    text = np.r_[data.astype("i2") + 1, 0].astype("i2")
+    return _sorted(data.astype("i4")) if len(data) else np.zeros(0, "i4")
+
+
+def _sorted(data: np.ndarray) -> np.ndarray:
+    """Suffix array of a text of numbers from 0."""
+    text = np.r_[data + 1, 0].astype("i4")
     is_s = _types(text)
-    sizes = np.bincount(text, minlength=257)
+    sizes = np.bincount(text)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if len(lms) > 1:
         order = _induce(text, is_s, lms.astype("i4"), sizes)
@@ -125,7 +130,8 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         name[by_substring] = np.r_[0, np.cumsum(~same)]
         names = name[lms]
         if names.max() + 1 < len(lms):
-            lms = lms[_doubling(names)]
+            names -= names.min()
+            lms = lms[_sorted(names) if names.max() < LETTERS else _doubling(names)]
         else:
             lms = by_substring
     return _induce(text, is_s, lms.astype("i4"), sizes)[1:]

@@ -248,8 +248,9 @@ def _links(sets: list[np.ndarray], percent: int, own: np.ndarray, width: int = 4
     yield from zip(i.tolist(), j.tolist())
 
 
-def links(docs: DataFrame, cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between vertices: for each cell a spanning forest of its links."""
+def links(docs: DataFrame, cells: DataFrame, sets: DataFrame, percent: int, few: bool = False) -> DataFrame:
+    """Confirmed links (a, b) between vertices: for each cell a spanning forest of its links. Texts are shuffled to the
+    cells' vertices; where `few` of them are expected the vertices are broadcast behind a count."""
     size = sets.select(F.col("vertex").alias("_v"), "n_shingles")
     sized = cells.join(size.hint("merge"), F.col("vertex") == F.col("_v"))
     blocks = sized.groupBy(F.col("cell").alias("_c")).agg(F.ceil(F.sum("n_shingles") * 16 / BYTES).cast("int").alias("blocks")).where("blocks > 1")
@@ -259,7 +260,8 @@ def links(docs: DataFrame, cells: DataFrame, sets: DataFrame, percent: int) -> D
     dealt = dealt.select("vertex", "cell", "own", F.explode(pair).alias("pair")).select("vertex", F.struct("cell", "own", "pair").alias("cell"))
     wanted = dealt.groupBy("vertex").agg(F.collect_list("cell").alias("cells"))  # a few: at most one a region and block
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = narrow.join(wanted.hint("merge"), F.col("doc_id") == F.col("vertex")).select("vertex", "text", "cells")
+    side = broadcast_if_small(materialize(wanted, "wanted")) if few else wanted.hint("merge")
+    texts = narrow.join(side, F.col("doc_id") == F.col("vertex")).select("vertex", "text", "cells")
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -294,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if met.where(F.col("n") > CAP).limit(1).count():
         rest = materialize(apart_candidates(met, vertices, of_vertex, percent), "cells")
         if rest.limit(1).count():
-            of_vertex = components(near.union(links(docs, rest, vertices, percent)), "a", "b")
+            of_vertex = components(near.union(links(docs, rest, vertices, percent, few=True)), "a", "b")
     label = vertices.select(*keys, "vertex").join(of_vertex.hint("merge"), F.col("vertex") == F.col("id"), "left")
     label = label.select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.coalesce("component", "vertex").alias("component"))
     same = (F.col("key_a") == F.col("_a")) & (F.col("key_b") == F.col("_b")) & (F.col("n_shingles") > 0)

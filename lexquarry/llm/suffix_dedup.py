@@ -11,13 +11,16 @@ document and an earlier start). Documents are whole UTF-8 texts; strings never c
 3. Anchors with differing segments (copies that begin, end or were edited near) are dealt out as shards, each segment
    once. A shard's suffix array comes from induced sorting and its common prefixes in permuted order; suffixes linked by
    common prefixes of WINDOW bytes start equal windows, and all but the first of them are removed.
-4. An anchor with more than CAP differing segments would be too much for a shard; its windows are grouped by a 128-bit
-   hash instead, with minima taken before the shuffle.
+4. An anchor with more than CAP differing segments would be too much for a shard. Its windows are divided by how many bytes
+   they have before the anchor; the bytes that all windows of a division share (its core: the anchor at first, longer with each
+   halving) deal it out as sub-shards. Equal windows have equal cores, so they meet; equal segments of a sub-shard
+   are settled, one that is still too large is divided again. A division of one place has whole windows as cores, so this ends.
 5. Removed spans go back to the documents by doc_id.
 
 Defined results: null text is empty; rows with null doc_id lose nothing and remove nothing; rows with equal doc_id and equal
 text are one document (both lose the same bytes), with differing texts they are ordered by a hash of the text;
-an empty table gives no rows; apply() keeps other columns and decodes what is left, dropping a
+of windows that start at the same place of such rows none is earlier; very long texts are cut into runs a piece at a time;
+an empty table gives no rows; apply() keeps other columns, whatever their names, and decodes what is left, dropping a
 character of which a byte was removed.
 """
 
@@ -208,29 +211,63 @@ def _shard(frame: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "th", "span"], dtype="i8")
 
 
-def _hot(segments: DataFrame) -> DataFrame:
-    """Removed spans of anchors with very many differing segments: windows grouped by hash."""
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+SUB = "core long, lo int, hi int, at int, doc_id long, th long, start long, seg binary"
+
+
+def _anchored(segments: DataFrame) -> DataFrame:
+    """Segments of hot anchors with their anchors' places; windows have lo to hi bytes before the anchor."""
+    reach = WINDOW - GRAM
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places = []
+            for seg in batch["seg"]:
+                data = np.frombuffer(seg, "u1")
+                grams = np.arange(len(data) - WINDOW, reach + 1)  # those that are in all windows of the segment
+                h = _bytes.spans(_bytes.prefix_hashes(data), grams, grams + GRAM)
+                places.append(int(grams[np.argmin(h >> np.uint64(24))]))
+            yield batch.assign(lo=0, hi=reach, at=places)[["anchor", "lo", "hi", "at", "doc_id", "th", "start", "seg"]].rename(columns={"anchor": "core"})
+
+    return segments.select("anchor", "doc_id", "th", "start", "seg").mapInPandas(find, SUB)
+
+
+def _divided(rows: DataFrame) -> DataFrame:
+    """Each segment's windows in two divisions, with longer cores."""
+    def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a in range(0, len(batch), 20_000):
-                b = batch.iloc[a : a + 20_000]
-                segs = b["seg"].tolist()
-                size = np.array([len(s) for s in segs], "i8")
-                data = np.frombuffer(b"".join(segs), "u1")
-                n = size - WINDOW + 1
-                of = np.repeat(np.arange(len(segs)), n)
-                nth = np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
-                begin = np.r_[0, np.cumsum(size)][:-1][of] + nth
-                w1 = _bytes.spans(_bytes.prefix_hashes(data), begin, begin + WINDOW)
-                w2 = _bytes.spans(_bytes.prefix_hashes(data ^ 0x5A), begin, begin + WINDOW)
-                yield pd.DataFrame({"w1": w1.view("i8"), "w2": w2.view("i8"), "doc_id": b["doc_id"].to_numpy("i8")[of], "th": b["th"].to_numpy("i8")[of], "start": b["start"].to_numpy("i8")[of] + nth})
-
-    rows = segments.select("doc_id", "th", "start", "seg").mapInPandas(windows, "w1 long, w2 long, doc_id long, th long, start long")
-    rows = materialize(rows, "windows")
-    place = F.struct("doc_id", "th", "start")
-    firsts = rows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(F.col("w1").alias("_1"), F.col("w2").alias("_2"), "first")
-    gone = rows.join(firsts, (F.col("w1") == F.col("_1")) & (F.col("w2") == F.col("_2"))).where(place != F.col("first"))
-    return gone.select("doc_id", "th", (F.shiftleft(F.col("start"), 32) + WINDOW).alias("span"))
+            out = []
+            for core, lo, hi, at, doc_id, th, start, seg in batch.itertuples(index=False):
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    first, last = max(0, at - b), min(len(seg) - WINDOW, at - a)
+                    if first <= last:
+                        shared = hashlib.blake2b(seg[at - a : at - b + WINDOW] + core.to_bytes(8, "big", signed=True), digest_size=8).digest()
+                        out.append((int.from_bytes(shared, "big", signed=True), a, b, at - first, doc_id, th, start + first, seg[first : last + WINDOW]))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SUB.split(", ")])
+
+    return rows.mapInPandas(halves, SUB)
+
+
+def _hot(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments of anchors with very many of them -> (sub-shards as segments, spans of segments that are equal to an earlier one)."""
+    key, place = ["core", "lo", "hi"], F.struct("doc_id", "th", "start")
+    spark = segments.sparkSession
+    shards = spark.createDataFrame([], "anchor long, doc_id long, th long, start long, seg binary")
+    gone = spark.createDataFrame([], "doc_id long, th long, span long")
+    rows = materialize(_anchored(segments), "hot")
+    while rows.limit(1).count():
+        rows = materialize(_divided(rows), "hot")
+        alike = rows.groupBy(*key, "seg").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("at").alias("at"))
+        alike = materialize(alike, "alike")
+        repeated = alike.where("first != last").select(*[F.col(k).alias("_" + k) for k in [*key, "seg"]], "first")
+        same = [F.col(k) == F.col("_" + k) for k in [*key, "seg"]]
+        later = rows.join(repeated, same).where(place != F.col("first"))
+        gone = gone.union(later.select("doc_id", "th", F.shiftleft("start", 32) + F.octet_length("seg")))
+        sizes = alike.groupBy(*[F.col(k).alias("_" + k) for k in key]).agg(F.count("*").alias("n")).where("n > 1")
+        met = alike.join(materialize(sizes, "sizes"), same[:3]).select(*key, "at", "first.*", "seg", "n")
+        shards = shards.union(met.where(F.col("n") <= CAP).select(F.xxhash64(*key).alias("anchor"), "doc_id", "th", "start", "seg"))
+        rows = materialize(met.where((F.col("n") > CAP) & (F.col("lo") < F.col("hi"))).drop("n"), "hot")
+    return shards, gone
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -251,8 +288,13 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = _texts(docs)
     met = materialize(map_groups(_packed(texts, buckets), ["bucket"], _settle, "kind int, anchor long, doc_id long, th long, span long"), "runs")
     segments = materialize(_segments(texts, met.where("kind > 0")), "segments")
-    gone = map_groups(segments.where("kind = 1").drop("kind"), ["anchor"], _shard, "doc_id long, th long, span long").union(met.where("kind = 0").select("doc_id", "th", "span"))
-    gone = gone.union(_hot(segments.where("kind = 2")))
+    shards = segments.where("kind = 1").drop("kind")
+    gone = met.where("kind = 0").select("doc_id", "th", "span")
+    hot = segments.where("kind = 2")
+    if hot.limit(1).count():
+        more, equal = _hot(hot)
+        shards, gone = shards.union(more.select(*shards.columns)), gone.union(equal)
+    gone = gone.union(map_groups(shards, ["anchor"], _shard, "doc_id long, th long, span long"))
     return texts, gone.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
 
 

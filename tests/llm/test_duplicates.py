@@ -74,10 +74,13 @@ def test_minhash(spark, monkeypatch, percent, cap, size):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_suffix_arrays_by_brute_force():
+def test_suffix_arrays_by_brute_force(monkeypatch):
     rng = np.random.default_rng(1)
-    for trial in range(150):
+    for trial in range(300):
+        monkeypatch.setattr(_suffixes, "LETTERS", (0, 2048)[trial % 2])  # ranks by doubling, and induces all the way down
         data = rng.integers(0, rng.choice([1, 2, 4, 256]), rng.integers(0, 50)).astype("u1")
+        if trial % 3 == 0:
+            data = np.tile(data, 3)
         raw = data.tobytes()
         order = sorted(range(len(raw)), key=lambda i: raw[i:])
         assert _suffixes.suffix_array(data).tolist() == order
@@ -91,9 +94,9 @@ def test_suffix_arrays_by_brute_force():
         assert _suffixes.common_prefixes(data, np.array(order, "i4")).tolist() == ([0] + [common(a, b) for a, b in zip(order, order[1:])])[: len(raw)]
 
 
-@pytest.mark.parametrize("cap", [2048, 1])
+@pytest.mark.parametrize("cap", [2048, 1, 3])
 def test_repeated_strings(spark, monkeypatch, cap):
-    monkeypatch.setattr(suffix_dedup, "CAP", cap)  # 1: every anchor with differing segments goes by hashes
+    monkeypatch.setattr(suffix_dedup, "CAP", cap)  # 1: every anchor with differing segments is divided by cores
     rng = random.Random(5)
     say = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     p, q = say(300), say(130)
@@ -172,6 +175,49 @@ def test_orders_are_cut_where_neighbours_share_least():
     assert minhash.cut_order(np.zeros(6, int), path, 4).tolist() == [0, 3, 6]
 
 
+def brute_repeats(texts):
+    seen, expected = set(), {}
+    for i, t in sorted(texts.items()):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                gone[s : s + 100] = b"\x01" * 100
+            seen.add(raw[s : s + 100])
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        expected[i] = (len(raw), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
+    return expected
+
+
+def test_repeated_strings_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CAP", 8)
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("ab cdefgh") for _ in range(n))
+    core, around = say(60), [say(60) for _ in range(6)]
+    texts = {i: rng.choice(around)[-rng.randrange(61) :] + core + rng.choice(around)[: rng.randrange(61)] + say(rng.choice([0, 30])) for i in range(300)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df).collect()}
+    assert out == brute_repeats(texts)
+
+
+def test_a_long_text_is_cut_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abc ") for _ in range(1500))
+    texts = {1: passage, 2: "x" * 333 + passage + "y" * 50 + passage[200:900]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df).collect()}
+    assert out == brute_repeats(texts)
+
+
+def test_repeats_on_the_registered_query(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    out = suffix_dedup.op4_suffix_array_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute_repeats(texts)
+
+
 def test_minhash_on_the_registered_query(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables")
