@@ -11,7 +11,8 @@ Ranks come from counts by (partition, length), so nothing is sorted and no piece
 Windows are padded to ``size`` tokens, except those that end at a power of two.
 
 Defined results: null or empty text has the one id ``eos``; rows with equal or null doc_id are documents of
-their own; an empty table gives no pieces; other columns are not read.
+their own; very long texts are cut like others; pieces of equal length are alike to the plan, and take their windows by partition
+and order there; an empty table gives no pieces; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SIZE, EOS = 2048, 1
 REMEMBERED = 500_000
 #: What often trails a word; the tokenizer splits before it.
 TRAILING = ".,*%&$#!|?;:"
+#: Texts by which a tokenizer shows whether it lower-cases, and splits at spaces, line ends and marks.
+PROBES = ["The Cat sat, on THE mat.", " two  spaces\nand\n\nlines ", "x1 22 a-b don't [e-mail] end!?", "Größe ÉTÉ ΣΑΣ naïve 日本 語", "\tTab a\tb ...;: %% $5"]
 
 
 def default_tokenizer() -> str:
@@ -52,8 +55,9 @@ def _byte_letters() -> str:
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian uint32 bytes. The tokenizer never joins across a space or newline, so a
-    text's ids are those of its words, one after another; words come back often and are encoded once."""
+    """word -> its ids as little-endian uint32 bytes. The default tokenizer never joins across a space or newline, so a
+    text's ids are those of its words, one after another; words come back often and are encoded once. A tokenizer
+    that handles PROBES otherwise encodes whole texts instead."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,6 +67,11 @@ class WordIds(dict):
         self.letters = _byte_letters()
         plain = self.tokenizer.encode("ab ba", add_special_tokens=False).ids
         self.direct = plain == [t.id for w in ("ab", "ba") for t in self.tokenizer.model.tokenize(w)]
+        self.by_word = True
+        self.by_word = all(self.of(t) == self.whole(t) for t in PROBES)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(TRAILING)
@@ -72,13 +81,15 @@ class WordIds(dict):
             letters = word.encode().decode("latin-1").translate(self.letters)
             ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.whole(word)
         self[word] = ids
         return ids
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.by_word:
+            return self.whole(text)
         low = text.lower()  # the tokenizer lower-cases too, letter by letter
         if "Σ" in text or not unicodedata.is_normalized("NFC", low):
             low = text
@@ -204,7 +215,8 @@ def pack(docs: DataFrame, size: int = SIZE, eos: int = EOS, tokenizer: str | Non
             yield batch[columns].astype({"doc_id": "Int64"}).assign(sequence_id=window, offset=offset)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids + ", sequence_id long, offset long"
-    return pieces.join(by_part.drop("n"), ["part", "length"]).select(*columns, "nth", "before").mapInPandas(place, schema)
+    # sorted, not broadcast: ranks grow with the number of partitions
+    return pieces.join(by_part.drop("n").hint("merge"), ["part", "length"]).select(*columns, "nth", "before").mapInPandas(place, schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

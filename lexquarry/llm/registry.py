@@ -17,4 +17,5 @@ QUERIES = {
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
+    "op7_document_fingerprints": fingerprints.ORACLE,
 }

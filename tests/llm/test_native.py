@@ -113,8 +113,21 @@ def test_paragraph_edit_shows_in_one_branch(spark):
     assert x != y and [p == q for p, q in zip(x.split("/")[1:], y.split("/")[1:])] == [False, True]
 
 
+def test_differing_branches_locate_an_edit(spark):
+    a = "intro line\nmore of it\n\n" + " ".join(f"word{i}s in" for i in range(200)) + "\nlast"
+    texts = [a, a.replace("word100s", "wordX100s"), a.replace("more", "less"), "new\n\n" + a, ""]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    fp = df.select("a", "b", fingerprints.fingerprint(F.col("a")).alias("x"), fingerprints.fingerprint(F.col("b")).alias("y"))
+    got = {(r.a, r.b): [tuple(x) for x in r.c] for r in fp.select("a", "b", fingerprints.changed(F.col("x"), F.col("y")).alias("c")).collect()}
+    assert all((got[x, y] == []) == (x == y) for x in texts[:3] for y in texts[:3])
+    assert [x[:2] for x in got[texts[1], a]] in ([(1, 0)], [(1, 0)] * 2)  # an insertion changes its own leaf, those behind stay
+    assert got[texts[2], a] == [(0, 1, 0)] and got[texts[3], a] == [(0, 0, 0)] and got[a, texts[3]] == []
+    long = spark.createDataFrame([(1, "x" * 1_000_000, "s"), (2, "y", "s")], "doc_id long, text string, source string")
+    assert {r.n_chars for r in fingerprints.fingerprints(long).collect()} == {1_000_000, 1}
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["op1_mixing", "op2_chat_formatting"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_chat_formatting", "op7_document_fingerprints"])
 def test_oracles(spark, name):
     import duckdb
 
