@@ -43,6 +43,7 @@ from . import _shingles
 from ._common import broadcast_if_small, materialize, table
 from ._components import components
 from ._groups import Union, map_groups
+from ._regions import apart, members
 
 WIDTH = 5
 #: Links have similarity >= PERCENT / 100.
@@ -84,8 +85,7 @@ def regions(sets: DataFrame) -> DataFrame:
     Only (vertex, tree, hash) is dealt by region. Of regions with the same rows one is kept."""
     of_tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice("sig", t * DEPTH + 1, BASE)))
     prefixes = sets.select("vertex", F.posexplode(of_tree).alias("tree", "region"))
-    members = F.sum(F.xxhash64("vertex").cast("decimal(38,0)"))
-    shared = prefixes.groupBy("region").agg(F.count("*").alias("n"), members.alias("m")).where("n > 1")
+    shared = prefixes.groupBy("region").agg(F.count("*").alias("n"), members().alias("m")).where("n > 1")
     once = shared.groupBy("n", "m").agg(F.min("region").alias("_r")).select("n", "_r")
     once = materialize(once, "shared")  # so that Spark can split the rows of a dense region in the join
     return materialize(prefixes.join(once.hint("merge"), F.col("region") == F.col("_r")).drop("_r"), "regions")
@@ -98,9 +98,9 @@ def _signed(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(narrow.hint("merge"), F.col("vertex") == F.col("_v")).select(*rows.columns, "low", path)
 
 
-def _alike(low: np.ndarray, least: float, apart: np.ndarray | None = None) -> Iterator[np.ndarray]:
+def _alike(low: np.ndarray, least: float, numbers: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Groups (two rows or more) that are connected by signatures which agree in a share of `least` or more; with
-    `apart` (a number for each row) only rows of different numbers are compared. A row that was reached is compared
+    `numbers` (one for each row) only rows of different numbers are compared. A row that was reached is compared
     with those that were not reached yet, so a group of n copies takes n steps."""
     need = least * low.shape[1]
     left = np.arange(len(low))
@@ -109,8 +109,8 @@ def _alike(low: np.ndarray, least: float, apart: np.ndarray | None = None) -> It
         while queue and len(left):
             i = queue.pop()
             near = (low[left] == low[i]).sum(1) >= need
-            if apart is not None:
-                near &= apart[left] != apart[i]
+            if numbers is not None:
+                near &= numbers[left] != numbers[i]
             if near.any():
                 found = left[near].tolist()
                 group += found
@@ -120,12 +120,12 @@ def _alike(low: np.ndarray, least: float, apart: np.ndarray | None = None) -> It
             yield np.array(group)
 
 
-def _cells(vertex: np.ndarray, lows: np.ndarray, at: np.ndarray, least: float, apart: np.ndarray | None = None) -> pd.DataFrame:
+def _cells(vertex: np.ndarray, lows: np.ndarray, at: np.ndarray, least: float, numbers: np.ndarray | None = None) -> pd.DataFrame:
     """(cell, vertex) of the groups that are found between the bounds `at`."""
     cells, members = [], []
     for a, b in zip(at, at[1:]):
         low = np.frombuffer(b"".join(lows[a:b]), "u1").reshape(b - a, -1)
-        for group in _alike(low, least, None if apart is None else apart[a:b]):
+        for group in _alike(low, least, None if numbers is None else numbers[a:b]):
             own = np.unique(vertex[a:b][group])
             if len(own) > 1:
                 name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
@@ -156,9 +156,6 @@ def cut_order(region: np.ndarray, path: np.ndarray, cap: int) -> np.ndarray:
     return np.unique(out)
 
 
-SIGNED = ["region", "n", "tree", "vertex"]
-
-
 def candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(cell, vertex): groups of sets that may be linked, each of at most CAP sets; from regions of at most CAP rows all, from
     denser ones those among neighbours in the order."""
@@ -195,21 +192,7 @@ def apart_candidates(rows: DataFrame, sets: DataFrame, linked: DataFrame, percen
     """(cell, vertex) for the rest of the dense regions: groups of rows that may be linked and are not in one component
     (id, component) yet. Rows outside of a region's largest component meet each other and those in it."""
     least = _least_agreement(percent)
-    dense = rows.where(F.col("n") > CAP).join(linked.hint("merge"), F.col("vertex") == F.col("id"), "left")
-    dense = materialize(dense.select("region", "tree", "vertex", F.coalesce("component", "vertex").alias("component")), "contracted")
-    sizes = dense.groupBy("region", "component").agg(F.count("*").alias("c"))
-    region = sizes.groupBy("region").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n")).where("n > top.c")
-    region = materialize(region.select(F.col("region").alias("_r"), F.col("top.component").alias("main"), F.col("top.c").alias("held"), (F.col("n") - F.col("top.c")).alias("others")), "open")
-    half = max(1, CAP // 2)
-    met = dense.join(region, F.col("region") == F.col("_r")).withColumn("inner", F.col("component") == F.col("main"))
-    met = met.withColumns({"s": F.ceil(F.col("held") / half).cast("int"), "a": F.ceil(F.col("others") / half).cast("int")})
-    met = met.withColumn("own", F.pmod(F.xxhash64("vertex"), F.when(F.col("inner"), F.col("s")).otherwise(F.col("a"))).cast("int"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    name = lambda kind, x, y: F.concat_ws("-", F.lit(kind), x, y)
-    of_inner = F.transform(upto("a"), lambda j: name("in", F.col("own"), j))
-    of_outer = F.concat(F.transform(upto("s"), lambda j: name("in", j, F.col("own"))), F.transform(upto("a"), lambda j: name("out", F.least("own", j), F.greatest("own", j))))
-    block = F.explode(F.when(F.col("inner"), of_inner).otherwise(of_outer)).alias("block")
-    cells = met.select("region", "tree", "vertex", "component", block)
+    cells = apart(rows.where(F.col("n") > CAP), linked, CAP)
 
     def find(frame: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
         return _cells(frame["vertex"].to_numpy("i8"), frame["low"].to_numpy(), at, least, frame["component"].to_numpy("i8"))
@@ -322,3 +305,22 @@ def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id::BIGINT AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingled AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sets AS (SELECT doc_id, len(s)::BIGINT AS n, s FROM shingled),
+one AS (SELECT doc_id, n, unnest(s) AS x FROM sets),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id != b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT a AS id, a AS other FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.other),
+component AS (SELECT id, min(other) AS c FROM reach GROUP BY id)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, coalesce(s.doc_id = coalesce(c.c, s.doc_id), true) AS kept
+FROM sets s LEFT JOIN component c ON c.id = s.doc_id
+"""

@@ -17,5 +17,7 @@ QUERIES = {
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
+    "op3_minhash_near_dedup": minhash.ORACLE,
+    "op5_embedding_near_dedup": embeddings.ORACLE,
     "op7_document_fingerprints": fingerprints.ORACLE,
 }

@@ -127,14 +127,14 @@ def test_differing_branches_locate_an_edit(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["op1_mixing", "op2_chat_formatting", "op7_document_fingerprints"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_chat_formatting", "op3_minhash_near_dedup", "op5_embedding_near_dedup", "op7_document_fingerprints"])
 def test_oracles(spark, name):
     import duckdb
 
     from lexquarry.llm import registry
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     rel = con.sql(registry.ORACLE[name])
     columns = rel.columns
