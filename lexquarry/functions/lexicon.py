@@ -150,3 +150,20 @@ TITLE_PATTERNS = {
     "appendix": r"(appendix|appendices)",
 }
 CAPTION_WORDS = ["figure", "fig.", "table", "caption"]
+
+#: Families of identifiers: their shape, other spellings of them, and what a tolerant pattern is made of: ("letters", group)
+#: is spaced out letter by letter, ("digits", group) is as many digits, anything else is a pattern itself (GAP: blanks and dashes).
+GAP = "[\\s\u00a0\\-\u2010-\u2015]*"
+SOFT = "[\\s\u00a0\\-\u2010-\u2015_,.]*"
+BETWEEN = "[\\s\u00a0\\-\u2010-\u2015_/:.,]*"
+FAMILIES = [
+    ("(?i)^E-GEOD-(\\d+)$", ["GSE$1"], None),
+    ("(?i)^(PXD|SRR|ERR)(\\d+)$", ["$1-$2", "$1 $2"], [("letters", 1), GAP, ("digits", 2)]),
+    ("(?i)^E-?(PROT)-?(\\d+)$", ["E-PROT-$2", "E PROT $2", "EPROT$2"], ["E", GAP, ("letters", 1), GAP, "-?", GAP, ("digits", 2)]),
+    ("(?i)^(ENS)([A-Z]+)(\\d+)$", ["$1-$2-$3", "$1 $2 $3"], [("letters", 1), GAP, ("letters", 2), GAP, ("digits", 3)]),
+    ("(?i)^([A-Z0-9]{2,6})(\\d{3,})$", ["$1-$2", "$1 $2"], [("letters", 0)]),
+    ("(?i)^(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9][A-Z][A-Z0-9]{2}[0-9])(?:[A-Z0-9]{3}[0-9])?$", [], [("letters", 0)]),
+]
+#: A prefix and a number, as ranges and lists have them; where a list ends, and how far it is followed.
+HEADED = "(?i)^\\s*([A-Z]{2,10})[\\s\u00a0\\-\u2010-\u2015_]*([0-9]{3,})\\s*$"
+LIST_END, LIST_REACH = "[.;](?:\\s|$)", 300

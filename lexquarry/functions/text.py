@@ -216,34 +216,27 @@ def query_text(instruction: bool = True) -> str:
     return L.QUERY_INSTRUCTION * instruction + " ".join(sorted(set(L.AVAILABILITY_CUES + L.QUERY_ACCESSIONS)))
 
 
-def expand_range(text: Column, prefix: str) -> Column:
-    """Array of (low, high) of hyphenated number ranges after a prefix; a short right side takes the left side's head."""
-    pattern = rf"(?i)\b{prefix}[\s_,.\-]*(\d{{3,}})\s*[\-\u2010-\u2015]\s*(?:{prefix}[\s_,.\-]*)?(\d+)\b"
-    left, right = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    full = lambda a, b: F.when(F.length(b) < F.length(a), F.concat(F.substr(a, F.lit(1), F.length(a) - F.length(b)), b)).otherwise(b).cast("long")
-    return F.zip_with(left, right, lambda a, b: F.struct(F.least(a.cast("long"), full(a, b)).alias("low"), F.greatest(a.cast("long"), full(a, b)).alias("high")))
+def expand_range(text: Column, prefix: str | Column, soft: str = r"[\s_,.\-]*", around: str = r"\s*") -> Column:
+    """Array of (low, high) of hyphenated number ranges after a prefix; a short right side takes the left side's head.
+    soft may stand between prefix and number, around on both sides of the dash."""
+    head = F.lit(prefix) if isinstance(prefix, str) else prefix
+    parts = [r"(?i)\b", head, soft + r"(\d{3,})" + around + r"[\-\u2010-\u2015]" + around + "(?:", head, soft + r")?(\d+)\b"]
+    pattern = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    left, right = (F.regexp_extract_all(text, pattern, F.lit(g)) for g in (1, 2))
+    number = lambda c: c.try_cast("decimal(38,0)")
+    full = lambda a, b: number(F.when(F.length(b) < F.length(a), F.concat(F.substr(a, F.lit(1), F.length(a) - F.length(b)), b)).otherwise(b))
+    return F.zip_with(left, right, lambda a, b: F.struct(F.least(number(a), full(a, b)).cast("long").alias("low"), F.greatest(number(a), full(a, b)).cast("long").alias("high")))
 
 
 def id_variants(raw: str | Column) -> Column:
     """Spellings of an identifier, in a fixed order, each once."""
     r = F.trim(_col(raw))
-    cleaned = without_doi_hosts(r)
-    host = F.regexp_replace(cleaned, r"(?i)^https?://(?:dx\.)?doi\.org/", "")
-    no_version = F.regexp_replace(host, r"(?i)\.v\d+$", "")
-    no_table = F.regexp_replace(no_version, r"(?i)/t\d+$", "")
-    upper = F.upper(r)
-
-    def when(pattern: str, *forms: str, of: Column = upper) -> list[Column]:
-        return [F.when(r.rlike(pattern), F.regexp_replace(of, pattern, form)) for form in forms]
-
-    return F.filter(F.array_distinct(F.array(
-        r, cleaned, host, no_version, no_table, F.regexp_replace(no_table, r"\.(\d+)$", ""),
-        F.when(r.rlike(r"(?i)^E-GEOD-\d+$"), F.regexp_replace(r, "(?i)^E-GEOD-", "GSE")),
-        *when(r"(?i)^(PXD|SRR|ERR)(\d+)$", "$1-$2", "$1 $2"),
-        *when(r"(?i)^E-?PROT-?(\d+)$", "E-PROT-$1", "E PROT $1", "EPROT$1"),
-        *when(r"(?i)^(ENS)([A-Z]+)(\d+)$", "$1-$2-$3", "$1 $2 $3"),
-        *when(r"(?i)^([A-Z0-9]{2,6})(\d{3,})$", "$1-$2", "$1 $2", of=r),
-    )), lambda x: x.isNotNull() & (x != ""))
+    shorter = [r, without_doi_hosts(r)]
+    for tail in (r"(?i)^https?://(?:dx\.)?doi\.org/", r"(?i)\.v\d+$", r"(?i)/t\d+$", r"\.(\d+)$"):
+        shorter.append(F.regexp_replace(shorter[-1], tail, ""))
+    named = lambda shape: F.upper(r) if any(x in shape for x in ("PXD", "PROT", "ENS")) else r
+    other = [F.when(r.rlike(shape), F.regexp_replace(named(shape), shape, form)) for shape, forms, _ in L.FAMILIES for form in forms]
+    return F.filter(F.array_distinct(F.array(*shorter, *other)), lambda x: x.isNotNull() & (x != ""))
 
 
 #: Words that are never taken for an identifier.
