@@ -31,8 +31,8 @@ def test_masking_quotes_ids_and_ignores_case(spark):
 
 
 VARIANTS = {
-    "E-GEOD-123": ["E-GEOD-123", "GSE123"], "PXD000123": ["PXD000123", "PXD-000123", "PXD 000123"], "EPROT12": ["EPROT12", "E-PROT-12", "E PROT 12"],
-    "ENSG0001": ["ENSG0001", "ENS-G-0001", "ENS G 0001", "ENSG-0001", "ENSG 0001"], "AB123": ["AB123", "AB-123", "AB 123"], "x": ["x"],
+    "E-GEOD-123": ["E-GEOD-123", "GSE123"], "PXD000123": ["PXD000123", "PXD-000123", "PXD 000123", "PXD000-123", "PXD000 123"], "EPROT12": ["EPROT12", "E-PROT-12", "E PROT 12"],
+    "ENSG0001": ["ENSG0001", "ENS-G-0001", "ENS G 0001", "ENSG0-001", "ENSG0 001"], "AB123": ["AB123", "AB-123", "AB 123"], "x": ["x"],
     "https://doi.org/10.5061/dryad.7.v2": ["https://doi.org/10.5061/dryad.7.v2", "/10.5061/dryad.7.v2", "/10.5061/dryad.7", "/10.5061/dryad"]}
 
 
