@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the engine relies on; none of them sizes the job for one machine.
@@ -24,6 +26,16 @@ def build(master: str | None = None, app: str = "lexquarry", **conf: str) -> Spa
     return b.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's part of the shared folder spark.checkpoint.dir; a folder of this machine serves a local master where it is unset."""
+    if not (d := spark.conf.get("spark.checkpoint.dir", None)):
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        d = f"file://{tempfile.mkdtemp(prefix='lexquarry-')}"
+        spark.conf.set("spark.checkpoint.dir", d)
+    return f"{d.rstrip('/')}/lexquarry-{spark.sparkContext.applicationId}/tables"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; lazily read, so filters and columns reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -213,6 +213,13 @@ def pattern_table(patterns: dict[str, str]) -> dict[str, str]:
     return {k: p for k, p in bounded.items() if not too_broad(p)}
 
 
+def registry(spark: SparkSession, path: str) -> dict[str, str]:
+    """Patterns of a registry file, JSON of name -> {"pattern": ...}: anchored ones word-bounded, without those that are too broad. A
+    registry is a stated, small table: its patterns become expressions."""
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, struct<pattern: string>>")).alias("name", "entry"))
+    return pattern_table({r["name"]: r["pattern"] for r in entries.select("name", "entry.pattern").where("pattern is not null").collect()})
+
+
 def docx_pages(content: bytes) -> list[str]:
     """Paragraphs of a word-processor file, as one page."""
     import io
