@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the cluster's shared folder, spark.checkpoint.dir; local only where that is unset (tests)."""
+    """This application's part of the cluster's shared folder, spark.checkpoint.dir. Where that is unset, a folder of this machine
+    serves a local master (tests); on a cluster executors would not see it, so that is an error."""
     if not (d := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = f"file://{tempfile.mkdtemp(prefix='lexquarry-')}"
         spark.conf.set("spark.checkpoint.dir", d)
     return f"{d.rstrip('/')}/lexquarry-{spark.sparkContext.applicationId}"
@@ -46,5 +52,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def frugal(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """f for mapInPandas; at a task's end its worker, which Spark keeps for others, gives freed memory back to the system."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from f(batches)
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ._common import frugal
+
 
 def whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
     """Frames of whole groups, several at a time; only a group that batches divide is carried over."""
@@ -47,7 +49,7 @@ def map_groups(df: DataFrame, key: list[str], f: Callable[[pd.DataFrame, np.ndar
         for frame in whole_groups(batches, key):
             yield f(frame, bounds(frame, key))
 
-    return df.repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(run, schema)
+    return df.repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(frugal(run), schema)
 
 
 class Union:

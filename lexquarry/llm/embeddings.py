@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import frugal, materialize, table
 from ._components import components
 from ._groups import map_groups
 from ._regions import apart, members
@@ -112,7 +112,7 @@ def hashed(vectors: DataFrame) -> DataFrame:
             yield pd.DataFrame({"vec_id": batch["vec_id"].astype("Int64"), "label": batch["label"], "dims": dims, "unit": unit, "buckets": buckets})
 
     narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return narrow.mapInPandas(run, "vec_id long, label string, dims int, unit binary, buckets binary")
+    return narrow.mapInPandas(frugal(run), "vec_id long, label string, dims int, unit binary, buckets binary")
 
 
 def _entries(sets: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def _entries(sets: DataFrame) -> DataFrame:
                 each = {c: np.repeat(batch[c].to_numpy(), own.shape[1]) for c in ("vertex", "label", "dims")}
                 yield pd.DataFrame({**each, "tab": np.tile(tab, len(batch)), "code": own.ravel()})
 
-    rows = sets.select("vertex", "label", "dims", "buckets").mapInPandas(run, "vertex long, label string, dims int, tab int, code int")
+    rows = sets.select("vertex", "label", "dims", "buckets").mapInPandas(frugal(run), "vertex long, label string, dims int, tab int, code int")
     return rows.select("vertex", (F.col("tab") < EARLY).alias("early"), F.xxhash64("label", "dims", "tab", "code").alias("region"))
 
 

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import frugal, table
 from ._groups import Union
 
 #: Lines in a window, and the share of the highest sum that text must reach.
@@ -281,7 +281,7 @@ def texts(pages: DataFrame) -> DataFrame:
             text = [extract(p) for p in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return narrow.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return narrow.mapInPandas(frugal(run), "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, materialize, table, text_or_empty
+from ._common import broadcast_if_small, frugal, materialize, table, text_or_empty
 
 #: Labelled documents of each language that the fit reads at most; every language is fitted.
 SAMPLE = 250
@@ -253,7 +253,7 @@ def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
             yield out.assign(spans=runs) if spans else out
 
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<first:int,words:int,lang:string>>" * spans
-    return narrow.mapInPandas(run, schema)
+    return narrow.mapInPandas(frugal(run), schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

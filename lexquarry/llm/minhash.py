@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _shingles
-from ._common import broadcast_if_small, materialize, table
+from ._common import broadcast_if_small, frugal, materialize, table
 from ._components import components
 from ._groups import Union, map_groups
 from ._regions import apart, members
@@ -52,7 +52,7 @@ TREES, DEPTH, BASE = 16, 10, 3  # orders, values of each in a signature, values
 #: Rows of a region, run or block that are compared at once, and bytes of sets in a group or pair of blocks.
 CAP, BYTES = 512, 64 << 20
 #: Characters of texts that are turned into sets at once.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 
 
 def _chunks(texts: list) -> Iterator[slice]:
@@ -77,7 +77,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     "sig": list(sig.view("i4")), "low": [r.tobytes() for r in sig.astype("u1")]})
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, n_shingles long, key_a long, key_b long, sig array<int>, low binary")
+    return narrow.mapInPandas(frugal(run), "doc_id long, n_shingles long, key_a long, key_b long, sig array<int>, low binary")
 
 
 def regions(sets: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     found = map_groups(_signed(rows.where(F.col("n") <= CAP), sets).drop("path"), ["region"], whole, schema)
     dense = materialize(_signed(rows.where(F.col("n") > CAP), sets), "dense")  # written, as ranges are found in a pass before
     order = dense.repartitionByRange(_parts(rows), "region", "path", "vertex").sortWithinPartitions("region", "path", "vertex")
-    return found.union(order.mapInPandas(walk, schema)).distinct()
+    return found.union(order.mapInPandas(frugal(walk), schema)).distinct()
 
 
 def _parts(df: DataFrame) -> int:
@@ -253,7 +253,7 @@ def links(docs: DataFrame, cells: DataFrame, sets: DataFrame, percent: int, few:
                 values, begin = _shingles.shingle_sets(found[s], WIDTH)
                 yield pd.DataFrame({"vertex": batch["vertex"][s], "cells": batch["cells"][s], "shingles": [values[a:b].tobytes() for a, b in zip(begin, begin[1:])]})
 
-    made = texts.mapInPandas(again, f"vertex long, cells {wanted.schema['cells'].dataType.simpleString()}, shingles binary")
+    made = texts.mapInPandas(frugal(again), f"vertex long, cells {wanted.schema['cells'].dataType.simpleString()}, shingles binary")
     made = made.select(F.explode("cells").alias("c"), "vertex", "shingles").select("c.cell", "c.own", "c.pair.i", "c.pair.j", "vertex", "shingles")
 
     def confirm(frame: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:

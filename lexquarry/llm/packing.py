@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import frugal, materialize, table
 
 SIZE, EOS = 2048, 1
 #: Words whose ids a worker remembers; it starts anew when there are more.
@@ -121,7 +121,7 @@ def cut(docs: DataFrame, size: int = SIZE, eos: int = EOS, tokenizer: str | None
             yield frame.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(pieces, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(frugal(pieces), schema)
 
 
 class OpenWindows:
@@ -216,7 +216,7 @@ def pack(docs: DataFrame, size: int = SIZE, eos: int = EOS, tokenizer: str | Non
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids + ", sequence_id long, offset long"
     # sorted, not broadcast: ranks grow with the number of partitions
-    return pieces.join(by_part.drop("n").hint("merge"), ["part", "length"]).select(*columns, "nth", "before").mapInPandas(place, schema)
+    return pieces.join(by_part.drop("n").hint("merge"), ["part", "length"]).select(*columns, "nth", "before").mapInPandas(frugal(place), schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _bytes
-from ._common import materialize, table, text_or_empty
+from ._common import frugal, materialize, table, text_or_empty
 
 #: Labelled documents that the fit reads at most.
 SAMPLE = 2500
@@ -209,7 +209,7 @@ def scored(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
             yield batch.drop(columns="_text")
 
     schema = T.StructType([*rows.drop("_text").schema.fields, T.StructField(column, T.DoubleType())])
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(frugal(run), schema)
 
 
 def classify(docs: DataFrame, model: dict) -> DataFrame:
@@ -223,7 +223,7 @@ def classify(docs: DataFrame, model: dict) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": np.concatenate(got) if got else np.zeros(0)})
 
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    out = narrow.mapInPandas(run, "doc_id long, score double")
+    out = narrow.mapInPandas(frugal(run), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(crc % HELD_OUT_MOD == HELD_OUT, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 

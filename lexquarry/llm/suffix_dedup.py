@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes, _suffixes
-from ._common import broadcast_if_small, materialize, table, text_or_empty
+from ._common import broadcast_if_small, frugal, materialize, table, text_or_empty
 from ._groups import map_groups
 
 WINDOW, GRAM = 100, 32
 #: Bytes of texts that are cut into runs at once, and differing segments of an anchor that a shard takes.
-CHUNK, CAP = 3_000_000, 2048
+CHUNK, CAP = 2_000_000, 2048
 #: Window starts of a very long text that are handled at once.
 PIECE = 1 << 23
 #: Packed runs: anchor (48 bits in two parts), segment, document (id, hash), start, windows (+128: settled already).
@@ -110,7 +110,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
                 yield pd.DataFrame({"bucket": key[cut[:-1]].astype("i8"), "runs": parts})
                 begin, size = i + 1, 0
 
-    return docs.mapInPandas(run, "bucket long, runs binary")
+    return docs.mapInPandas(frugal(run), "bucket long, runs binary")
 
 
 def _unpack(parts: list[bytes]) -> dict[str, np.ndarray]:
@@ -170,7 +170,7 @@ def _segments(texts: DataFrame, open_runs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["kind", "anchor", "doc_id", "th", "start", "seg"])
 
     joined = texts.join(by_doc.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "text", "open")
-    return joined.mapInPandas(cut, "kind int, anchor long, doc_id long, th long, start long, seg binary")
+    return joined.mapInPandas(frugal(cut), "kind int, anchor long, doc_id long, th long, start long, seg binary")
 
 
 def _spans_of(starts: np.ndarray) -> list[int]:
@@ -181,12 +181,12 @@ def _spans_of(starts: np.ndarray) -> list[int]:
 
 
 def _shard(frame: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
-    """Segments of whole anchors -> removed spans, by a suffix array over all of them (a few MB at a time)."""
+    """Segments of whole anchors -> removed spans, by a suffix array over all of them (a MB at a time)."""
     doc, th, start, segs = frame["doc_id"].to_numpy("i8"), frame["th"].to_numpy("i8"), frame["start"].to_numpy("i8"), frame["seg"].tolist()
     size = np.array([len(s) for s in segs], "i8")
     out, lo, weight = [], 0, np.r_[0, np.cumsum(size)]
     for k in range(1, len(at)):
-        if weight[at[k]] - weight[lo] < 2_000_000 and k + 1 < len(at):
+        if weight[at[k]] - weight[lo] < 1_000_000 and k + 1 < len(at):
             continue
         hi = int(at[k])
         data = np.frombuffer(b"\xff".join(segs[lo:hi]) + b"\xff", "u1")  # no UTF-8 text holds this byte
@@ -228,7 +228,7 @@ def _anchored(segments: DataFrame) -> DataFrame:
                 places.append(int(grams[np.argmin(h >> np.uint64(24))]))
             yield batch.assign(lo=0, hi=reach, at=places)[["anchor", "lo", "hi", "at", "doc_id", "th", "start", "seg"]].rename(columns={"anchor": "core"})
 
-    return segments.select("anchor", "doc_id", "th", "start", "seg").mapInPandas(find, SUB)
+    return segments.select("anchor", "doc_id", "th", "start", "seg").mapInPandas(frugal(find), SUB)
 
 
 def _divided(rows: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _divided(rows: DataFrame) -> DataFrame:
                         out.append((int.from_bytes(shared, "big", signed=True), a, b, at - first, doc_id, th, start + first, seg[first : last + WINDOW]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SUB.split(", ")])
 
-    return rows.mapInPandas(halves, SUB)
+    return rows.mapInPandas(frugal(halves), SUB)
 
 
 def _hot(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -331,7 +331,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = texts.join(gone.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "text", "spans")
-    out = joined.mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.mapInPandas(frugal(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     alone = docs.where("doc_id is null").select(text_or_empty("text").cast("binary").alias("raw"))
     zero = F.lit(0).cast("long")
     return out.union(alone.select(F.lit(None).cast("long"), F.octet_length("raw").cast("long"), zero, zero, F.sha2("raw", 256)))
@@ -359,7 +359,7 @@ def apply(docs: DataFrame) -> DataFrame:
     else:
         row = row.withColumn("th", F.lit(0).cast("long"))
     joined = row.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("text", "_row", "spans")
-    out = joined.mapInPandas(cut, joined.drop("spans").schema).select("_row.*", "text")
+    out = joined.mapInPandas(frugal(cut), joined.drop("spans").schema).select("_row.*", "text")
     out = out.unionByName(docs.where("doc_id is null").select(*out.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
