@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens, mask_ids
+from ..session import written
 
 
 def build_datasets(chunks: DataFrame, ids: list[str], mask: str | None = None, separator: str = " ", mask_each: bool = False) -> DataFrame:
@@ -48,8 +49,8 @@ def to_long(wide: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def to_wide(long: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Features as columns; names are stated, so the schema does not hang on the data. The first value that is not null counts."""
-    return long.groupBy(*keys).pivot("feature_name", names).agg(F.first("feature_value", ignorenulls=True))
+    """Features as columns; names are stated, so the schema does not hang on the data. Of repeated keys the least value counts."""
+    return long.groupBy(*keys).pivot("feature_name", names).agg(F.min("feature_value"))
 
 
 def training_table(datasets: DataFrame, long: DataFrame, keys: list[str], names: list[str], kind: str = "dataset_type", positive: str = "PRIMARY") -> DataFrame:
@@ -104,29 +105,68 @@ def similarity_threshold(similarities: DataFrame, method: str = "degree_target",
     raise ValueError(f"unknown method {method}")
 
 
-def pearson(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """feature, r, p: correlation of each column with the target; p from the normal approximation of Fisher's z. One pass."""
-    from math import atanh, erfc, sqrt
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (Lentz)."""
+    from math import exp, lgamma, log
 
-    first = rows.agg(F.count("*").alias("n"), *[F.corr(c, target).alias(c) for c in columns]).first()
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
+    least, c = 1e-300, 1.0
+    d = 1 / ((1 - (a + b) * x / (a + 1)) or least)
+    total = d
+    for m in range(1, 400):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or least)
+            c = (1 + step / c) or least
+            total *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * total
 
-    def p(r: float | None) -> float | None:
-        return None if r is None or first["n"] < 4 else 0.0 if abs(r) >= 1 else erfc(abs(atanh(r)) * sqrt(first["n"] - 3) / sqrt(2))
 
-    return rows.sparkSession.createDataFrame([(c, first[c], p(first[c])) for c in columns], "feature string, r double, p double")
+def correlation_p(r: float | None, n: int) -> float | None:
+    """The two-sided p of a correlation of n pairs, from Student's t; for ranks the usual approximation."""
+    if r is None or n < 3:
+        return None
+    return 0.0 if abs(r) >= 1 else _beta_share((n - 2) / 2, 0.5, 1 - r * r)
 
 
-def average_ranks(rows: DataFrame, column: str) -> DataFrame:
-    """value -> average rank, by counts of distinct values; values are summed up by range, not ranked on one task."""
+def pearson(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """feature, r, p: correlation of each column with the target, one pass; pairs with a null do not count."""
+    both = lambda c: F.col(c).isNotNull() & F.col(target).isNotNull()
+    first = rows.agg(*[F.count(F.when(both(c), 1)).alias(f"n_{c}") for c in columns], *[F.corr(c, target).alias(c) for c in columns]).first()
+    return rows.sparkSession.createDataFrame([(c, first[c], correlation_p(first[c], first[f"n_{c}"])) for c in columns], "feature string, r double, p double")
+
+
+def running(counted: DataFrame, key: str, sums: list[str]) -> DataFrame:
+    """counted (a row for each value of key) with upto_<c>: the sum of c over rows up to its own, ascending. Values are summed up by
+    range: only a row for each partition is looked at across ranges."""
     from pyspark.sql import Window as W
 
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(counted.repartitionByRange(parts, key).withColumn("_b", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    earlier = W.partitionBy().orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    before = totals.select(F.col("_b").alias("_p"), *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    within = W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    rows = ranged.select("*", *[F.sum(c).over(within).alias(f"_w_{c}") for c in sums]).join(before, F.col("_b") == F.col("_p"))
+    return rows.select(*counted.columns, *[(F.col(f"_w_{c}") + F.col(f"_before_{c}")).alias(f"upto_{c}") for c in sums])
+
+
+def average_ranks(rows: DataFrame, column: str) -> DataFrame:
+    """value -> average rank, by counts of distinct values."""
     counted = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")).where("v is not null")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counted.repartitionByRange(parts, "v").withColumn("b", F.spark_partition_id())
-    totals = ranged.groupBy("b").agg(F.sum("n").alias("t"))
-    before = totals.select("b", (F.sum("t").over(W.partitionBy().orderBy("b").rowsBetween(W.unboundedPreceding, 0)) - F.col("t")).alias("before"))  # a row a partition
-    within = F.sum("n").over(W.partitionBy("b").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    return ranged.withColumn("_w", within).join(F.broadcast(before), "b").select("v", (F.col("before") + F.col("_w") - (F.col("n") - 1) / 2.0).alias("rank"))
+    return running(counted, "v", ["n"]).select("v", (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
+def spearman_p(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """feature, r, p of spearman()."""
+    n = rows.agg(*[F.count(F.when(F.col(c).isNotNull() & F.col(target).isNotNull(), 1)).alias(c) for c in columns]).first()
+    found = [(x["feature"], x["r"], correlation_p(x["r"], n[x["feature"]])) for x in spearman(rows, columns, target).collect()]  # a row a column
+    return rows.sparkSession.createDataFrame(found, "feature string, r double, p double")
 
 
 def spearman(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -156,18 +196,19 @@ def classification_metrics(rows: DataFrame, label: str, predicted: str) -> DataF
     return out.select("*", p.alias("precision"), r.alias("recall"), F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("accuracy"))
 
 
-def precision_recall(rows: DataFrame, label: str, score: str, digits: int = 4, beta: float = 0.5) -> DataFrame:
-    """threshold, precision, recall, f for each distinct score, rounded to `digits`: counts by score are cumulated, not rows."""
-    from pyspark.sql import Window as W
-
-    by = rows.groupBy(F.round(score, digits).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))  # at most 10 ** digits + 1 rows for scores from 0 to 1
-    w = W.partitionBy().orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    out = by.select("threshold", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("marked"), F.sum("pos").over(W.partitionBy()).alias("all"))
-    p, r = F.col("tp") / F.col("marked"), F.try_divide("tp", "all")
+def precision_recall(rows: DataFrame, label: str, score: str, digits: int | None = None, beta: float = 0.5) -> DataFrame:
+    """threshold, precision, recall, f for each distinct score (rounded, if digits are given): counts by score are cumulated, not rows."""
+    threshold = F.col(score) if digits is None else F.round(score, digits)
+    by = rows.groupBy(threshold.alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
+    by = written(by, "scores")
+    whole = by.agg(F.sum("pos").alias("all"), F.sum("n").alias("rows"))  # one row
+    out = running(by, "threshold", ["pos", "n"]).crossJoin(F.broadcast(whole))
+    tp, marked = F.col("all") - F.col("upto_pos") + F.col("pos"), F.col("rows") - F.col("upto_n") + F.col("n")
+    p, r = tp / marked, F.try_divide(tp, F.col("all"))
     return out.select("threshold", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide((1 + beta * beta) * p * r, beta * beta * p + r), F.lit(0.0)).alias("f"))
 
 
-def best_threshold(rows: DataFrame, label: str, score: str, digits: int = 4, beta: float = 0.5) -> DataFrame:
+def best_threshold(rows: DataFrame, label: str, score: str, digits: int | None = None, beta: float = 0.5) -> DataFrame:
     curve = precision_recall(rows, label, score, digits, beta)
     return curve.agg(F.max_by("threshold", F.struct("f", "threshold")).alias("threshold"), F.max("f").alias("f"))
 

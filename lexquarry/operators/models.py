@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -14,6 +17,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .features import class_weights
 
 
@@ -45,6 +49,70 @@ def prototypes(vectors: DataFrame, cluster: str, vector: str = "embedding") -> D
     return rows.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("prototype"))
 
 
+def gram(vectors: DataFrame, by: str | None = None, vector: str = "embedding", over: str = "rows") -> DataFrame:
+    """by, n, gram: for each group the d x d sum of products of its vectors, as a flat array. over="rows" centres each vector on its own
+    mean (the transposed rows are then centred). Sums are taken within partitions first; only d * d numbers a group and partition are shuffled."""
+    kind = dict(vectors.dtypes)[by] if by else "int"
+    key = F.col(by) if by else F.lit(0)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for k, own in batch.groupby("k", dropna=False)["v"]:
+                x = np.array(own.tolist(), "f8")
+                x = x - x.mean(1, keepdims=True) if over == "rows" else x
+                n, g = held.get(k, (0, 0.0))
+                held[k] = n + len(x), g + x.T @ x
+        yield pd.DataFrame({"k": list(held), "n": [n for n, _ in held.values()], "g": [g.ravel() for _, g in held.values()]})
+
+    parts = vectors.select(key.alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(sums, f"k {kind}, n long, g array<double>")
+    cells = parts.select("k", "n", F.posexplode("g").alias("i", "x")).groupBy("k", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"])  # d * d numbers
+    return cells.groupBy(F.col("k").alias(by or "k")).agg(F.max("n").alias("n"), whole.alias("gram"))
+
+
+def _leading(k: int):
+    """The k leading components of a flat Gram matrix: scores of its dimensions, the largest of each positive."""
+    @F.pandas_udf("array<array<double>>")
+    def of(grams: pd.Series) -> pd.Series:
+        def one(g: np.ndarray) -> list[list[float]]:
+            d = int(round(len(g) ** 0.5))
+            values, axes = np.linalg.eigh(np.asarray(g, "f8").reshape(d, d))
+            out = []
+            for i in range(1, min(k, d) + 1):
+                axis = axes[:, -i] * np.sqrt(max(values[-i], 0.0))
+                out.append((axis if axis[np.abs(axis).argmax()] >= 0 else -axis).tolist())
+            return out
+
+        return grams.map(one)
+
+    return of
+
+
+def prototype_components(vectors: DataFrame, cluster: str, vector: str = "embedding") -> DataFrame:
+    """cluster, prototype: the first principal component of a cluster's transposed rows, a value for each dimension. The matrix of
+    dimensions x rows is never built: its components follow from the d x d Gram matrix."""
+    return gram(vectors, cluster, vector).select(cluster, _leading(1)("gram")[0].alias("prototype"))
+
+
+def dimension_components(vectors: DataFrame, k: int = 2, vector: str = "embedding") -> DataFrame:
+    """dim, PCA_1 .. PCA_k: principal components of the transposed matrix, a row for each dimension."""
+    found = gram(vectors, None, vector).select(_leading(k)("gram").alias("c"))
+    rows = found.select(F.posexplode(F.arrays_zip(*[F.col("c")[i].alias(f"PCA_{i + 1}") for i in range(k)])).alias("dim", "s"))
+    return rows.select("dim", *[F.col("s")[f"PCA_{i + 1}"].alias(f"PCA_{i + 1}") for i in range(k)])
+
+
+def projection(rows: DataFrame, k: int = 2, fit: Callable[[DataFrame, int], DataFrame] | None = None, prefix: str = "UMAP_") -> DataFrame:
+    """A non-linear projection where a plug-in is given: fit(rows, k) returns rows with columns prefix1.. . Without one: principal
+    components, under their own name, so that nothing is passed off as what it is not."""
+    if fit is None:
+        return pca(rows, k)
+    out = fit(rows, k)
+    if lacking := [f"{prefix}{i + 1}" for i in range(k) if f"{prefix}{i + 1}" not in out.columns]:
+        raise ValueError(f"the plug-in lacks columns: {', '.join(lacking)}")
+    return out
+
+
 def impute(rows: DataFrame, columns: list[str]) -> DataFrame:
     return Imputer(strategy="median", inputCols=columns, outputCols=columns).fit(rows).transform(rows)
 
@@ -80,10 +148,10 @@ def fit(rows: DataFrame, columns: list[str], kind: str = "forest", **settings):
     return Pipeline(stages=[Imputer(strategy="median", inputCols=columns, outputCols=columns), VectorAssembler(inputCols=columns, outputCol="features"), classifier(kind, **settings)]).fit(weighted(rows, "target"))
 
 
-def search(rows: DataFrame, columns: list[str], grid: dict[str, list], group: str, tries: int = 5, k: int = 3, seed: int = 42) -> tuple[dict, float]:
+def search(rows: DataFrame, columns: list[str], grid: dict[str, list], group: str, tries: int = 5, k: int = 5, seed: int = 42) -> tuple[dict, float]:
     """The best settings of a random search by mean F1 over group folds."""
     draw, best = random.Random(seed), ({}, -1.0)
-    folded = folds(rows, group, k, seed).cache()
+    folded = written(folds(rows, group, k, seed), "folds")
     for _ in range(tries):
         settings = {name: draw.choice(values) for name, values in grid.items()}
         total = 0.0
@@ -92,7 +160,6 @@ def search(rows: DataFrame, columns: list[str], grid: dict[str, list], group: st
             total += MulticlassClassificationEvaluator(labelCol="target", metricName="f1").evaluate(model.transform(folded.where(F.col("fold") == n)))
         if total / k > best[1]:
             best = settings, total / k
-    folded.unpersist()
     return best
 
 
@@ -106,16 +173,23 @@ def calibrate(rows: DataFrame, score: str, label: str, method: str = "sigmoid")
     return done.select(*rows.columns, F.col("_p").alias("calibrated"))
 
 
-def permutation_importance(model, rows: DataFrame, columns: list[str], repeats: int = 3, metric: str = "f1") -> dict[str, float]:
-    """Loss of the metric when a column's values are exchanged between rows at random (paired by order of hashes)."""
+def shuffled(rows: DataFrame, column: str, key: str, seed: int, bucket: int = 5000) -> DataFrame:
+    """rows with the column's values exchanged at random: rows fall into random buckets of about `bucket` rows, and within one the n-th by one
+    hash of the key gets the value of the n-th by another. No order over all rows, nothing outside the JVM."""
+    from pyspark.sql import Window as W
+
+    buckets = max(1, rows.count() // bucket)
+    hashed = lambda n: F.xxhash64(F.lit(seed), F.lit(n), key)
+    dealt = written(rows.withColumn("_b", F.pmod(hashed(0), F.lit(buckets))), "dealt")
+    nth = lambda n: F.row_number().over(W.partitionBy("_b").orderBy(hashed(n), key))
+    values = dealt.select(F.col("_b").alias("_c"), nth(2).alias("_m"), F.col(column).alias("_x"))
+    joined = dealt.withColumn("_n", nth(1)).join(values, (F.col("_b") == F.col("_c")) & (F.col("_n") == F.col("_m")))
+    return joined.withColumn(column, F.col("_x")).select(*rows.columns)
+
+
+def permutation_importance(model, rows: DataFrame, columns: list[str], key: str, repeats: int = 30, metric: str = "f1") -> dict[str, float]:
+    """Loss of the metric when a column's values are exchanged between rows at random; key: unique."""
     judge = MulticlassClassificationEvaluator(labelCol="target", metricName=metric)
-    base, out = judge.evaluate(model.transform(rows)), {}
-    for c in columns:
-        losses = []
-        for r in range(repeats):
-            left = rows.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(["_i", *rows.columns])
-            other = rows.select(c).orderBy(F.xxhash64(F.lit(r), *rows.columns)).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF(["_i", "_x"])
-            mixed = left.join(other, "_i").withColumn(c, F.col("_x")).drop("_i", "_x")
-            losses.append(base - judge.evaluate(model.transform(mixed)))
-        out[c] = sum(losses) / repeats
-    return out
+    base = judge.evaluate(model.transform(rows))
+    loss = lambda c, r: base - judge.evaluate(model.transform(shuffled(rows, c, key, r)))
+    return {c: sum(loss(c, r) for r in range(repeats)) / repeats for c in columns}

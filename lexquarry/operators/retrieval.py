@@ -7,7 +7,7 @@ a top-k has bounded before.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -180,19 +180,34 @@ def prototype_affinity(chunks: DataFrame, prototypes: list[list[float]], m: int
     return F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 25, per_signal: int | None = None) -> DataFrame:
+def stacked(queries: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """query_id, vector: the prototypes' vectors (prototype_id, vector) under the queries', as further queries."""
+    return queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").union(
+        prototypes.select(F.concat(F.lit("prototype_"), F.col("prototype_id").cast("string")), "vector"))
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 25, per_signal: int | None = None, prototypes: list[list[float]] = (), m: int = 1) -> DataFrame:
     """queries: query_id, text, vector. chunks: chunk_id, text, vector. Candidates of BM25 and vectors are fused by rank, scored
-    with the rule-based priors and boosts, and returned with their fused score and rank."""
+    with the rule-based priors and boosts, and returned with their fused score and rank. With prototypes (a small, stated set) the chunks
+    nearest to any of them are candidates too, and the mean of a candidate's m greatest cosines with them is part of its score."""
     n = per_signal or 3 * k
     sparse = bm25(queries, chunks, n).select("query_id", F.lit("sparse").alias("list"), F.col("chunk_id").alias("id"), "rank")
     dense = nearest(queries, chunks, n, q=("query_id", "vector"), v=("chunk_id", "vector")).select("query_id", F.lit("dense").alias("list"), "id", "rank")
     fused = top(rank_fusion(sparse.union(dense), max(5, n // 2)), 2 * n, ["query_id"], "score", "id")
+    if prototypes:
+        spark = queries.sparkSession
+        liked = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(prototypes)], "prototype_id int, vector array<double>")
+        pool = nearest(liked, chunks, n, q=("prototype_id", "vector"), v=("chunk_id", "vector")).select("id").distinct()  # n a prototype at most
+        pairs = queries.select("query_id").crossJoin(F.broadcast(pool))
+        fused = fused.drop("rank").join(pairs, ["query_id", "id"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        fused = fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     # rules read a candidate's text once, however many queries it is a candidate of
-    texts = chunks.select(F.col("chunk_id").alias("id"), "text").join(fused.select("id").distinct(), "id", "left_semi")
-    rules = texts.select("id", availability_prior("text").alias("das"), specific_score("text").alias("regex"), repository_doi_prior("text").alias("doi_repo"), inference_boost("text").alias("boost"))
+    texts = chunks.select(F.col("chunk_id").alias("id"), "text", "vector").join(fused.select("id").distinct(), "id", "left_semi")
+    affinity = prototype_affinity(chunks, prototypes, m, "vector") if prototypes else F.lit(0.0)
+    rules = texts.select("id", affinity.alias("prototype"), availability_prior("text").alias("das"), specific_score("text").alias("regex"), repository_doi_prior("text").alias("doi_repo"), inference_boost("text").alias("boost"))
     rows = fused.join(rules.repartition("id"), "id").withColumn("rrf", minmax("score", ["query_id"]))
     rows = rows.withColumn("near", neighbour_boost(rows, "regex", ["query_id"]))
-    total = sum((F.lit(L.FUSION[c]) * F.col(c) for c in ("rrf", "das", "regex", "doi_repo")), F.col("near") + F.col("boost"))
+    total = sum((F.lit(L.FUSION[c]) * F.col(c) for c in ("prototype", "rrf", "das", "regex", "doi_repo")), F.col("near") + F.col("boost"))
     return top(rows.select("query_id", "id", total.alias("fused")), k, ["query_id"], "fused", "id")
 
 
@@ -376,27 +391,61 @@ def boosted_dense(queries: DataFrame, chunks: DataFrame, prototypes: DataFrame |
     return top(joined.select("query_id", "id", score.alias("score")), k, ["query_id"], "score", "id")
 
 
+def _in_documents(queries: DataFrame, chunks: DataFrame, score: Callable[[Column], Column], k: int) -> DataFrame:
+    """Every chunk for each query (a stated set, sent to all tasks), ranked within query and document; below rank k the rank is null."""
+    q = queries.select("query_id", F.col("vector").alias("_q"))
+    scored = chunks.crossJoin(F.broadcast(q)).withColumn("_s", score(F.col("_q")))
+    rank = F.row_number().over(W.partitionBy("query_id", "document_id").orderBy(F.desc("_s"), "chunk_id"))
+    ranked = scored.withColumn("rank", rank).withColumn("rank", F.when(F.col("rank") <= k, F.col("rank")))
+    return ranked.withColumn("key", F.to_json(F.struct("query_id", "document_id")))
+
+
+def _pruned(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, most_tokens: int) -> DataFrame:
+    out = expand_and_prune(ranked.select("key", "chunk_id", "rank", "previous_chunk_id", "next_chunk_id", "token_count"), k, most_tokens, by="key")
+    kind = f"struct<query_id: {dict(queries.dtypes)['query_id']}, document_id: {dict(chunks.dtypes)['document_id']}>"
+    return out.select(F.from_json("key", kind).alias("key"), "chunk_id", "position").select("key.*", "chunk_id", "position")
+
+
+def _signal(q: Column) -> Column:
+    return cosine(F.col("vector"), q) + availability_prior("text") + specific_score("text") + repository_doi_prior("text") + inference_boost("text")
+
+
 def document_context(queries: DataFrame, chunks: DataFrame, k: int = 15, most_tokens: int = 1000) -> DataFrame:
-    """document_id, chunk_id, position: chunks for one stated query (one row: query_id, text, vector), chosen in each document. chunks: document_id,
+    """query_id, document_id, chunk_id, position: chunks for each stated query (query_id, text, vector), chosen in each document. chunks: document_id,
     chunk_id, text, vector, previous_chunk_id, next_chunk_id, token_count. Hybrid ranks within documents, then neighbours, then the token budget."""
-    q = queries.limit(1).select(F.col("vector").alias("_q"))
-    scored = chunks.crossJoin(F.broadcast(q))  # one row
-    signal = cosine(F.col("vector"), F.col("_q")) + availability_prior("text") + specific_score("text") + repository_doi_prior("text") + inference_boost("text")
-    rank = F.row_number().over(W.partitionBy("document_id").orderBy(F.desc("_s"), "chunk_id"))
-    ranked = scored.withColumn("_s", signal).withColumn("rank", rank)
-    ranked = ranked.withColumn("rank", F.when(F.col("rank") <= k, F.col("rank")))
-    return expand_and_prune(ranked.select("document_id", "chunk_id", "rank", "previous_chunk_id", "next_chunk_id", "token_count"), k, most_tokens)
+    return _pruned(_in_documents(queries, chunks, _signal, k), queries, chunks, k, most_tokens)
+
+
+def two_pass_context(queries: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 15, anchors: int = 3, most_tokens: int = 1000) -> DataFrame:
+    """As document_context(), in two passes: the best `anchors` chunks of a document and their neighbours make a new query text, which
+    embed (rows with key and text -> rows with key and vector) turns into a vector; chunks are ranked anew by scaled cosine and keywords, after the
+    anchors and their neighbours, each once, and the token budget is held."""
+    first = _in_documents(queries, chunks, _signal, k)
+    near = F.array("chunk_id", "previous_chunk_id", "next_chunk_id")
+    taken = first.where(F.col("rank") <= anchors).select("key", "rank", F.posexplode(near).alias("place", "chunk_id")).where("chunk_id is not null")
+    taken = taken.groupBy("key", "chunk_id").agg(F.min(F.struct("rank", "place")).alias("first"))
+    texts = first.select("key", "chunk_id", "text").join(taken, ["key", "chunk_id"])
+    ordered = F.array_sort(F.collect_list(F.struct("first", "text")))  # 3 * anchors texts
+    merged = embed(texts.groupBy("key").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))).select("key", F.col("vector").alias("_again"))
+    again = first.join(merged, "key").withColumn("_c", cosine(F.col("vector"), F.col("_again")))
+    again = again.withColumn("_s", minmax("_c", ["key"]) + inference_boost("text")).join(taken, ["key", "chunk_id"], "left")
+    order = W.partitionBy("key").orderBy(F.col("first").asc_nulls_last(), F.desc("_s"), "chunk_id")
+    ranked = again.withColumn("rank", F.row_number().over(order)).withColumn("rank", F.when(F.col("rank") <= k, F.col("rank")))
+    return _pruned(ranked, queries, chunks, k, most_tokens)
 
 
 def corpus_context(queries: DataFrame, chunks: DataFrame, k: int = 200, percentile: float = 0.7) -> DataFrame:
-    """document_id, pre, anchor, post: triplets around the chunks that one query ranks best over the whole corpus: hybrid scores,
-    collapse of neighbours, percentile gate, diversity."""
+    """query_id, document_id, pre, anchor, post: triplets around the chunks that each query ranks best over the whole corpus: hybrid scores,
+    collapse of neighbours within query and document, percentile gate, diversity."""
     ranked = hybrid(queries, chunks, k).withColumnRenamed("id", "chunk_id")
     info = ranked.join(chunks.select("chunk_id", "document_id", "vector", "previous_chunk_id", "next_chunk_id"), "chunk_id")
-    kept = collapse_neighbours(info.select("document_id", "chunk_id", "rank", "fused", "query_id", "vector", "previous_chunk_id", "next_chunk_id"))
+    info = info.withColumn("key", F.to_json(F.struct("query_id", "document_id")))
+    kept = collapse_neighbours(info.select("key", "document_id", "chunk_id", "rank", "fused", "query_id", "vector", "previous_chunk_id", "next_chunk_id"), by="key")
     gated = percentile_gate(kept, "fused", percentile, ["query_id"])
-    chosen = mmr(gated.join(queries.select("query_id", F.col("vector").alias("query")), "query_id").select("query_id", F.col("chunk_id").alias("id"), "query", "vector"), k)
-    return chosen.select(F.col("id").alias("anchor")).distinct().join(info.select("document_id", F.col("chunk_id").alias("anchor"), F.col("previous_chunk_id").alias("pre"), F.col("next_chunk_id").alias("post")).distinct(), "anchor").select("document_id", "pre", "anchor", "post")
+    wanted = gated.join(queries.select("query_id", F.col("vector").alias("query")), "query_id")
+    chosen = mmr(wanted.select("query_id", F.col("chunk_id").alias("id"), "query", "vector"), k).select("query_id", F.col("id").alias("anchor"))
+    around = info.select("query_id", "document_id", F.col("chunk_id").alias("anchor"), F.col("previous_chunk_id").alias("pre"), F.col("next_chunk_id").alias("post"))
+    return chosen.distinct().join(around.distinct(), ["query_id", "anchor"]).select("query_id", "document_id", "pre", "anchor", "post")
 
 
 def with_target(retrieved: DataFrame, targets: DataFrame, key: str = "dataset_id") -> DataFrame:

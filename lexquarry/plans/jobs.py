@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import text as X
 from ..operators import chunking, features, graph, models, quality, retrieval
+from ..session import written
 from ..sources.sinks import Versioned, replaced
 
 
@@ -73,15 +74,18 @@ def submission(citations: DataFrame) -> DataFrame:
 
     parts = int(citations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = citations.select("article_id", "dataset_id", "type").distinct().repartitionByRange(parts, "article_id", "dataset_id", "type").withColumn("_b", F.spark_partition_id())
+    rows = written(rows, "ranges")  # so that a row keeps its partition's number
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_b").orderBy("article_id", "dataset_id", "type")))
     sizes = rows.groupBy("_b").agg(F.count("*").alias("_c"))
     before = sizes.select("_b", (F.sum("_c").over(W.partitionBy().orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))  # a row a partition
-    return rows.join(F.broadcast(before), "_b").select((F.col("_before") + F.col("_n") - 1).alias("row_id"), "article_id", "dataset_id", "type")
+    return rows.join(before, "_b").select((F.col("_before") + F.col("_n") - 1).alias("row_id"), "article_id", "dataset_id", "type")
 
 
 def import_labels(datasets: DataFrame, labels: DataFrame, target: Versioned | None = None) -> DataFrame:
-    """datasets with the type of their label; the last label of a dataset counts. Written if a table is given."""
-    valid = quality.valid_labels(labels, "type", "dataset_id").withColumn("_k", F.monotonically_increasing_id())
+    """datasets with the type of their label; the last label of a dataset counts, by a column `ordinal` if labels have one, else
+    the last in alphabetical order. Written if a table is given."""
+    order = F.col("ordinal") if "ordinal" in labels.columns else F.col("type")
+    valid = quality.valid_labels(labels, "type", "dataset_id").withColumn("_k", order)
     last = quality.distinct_last(valid.select("dataset_id", "type", "_k"), "dataset_id", "_k").select("dataset_id", F.col("type").alias("_type"))
     out = datasets.join(last, "dataset_id", "left").withColumn("dataset_type", F.coalesce("_type", "dataset_type")).drop("_type")
     if target is not None:

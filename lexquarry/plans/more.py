@@ -117,6 +117,31 @@ def document_context(spark, d):
     return retrieval.document_context(_one_query(spark), _embedded(spark, d))
 
 
+@query()
+def two_pass_context(spark, d):
+    embed = lambda rows: retrieval.with_vectors(rows, "key")
+    return retrieval.two_pass_context(_one_query(spark), _embedded(spark, d), embed)
+
+
+@query("SELECT 'q' || vec_id AS query_id, len(embedding)::INTEGER AS dims FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT 'prototype_' || label, 64 FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL)")
+def stacked_queries(spark, d):
+    """The stated queries, and the clusters' prototypes under them."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    queries = rows.where("vec_id % 50 = 0").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    protos = models.prototype_components(rows.where("label is not null"), "label").select(F.col("label").alias("prototype_id"), F.col("prototype").alias("vector"))
+    return retrieval.stacked(queries, protos).select("query_id", F.size("vector").alias("dims"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
+  c AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM x)
+  SELECT round(sum(v * v), 3) AS total_variance, 64::BIGINT AS dims, true AS ordered FROM c""")
+def dimension_decomposition(spark, d):
+    """Components of the transposed matrix: all of them together hold its whole variance, the first more than the second."""
+    parts = models.dimension_components(table(spark, d, "embeddings"), 64)
+    squares = parts.agg(*[F.sum(F.col(f"PCA_{i + 1}") ** 2).alias(f"s{i}") for i in range(64)], F.count("*").alias("dims"))
+    return squares.select(F.round(sum(F.col(f"s{i}") for i in range(64)), 3).alias("total_variance"), "dims", (F.col("s0") >= F.col("s1")).alias("ordered"))
+
+
 @query()
 def corpus_context(spark, d):
     return retrieval.corpus_context(_one_query(spark), _embedded(spark, d), 50)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{d.rstrip('/')}/lexquarry-{spark.sparkContext.applicationId}/tables"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: its rows keep their partitions' numbers, and lineage is cut."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; lazily read, so filters and columns reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -55,7 +55,7 @@ def test_models(spark):
     assert features.classification_metrics(scored, "target", "p").first().f1 > 0.9
     best, f1 = models.search(rows, ["x", "z"], {"numTrees": [3], "maxDepth": [2, 3]}, "g", tries=1, k=2)
     assert f1 > 0.8 and best["numTrees"] == 3
-    importance = models.permutation_importance(model, rows, ["x", "z"], repeats=1)
+    importance = models.permutation_importance(model, rows, ["x", "z"], "g", repeats=1)
     assert importance["x"] > importance["z"]
     for method in ("sigmoid", "isotonic"):
         assert models.calibrate(rows, "x", "target", method).where("calibrated between 0 and 1").count() == 120

@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lexquarry.operators import features, graph, retrieval
+from lexquarry.operators import chunking, features, graph, retrieval
 
 
 def test_knn_blocks_agree_with_brute_force(spark):
@@ -108,3 +109,61 @@ def test_every_document_is_searched(spark, tmp_path):
     for f in (more.training_retrieval, more.boosted_dense):
         found = {(r.query_id, r.id) for r in f(spark, str(tmp_path)).collect()}
         assert (50, 50) in found and {q for q, _ in found} == {0, 50, 100, 150}
+
+
+def _corpus(spark):
+    rows = [(f"d{i // 6}", i, f"c{i}", f"text {i} " + ("data deposited in GEO GSE1234 " if i % 5 == 0 else "words ") * 3) for i in range(24)]
+    df = spark.createDataFrame(rows, "document_id string, ordinal int, chunk_id string, text string")
+    df = chunking.link(df, "document_id").withColumn("token_count", F.lit(100))
+    return retrieval.with_vectors(df, "chunk_id")
+
+
+def test_contexts_answer_every_query(spark):
+    chunks = _corpus(spark)
+    q = spark.createDataFrame([(1, "data deposited"), (2, "words text")], "query_id int, text string")
+    queries = retrieval.with_vectors(q, "query_id")
+    embed = lambda rows: retrieval.with_vectors(rows, "key")
+    for found in (retrieval.document_context(queries, chunks, 4, 300), retrieval.two_pass_context(queries, chunks, embed, 4, 1, 300)):
+        rows = found.collect()
+        by = {}
+        for r in rows:
+            by.setdefault((r.query_id, r.document_id), []).append((r.position, r.chunk_id))
+        assert set(by) == {(i, f"d{j}") for i in (1, 2) for j in range(4)}
+        assert all(len(v) <= 3 and [p for p, _ in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values())
+    assert {r.query_id for r in retrieval.corpus_context(queries, chunks, 6).collect()} == {1, 2}
+
+
+def test_prototypes_add_candidates_and_weight(spark):
+    chunks = _corpus(spark)
+    queries = retrieval.with_vectors(spark.createDataFrame([(1, "words")], "query_id int, text string"), "query_id")
+    liked = chunks.where("chunk_id = 'c5'").first().vector
+    plain, with_them = (retrieval.hybrid(queries, chunks, 3, 3, prototypes=p) for p in ([], [liked]))
+    assert with_them.where("id = 'c5'").first()["rank"] == 1
+    assert plain.count() == with_them.count() == 3
+
+
+def test_correlation_p():
+    from lexquarry.operators import features
+
+    assert abs(features.correlation_p(0.5, 10) - 0.14111328125) < 1e-9  # t with 8 degrees of freedom has a closed form
+    assert features.correlation_p(1.0, 10) == 0 and features.correlation_p(0.3, 2) is None and abs(features.correlation_p(0.0, 50) - 1) < 1e-12
+
+
+def test_components_of_dimensions_and_shuffles(spark):
+    import numpy as np
+
+    from lexquarry.operators import models
+
+    x = np.random.default_rng(0).normal(size=(30, 6))
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "vec_id int, label int, embedding array<double>").repartition(3)
+    for r in models.prototype_components(df, "label").collect():
+        t = x[r.label :: 2].T
+        u, s, _ = np.linalg.svd(t - t.mean(0), full_matrices=False)
+        one = u[:, 0] * s[0]
+        one = one if one[np.abs(one).argmax()] >= 0 else -one
+        assert np.allclose(r.prototype, one)
+    rows = spark.createDataFrame([(i, i * 10) for i in range(200)], "k int, v int")
+    mixed = models.shuffled(rows, "v", "k", 1, 50).collect()
+    assert sorted(r.k for r in mixed) == list(range(200)) and sorted(r.v for r in mixed) == [i * 10 for i in range(200)]
+    assert sum(r.v == r.k * 10 for r in mixed) < 20
+    assert models.projection(df, 2).columns[-2:] == ["PCA_1", "PCA_2"]
