@@ -224,7 +224,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     # about 4 * sample rows of each language reach the window that takes the first `sample`
     near = F.conv(F.substring(place, 1, 8), 16, 10).cast("double") / 2.0**32 < F.lit(4.0 * sample) / F.col("n")
     nth = F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id"))
-    first = known.join(langs.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang")).where(near).distinct()
+    few = broadcast_if_small(materialize(langs.withColumnRenamed("lang", "_lang"), "langs"))  # a row a language
+    first = known.join(few, F.col("lang") == F.col("_lang")).where(near).distinct()
     chosen = first.withColumn("nth", nth).where(F.col("nth") <= sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     chosen = broadcast_if_small(materialize(chosen, "chosen"))  # `sample` rows a language
     rows = docs.select("doc_id", "lang", "text").join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
