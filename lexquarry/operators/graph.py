@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import retrieval
 
 
@@ -48,12 +49,102 @@ def cluster_report(labels: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("clusters"), F.avg("n").alias("avg_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"))
 
 
-def resolution_for(vertices: DataFrame, edges: DataFrame, wanted: int, tolerance: int = 2, steps: int = 10, id_col: str = "vec_id") -> tuple[float, DataFrame]:
-    """Binary search for the resolution that gives about the wanted number of clusters."""
-    low, high, best = 0.0, 1.0, None
+def _links(edges: DataFrame) -> DataFrame:
+    """src, dst, weight, n: each linked pair in both directions, once, without loops."""
+    both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return both.where("src != dst").groupBy("src", "dst").agg(F.round(F.sum("weight"), 9).alias("weight"), F.count("*").alias("n"))
+
+
+def communities(parts: DataFrame, links: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
+    """id, cluster: local moves of modularity with a resolution, within each part by itself. parts: id, part; links: src, dst, weight, both
+    directions. In a round the half of the vertices that a hash picks moves, each to the cluster with the greatest gain
+    weight to it - resolution * own degree * the cluster's degree / the part's degree; ties go to the smallest. Deterministic.
+    Every round is written, so it costs one join of the links and cuts the lineage. It ends after two rounds without a move."""
+    own = parts.select("id", "part")
+    inner = links.join(own.select(F.col("id").alias("src"), "part"), "src").join(own.select(F.col("id").alias("dst"), F.col("part").alias("_q")), "dst")
+    inner = written(inner.where("part = _q").select("src", "dst", "weight"), "links")
+    degrees = inner.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    labels = own.join(degrees, "id", "left").select("id", "part", F.col("id").alias("cluster"), F.coalesce("k", F.lit(0.0)).alias("k"), F.lit(False).alias("moved"))
+    labels, still = written(labels, "labels"), 0
+    totals = written(labels.groupBy("part").agg(F.sum("k").alias("total")), "totals")
+    for n in range(rounds):
+        held = labels.groupBy("cluster").agg(F.sum("k").alias("held"))
+        towards = inner.join(labels.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
+        choices = towards.unionByName(labels.select("id", "cluster", F.lit(0.0).alias("w"))).groupBy("id", "cluster").agg(F.sum("w").alias("w"))
+        scored = choices.join(held, "cluster").join(labels.select("id", "part", "k", F.col("cluster").alias("_own")), "id").join(totals, "part")
+        others = F.col("held") - F.when(F.col("cluster") == F.col("_own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * F.coalesce(F.try_divide(F.col("k") * others, F.col("total")), F.lit(0.0)), 9)
+        best = F.min_by("cluster", F.struct(-gain, F.col("cluster") != F.col("_own"), "cluster"))
+        chosen = scored.groupBy("id", "part", "k", "_own").agg(best.alias("best"))
+        turn = F.pmod(F.xxhash64("id", F.lit(n // 2)) + n, F.lit(2)) == 0
+        cluster = F.when(turn, F.col("best")).otherwise(F.col("_own"))
+        labels = written(chosen.select("id", "part", cluster.alias("cluster"), "k", (cluster != F.col("_own")).alias("moved")), "labels")
+        still = 0 if labels.where("moved").limit(1).count() else still + 1
+        if still == 2:
+            break
+    return named(labels)
+
+
+def named(labels: DataFrame) -> DataFrame:
+    """id, cluster: clusters called by their smallest vertex, so that equal partitions have equal names."""
+    names = labels.groupBy("cluster").agg(F.min("id").alias("_name"))
+    return labels.join(names, "cluster").select("id", F.col("_name").alias("cluster"))
+
+
+def balanced_clusters(vertices: DataFrame, edges: DataFrame, resolution: float = 1.5, least: int = 6, most: int = 75, factor: float = 1.3,
+                      passes: int = 20, rounds: int = 12, id_col: str = "vec_id") -> DataFrame:
+    """id, cluster: communities, of which those over `most` vertices are parted at resolution * factor and those under `least` join the
+    cluster that most of their links lead to (ties: the smallest). Of two small clusters that choose each other the smaller joins. Ends
+    when a pass changes nothing, when a partition comes back, or after `passes`. Clusters that cannot be parted, or have
+    no links outwards, keep their size. Without edges every vertex is a cluster."""
+    links = written(_links(edges), "graph")
+    ids = vertices.select(F.col(id_col).alias("id")).distinct()
+    labels = written(communities(ids.withColumn("part", F.lit(0)), links, resolution, rounds), "clusters")
+    seen = set()
+    for _ in range(passes):
+        before = _mark(labels)
+        sizes = labels.groupBy("cluster").agg(F.count("*").alias("size"))
+        large = labels.join(sizes.where(F.col("size") > most), "cluster").select("id", F.col("cluster").alias("part"))
+        if large.limit(1).count():
+            finer = communities(large, links, resolution * factor, rounds)
+            labels = written(labels.join(large, "id", "left_anti").unionByName(finer), "clusters")
+            sizes = labels.groupBy("cluster").agg(F.count("*").alias("size"))
+        labels = _merged(labels, sizes, links, least)
+        after = _mark(labels)
+        if after == before or after in seen:
+            break  # a pass depends on the partition alone, so this one would only repeat what was seen
+        seen.add(after)
+    return labels
+
+
+def _mark(labels: DataFrame) -> tuple:
+    """A fingerprint of a partition, one row."""
+    h = F.xxhash64("id", "cluster")
+    return tuple(labels.agg(F.bit_xor(h), F.sum(h.cast("decimal(38,0)")), F.countDistinct("cluster")).first())
+
+
+def _merged(labels: DataFrame, sizes: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    ends = labels.join(sizes, "cluster")
+    there = ends.select(F.col("id").alias("dst"), F.col("cluster").alias("target"), F.col("size").alias("target_size"))
+    out = links.join(ends.where(F.col("size") < least).withColumnRenamed("id", "src"), "src").join(there, "dst").where("cluster != target")
+    votes = out.groupBy("cluster", "size", "target", "target_size").agg(F.sum("n").alias("n"))
+    chosen = votes.groupBy("cluster", "size").agg(F.min_by(F.struct("target", "target_size"), F.struct(-F.col("n"), "target")).alias("t"))
+    chosen = written(chosen.select("cluster", "size", "t.target", "t.target_size"), "chosen")
+    back = chosen.select(F.col("cluster").alias("target"), F.col("target").alias("_back"))
+    both = chosen.join(back, "target", "left")
+    stays = (F.col("_back") == F.col("cluster")) & (F.struct("size", "cluster") > F.struct(F.col("target_size").alias("size"), F.col("target").alias("cluster")))
+    joins = both.where(~F.coalesce(stays, F.lit(False))).select("cluster", "target")
+    moved = labels.join(joins, "cluster", "left").select("id", F.coalesce("target", "cluster").alias("cluster"))
+    return written(named(moved), "clusters")
+
+
+def resolution_for(vertices: DataFrame, edges: DataFrame, wanted: int = 48, tolerance: int = 2, steps: int = 10, low: float = 0.5, high: float = 8.0,
+                   id_col: str = "vec_id", **settings) -> tuple[float, DataFrame]:
+    """(resolution, clusters): binary search for the resolution whose balanced clusters are about as many as wanted; the nearest if none is."""
+    best = None
     for _ in range(steps):
         middle = (low + high) / 2
-        labels = clusters(vertices, edges, middle, id_col=id_col)
+        labels = balanced_clusters(vertices, edges, middle, id_col=id_col, **settings)
         n = labels.agg(F.countDistinct("cluster")).first()[0]
         if best is None or abs(n - wanted) < best[0]:
             best = (abs(n - wanted), middle, labels)
