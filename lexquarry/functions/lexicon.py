@@ -167,3 +167,54 @@ FAMILIES = [
 #: A prefix and a number, as ranges and lists have them; where a list ends, and how far it is followed.
 HEADED = "(?i)^\\s*([A-Z]{2,10})[\\s\u00a0\\-\u2010-\u2015_]*([0-9]{3,})\\s*$"
 LIST_END, LIST_REACH = "[.;](?:\\s|$)", 300
+
+#: Entities by kind: a text of this form, any case, between characters that are no letters, digits or underscores.
+ENTITIES = {
+    "DOI": r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+",
+    "GEO_Series": r"GSE\d{3,6}",
+    "GEO_Sample": r"GSM\d{3,8}",
+    "SRA_Run": r"SRR\d{6,}",
+    "PDB_ID": r"[0-9][A-Za-z0-9]{3}",
+    "PDB_DOI": r"10\.2210/pdb[0-9][A-Za-z0-9]{3}/pdb",
+    "ArrayExpress": r"E\-[A-Z]{3,6}\-\d+",
+    "dbGaP": r"phs\d{6}(?:\.\d+)?(?:\.p\d+)?",
+    "TCGA": r"TCGA\-[A-Z0-9]{2}\-[A-Z0-9]{4}(?:\-[A-Z0-9\-]+)?",
+    "ENA_Project": r"PRJ[EDN][A-Z]\d{4,}",
+    "ENA_Study": r"ERP\d{6,}",
+    "ENA_Sample": r"SAM[EDN][A-Z]?\d{5,}",
+    "SRA_Experiment": r"SRX\d{6,}",
+    "SRA_Project": r"SRP\d{6,}",
+    "SRA_Sample": r"SRS\d{6,}",
+    "SRA_Study": r"SRA\d{5,}",
+    "RefSeq_Chromosome": r"NC_\d{6,9}(?:\.\d+)?",
+    "ENA_Run": r"ERR\d{6,}",
+    "ENA_Experiment": r"ERX\d{6,}",
+    "ENA_Sample2": r"ERS\d{6,}",
+    "DDBJ_Run": r"DRR\d{6,}",
+    "DDBJ_Experiment": r"DRX\d{6,}",
+    "ENCODE_Assay": r"ENCSR[0-9A-Z]{6}",
+    "PRIDE": r"PXD\d{6,}",
+    "WIKIDATA": r"(?:Q|P|E|L)\d{1,8}",
+    "OCID": r"\d{12}",
+    "DOID": r"DOID:\d{4,7}",
+    "ChEMBL": r"CHEMBL\d{4,7}",
+    "InterPro": r"IPR\d{6}",
+    "Pfam": r"PF\d{5}(?:\.\d+)?",
+    "UniProt": r"(?:[A-NR-Z][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]{4}[A-Z0-9]{5})",
+    "CATH": r"\d+\.\d+\.\d+\.\d+",
+    "KEGG": r"K\d{5}",
+    "dbSNP": r"rs\d{3,}",
+    "Ensembl": r"ENS[A-Z]{0,5}[GTRP]\d{11}(?:\.\d+)?",
+    "RefSeq_mRNA": r"NM_\d{6,}(?:\.\d+)?",
+    "RefSeq_Protein": r"NP_\d{6,}(?:\.\d+)?",
+    "RefSeq_Genome": r"[A-Z]{2}_\d{6,}(?:\.\d+)?",
+    "GenBank": r"[A-Z]{1,2}\d{5,8}(?:\.\d+)?",
+    "DDBJ": r"D\d{5}(?:-\d+)?(?:\.\d+)?",
+    "GISAID": r"EPI_ISL_\d{6,}",
+    "EMPIAR": r"EMPIAR-\d{5,}",
+    "ExpressionAtlas": r"E\-PROT\-\d+",
+    "BioModels": r"MODEL\d{10,13}",
+    "HPA_Antibody": r"HPA\d{6}",
+    "CAB_Antibody": r"CAB\d{6}",
+    "Cellosaurus": r"CVCL_[A-Z0-9]{4,}",
+}

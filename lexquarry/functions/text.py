@@ -6,8 +6,9 @@ Regular expressions use [\\p{L}\\p{N}_] for word characters where Unicode matter
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -276,3 +277,30 @@ def matched_keywords(text: str | Column, keywords: dict[str, list[str]]) -> Colu
     t = F.lower(_col(text))
     each = F.array(*[F.struct(F.lit(k).alias("category"), F.lit(w).alias("keyword"), F.contains(t, F.lit(w)).alias("there")) for k, ws in keywords.items() for w in ws])
     return F.transform(F.filter(each, lambda x: x["there"]), lambda x: x.dropFields("there"))
+
+
+def entities(text: str | Column, kinds: dict[str, str] = L.ENTITIES) -> Column:
+    """Array of (kind, entity) of all texts of a known form that stand alone, each once, in order of kinds; null for a null text."""
+    def found(kind: str, pattern: str) -> Column:
+        hits = F.regexp_extract_all(_col(text), F.lit(f"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"), F.lit(0))
+        return F.transform(hits, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("entity")))
+
+    return F.array_distinct(F.concat(*[found(k, p) for k, p in kinds.items()]))
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def bpe_tokens(text: str | Column, vocabulary: str) -> Column:
+    """Tokens by a tokenizer's file, whole texts, no special tokens; null for a null text. The file must lie at that path on every executor.
+    Encoding has no form in SQL, so this runs in Arrow batches; approx_tokens stays inside the JVM."""
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        encode = _tokenizer(vocabulary).encode
+        return texts.map(lambda t: None if t is None else len(encode(t, add_special_tokens=False).ids)).astype("Int32")
+
+    return count(_col(text))

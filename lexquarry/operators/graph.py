@@ -55,21 +55,37 @@ def _links(edges: DataFrame) -> DataFrame:
     return both.where("src != dst").groupBy("src", "dst").agg(F.round(F.sum("weight"), 9).alias("weight"), F.count("*").alias("n"))
 
 
-def communities(parts: DataFrame, links: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
-    """id, cluster: local moves of modularity with a resolution, within each part by itself. parts: id, part; links: src, dst, weight, both
-    directions. In a round the half of the vertices that a hash picks moves, each to the cluster with the greatest gain
-    weight to it - resolution * own degree * the cluster's degree / the part's degree; ties go to the smallest. Deterministic.
-    Every round is written, so it costs one join of the links and cuts the lineage. It ends after two rounds without a move."""
+def communities(parts: DataFrame, links: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 5) -> DataFrame:
+    """id, cluster: modularity with a resolution, by local moves and contraction, within each part by itself. parts: id, part; links: src, dst,
+    weight, both directions. Clusters of one level are the vertices of the next, until a level joins none. Deterministic."""
     own = parts.select("id", "part")
     inner = links.join(own.select(F.col("id").alias("src"), "part"), "src").join(own.select(F.col("id").alias("dst"), F.col("part").alias("_q")), "dst")
     inner = written(inner.where("part = _q").select("src", "dst", "weight"), "links")
     degrees = inner.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
-    labels = own.join(degrees, "id", "left").select("id", "part", F.col("id").alias("cluster"), F.coalesce("k", F.lit(0.0)).alias("k"), F.lit(False).alias("moved"))
-    labels, still = written(labels, "labels"), 0
-    totals = written(labels.groupBy("part").agg(F.sum("k").alias("total")), "totals")
+    nodes = written(own.join(degrees, "id", "left").select("id", "part", F.coalesce("k", F.lit(0.0)).alias("k")), "nodes")
+    totals = written(nodes.groupBy("part").agg(F.sum("k").alias("total")), "totals")
+    labels, n = nodes.select("id", F.col("id").alias("cluster")), nodes.count()
+    for _ in range(levels):
+        joined = _moves(nodes, inner, totals, resolution, rounds)
+        labels = written(labels.withColumnRenamed("cluster", "_c").join(joined.withColumnRenamed("id", "_c"), "_c").select("id", "cluster"), "labels")
+        nodes = written(nodes.join(joined, "id").groupBy(F.col("cluster").alias("id"), "part").agg(F.sum("k").alias("k")), "nodes")
+        before, n = n, nodes.count()
+        if n == before:
+            break
+        ends = lambda end: joined.select(F.col("id").alias(end), F.col("cluster").alias(f"_{end}"))  # noqa: B023, E731
+        between = inner.join(ends("src"), "src").join(ends("dst"), "dst").where("_src != _dst")
+        inner = written(between.groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.round(F.sum("weight"), 9).alias("weight")), "links")
+    return named(labels)
+
+
+def _moves(nodes: DataFrame, links: DataFrame, totals: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """id, cluster. nodes: id, part, k (degree). In a round the half of the nodes that a hash picks moves, each to the cluster with the
+    greatest gain weight to it - resolution * own degree * the cluster's degree / the part's degree; ties go to the smallest. Every round is
+    written, so it costs one join of the links and cuts the lineage. It ends after two rounds without a move."""
+    labels, still = nodes.select("id", "part", F.col("id").alias("cluster"), "k"), 0
     for n in range(rounds):
         held = labels.groupBy("cluster").agg(F.sum("k").alias("held"))
-        towards = inner.join(labels.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
+        towards = links.join(labels.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
         choices = towards.unionByName(labels.select("id", "cluster", F.lit(0.0).alias("w"))).groupBy("id", "cluster").agg(F.sum("w").alias("w"))
         scored = choices.join(held, "cluster").join(labels.select("id", "part", "k", F.col("cluster").alias("_own")), "id").join(totals, "part")
         others = F.col("held") - F.when(F.col("cluster") == F.col("_own"), F.col("k")).otherwise(0.0)
@@ -78,11 +94,12 @@ def communities(parts: DataFrame, links: DataFrame, resolution: float = 1.0, rou
         chosen = scored.groupBy("id", "part", "k", "_own").agg(best.alias("best"))
         turn = F.pmod(F.xxhash64("id", F.lit(n // 2)) + n, F.lit(2)) == 0
         cluster = F.when(turn, F.col("best")).otherwise(F.col("_own"))
-        labels = written(chosen.select("id", "part", cluster.alias("cluster"), "k", (cluster != F.col("_own")).alias("moved")), "labels")
-        still = 0 if labels.where("moved").limit(1).count() else still + 1
+        moved = written(chosen.select("id", "part", cluster.alias("cluster"), "k", (cluster != F.col("_own")).alias("moved")), "moves")
+        still = 0 if moved.where("moved").limit(1).count() else still + 1
+        labels = moved.drop("moved")
         if still == 2:
             break
-    return named(labels)
+    return labels.select("id", "cluster")
 
 
 def named(labels: DataFrame) -> DataFrame:

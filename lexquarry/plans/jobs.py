@@ -62,6 +62,54 @@ def feature_clusters(vectors: DataFrame, k: int = 12, threshold: float | None =
     return graph.clusters(t, graph.knn_edges(t, k, threshold))
 
 
+def clustering_pipeline(vectors: DataFrame, k: int = 12, threshold: float | None = None, wanted: int = 48, tolerance: int = 2, folder: str | None = None, **settings) -> dict[str, DataFrame]:
+    """Balanced clusters of embedding dimensions, about as many as wanted: tables clusters (id, cluster), sizes and report, with the
+    resolution. Written as CSV below a folder if one is given."""
+    t = graph.transpose(vectors).withColumnRenamed("dim", "vec_id").withColumnRenamed("values", "embedding")
+    edges = written(graph.knn_edges(t, k, threshold), "edges")
+    resolution, labels = graph.resolution_for(t, edges, wanted, tolerance, **settings)
+    stats = graph.graph_stats(t, edges).crossJoin(F.broadcast(graph.cluster_report(labels)))  # one row each
+    out = {"clusters": labels, "sizes": labels.groupBy("cluster").agg(F.count("*").alias("n")), "report": stats.withColumn("resolution", F.lit(resolution))}
+    for name, df in out.items() if folder else ():
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+    return out
+
+
+def chunk_relevance(chunks: DataFrame, dims: int = 64, vector: str = "embedding") -> DataFrame:
+    """chunks: chunk_id, document_id, token_count, previous_chunk_id, next_chunk_id, citation_entities and a vector -> a training row for each:
+    target 1 and RELEVANT for chunks with a citation and those next to them, and emb_0 .. . Every chunk stays; without a vector emb_ is null."""
+    seeds = chunks.where(F.size("citation_entities") > 0)
+    near = seeds.select(F.explode(F.array("chunk_id", "previous_chunk_id", "next_chunk_id")).alias("_near")).where("_near is not null").distinct()
+    rows = chunks.join(near, F.col("chunk_id") == F.col("_near"), "left").withColumn("target", F.col("_near").isNotNull().cast("int"))
+    kind = F.when(F.col("target") == 1, "RELEVANT").otherwise("NOT RELEVANT").alias("target_str")
+    return rows.select("chunk_id", "document_id", "token_count", "target", kind, *[F.get(F.col(vector), F.lit(i)).alias(f"emb_{i}") for i in range(dims)])
+
+
+def training_features(documents: DataFrame, citations: DataFrame, labels: DataFrame, dims: int = 64, k: int = 3, resolution: float = 1.5, least: int = 6, most: int = 75) -> DataFrame:
+    """From documents (document_id, pages) with citations (document_id, citation) and labels (dataset_id, type) to one training row for each cited
+    dataset of a document: chunks, datasets with masked texts, embeddings, the first component of each cluster of dimensions
+    (LEIDEN_1 ..), two principal components, neighbourhood statistics, text statistics and target. Features that never vary go."""
+    chunks = written(create_chunks(documents, citations), "chunks")
+    cited = chunks.select("document_id", "chunk_id", "ordinal", F.explode("citation_entities").alias("dataset_id"))
+    found = cited.groupBy("dataset_id", "document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
+    datasets = construct_datasets(found, chunks).withColumn("id", F.concat_ws("|", "dataset_id", "document_id"))
+    datasets = written(retrieval.with_vectors(datasets, "id", dims=dims), "datasets")
+    vectors = datasets.select("id", F.col("vector").cast("array<double>").alias("embedding"))
+    t = graph.transpose(vectors, "id").withColumnRenamed("dim", "vec_id").withColumnRenamed("values", "embedding")
+    groups = graph.balanced_clusters(t, graph.knn_edges(t, k), resolution, least, most).orderBy("cluster", "id").collect()  # a row a dimension
+    named: dict[str, list[str]] = {}
+    for r in groups:
+        named.setdefault(f"{r.cluster:06d}", []).append(f"_d{r.id}")
+    wide = models.cluster_components(vectors.select("id", *[F.get("embedding", F.lit(i)).alias(f"_d{i}") for i in range(dims)]), named)
+    wide = written(wide.select("id", *[c for c in wide.columns if c.startswith("LEIDEN_")]), "components")
+    texts = datasets.select("id", "dataset_id", "document_id", "total_tokens", "avg_tokens_per_chunk", "total_char_length", "clean_text_length", F.lit("NONE").alias("dataset_type"))
+    long = features.to_long(wide, ["id"]).union(dataset_features(vectors, k))
+    names = [c for c in wide.columns if c != "id"] + [r.feature_name for r in long.select("feature_name").distinct().orderBy("feature_name").collect() if not r.feature_name.startswith("LEIDEN_")]
+    out = written(features.training_table(import_labels(texts, labels), long, ["id"], names), "training")
+    kept = features.varied(out, names)
+    return out.select("dataset_id", "document_id", "total_tokens", "avg_tokens_per_chunk", "total_char_length", "clean_text_length", *kept, "dataset_type", "target")
+
+
 def extract_citations(documents: DataFrame) -> DataFrame:
     """documents: document_id, text -> document_id, kind, citation: accession numbers that may stay, each once."""
     rows = documents.select("document_id", F.explode(X.accession_list("text")).alias("a")).select("document_id", "a.kind", "a.citation")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..operators import chunking, features, models, quality, retrieval
-from ..session import table
+from ..operators import chunking, features, graph, models, quality, retrieval
+from ..session import table, written
 from . import jobs
 from .corpus import _KNN, CITED, _cited, _docs, _sql_text, _stated
 
@@ -225,3 +225,51 @@ def missing_by_document(spark, d):
     every = _docs(spark, d).select("doc_id", "lang", "source")
     labelled = every.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     return quality.missing_by(quality.missing(every.select("lang", "source"), labelled.select("lang", "source"), ["lang", "source"]), "lang").withColumnRenamed("n", "missing")
+
+
+_ALONE = " UNION ALL ".join(f"SELECT {_sql_text(k)} AS kind, count(*) AS documents FROM {CITED} WHERE regexp_matches(text, {_sql_text(f'(?i)(^|[^A-Za-z0-9_])(?:{p})($|[^A-Za-z0-9_])')})" for k, p in L.ENTITIES.items())
+
+
+@query(f"SELECT * FROM ({_ALONE}) WHERE documents > 0")
+def entity_patterns(spark, d):
+    """Documents that hold an entity, by kind."""
+    hits = _docs(spark, d).select("doc_id", F.explode(X.entities(_cited())).alias("e")).select("doc_id", "e.kind").distinct()
+    return hits.groupBy("kind").agg(F.count("*").alias("documents"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, turn % 7 = 3 AS seed FROM conversations), n AS (SELECT *, coalesce(lag(seed) OVER o, false) OR coalesce(lead(seed) OVER o, false) OR seed AS near FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id || '_' || turn AS chunk_id, conv_id AS document_id, near::INT AS target, CASE WHEN near THEN 'RELEVANT' ELSE 'NOT RELEVANT' END AS target_str, 68 AS columns FROM n""")
+def chunk_relevance(spark, d):
+    """Turns as chunks; those next to one with a citation are relevant too."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text")
+    linked = chunking.link(rows, "conv_id", "turn").withColumnRenamed("conv_id", "document_id").withColumn("token_count", X.approx_tokens("text"))
+    cited = linked.withColumn("citation_entities", F.when(F.col("turn") % 7 == 3, F.array(F.lit("GSE1"))).otherwise(F.array().cast("array<string>")))
+    out = jobs.chunk_relevance(retrieval.with_vectors(cited, "chunk_id"), vector="vector")
+    return out.select("chunk_id", "document_id", "target", "target_str", F.lit(len(out.columns) - 1).alias("columns"))
+
+
+@query("""SELECT quality AS label, count(*) AS n, count(DISTINCT doc_id) AS documents, 5::BIGINT AS folds, true AS even FROM labels GROUP BY quality""")
+def stratified_folds(spark, d):
+    """Labelled documents dealt to five folds: those of each label evenly."""
+    labels = table(spark, d, "labels")
+    dealt = models.folds(labels, "doc_id", 5, label="quality").groupBy(F.col("quality").alias("label"), "fold").agg(F.count("*").alias("c"), F.countDistinct("doc_id").alias("g"))
+    even = F.max("g") - F.min("g") <= 1 + F.sum("g") / 5000
+    return dealt.groupBy("label").agg(F.sum("c").alias("n"), F.sum("g").alias("documents"), F.count("*").alias("folds"), even.alias("even"))
+
+
+@query()
+def balanced_clusters(spark, d):
+    """Vectors by clusters of stated sizes in the graph of their nearest neighbours."""
+    v = table(spark, d, "embeddings")
+    edges = graph.knn_edges(v, 5).withColumn("weight", F.round("weight", 9))
+    return graph.balanced_clusters(v, edges, least=6, most=75)
+
+
+@query()
+def training_features(spark, d):
+    """From all documents, their citations and labels to training rows."""
+    docs = _docs(spark, d).select(F.col("doc_id").alias("document_id"), F.array(_cited()).alias("pages"))
+    citations = _docs(spark, d).where("doc_id % 4 = 0").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("GSE"), F.col("doc_id") * 37).alias("citation"))
+    kind = F.when(F.col("quality") == 1, "Primary").otherwise("Secondary").alias("type")
+    labels = table(spark, d, "labels").select(F.concat(F.lit("GSE"), F.col("doc_id") * 37).alias("dataset_id"), kind)
+    return jobs.training_features(docs, citations, labels)

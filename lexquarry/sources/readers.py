@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -103,13 +104,38 @@ def form_feed_pages(content: bytes) -> list[str]:
     return content.decode("utf-8", "replace").split("\f")
 
 
-def pdf_parser() -> Parser | None:
-    """A PDF parser if one is installed."""
+def pdf_parsers() -> list[Parser]:
+    """The PDF parsers that are installed, in the order in which to try them; pages() tries the next where one fails or finds no text."""
+    out: list[Parser] = []
     try:
         import fitz
+
+        out.append(lambda content: [p.get_text() for p in fitz.open(stream=content, filetype="pdf")])
     except ImportError:
-        return None
-    return lambda content: [p.get_text() for p in fitz.open(stream=content, filetype="pdf")]
+        pass
+    try:
+        from pdfminer.high_level import extract_text
+
+        out.append(lambda content: form_feed_pages(extract_text(io.BytesIO(content)).removesuffix("\f").encode()))
+    except ImportError:
+        pass
+    return out
+
+
+def with_recognition(parser: Parser, render: Callable[[bytes, int], bytes], readers: list[Callable[[bytes], str]]) -> Parser:
+    """A parser that reads blank pages from their pictures: render(content, page from 0) draws one, and the readers are tried in order until one
+    finds text. A reader that fails counts as one that finds none. Pages that stay blank are kept, so numbers stay right."""
+    def read(content: bytes, page: int) -> str:
+        picture = render(content, page)
+        for reader in readers:
+            try:
+                if (found := reader(picture)) and found.strip():
+                    return found
+            except Exception:  # the next reader may do better
+                continue
+        return ""
+
+    return lambda content: [p if p.strip() else read(content, n) for n, p in enumerate(parser(content))]
 
 
 def element_pages(elements: DataFrame) -> DataFrame:
@@ -222,7 +248,6 @@ def registry(spark: SparkSession, path: str) -> dict[str, str]:
 
 def docx_pages(content: bytes) -> list[str]:
     """Paragraphs of a word-processor file, as one page."""
-    import io
     import zipfile
 
     root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
@@ -232,7 +257,6 @@ def docx_pages(content: bytes) -> list[str]:
 
 def xlsx_pages(content: bytes) -> list[str]:
     """Sheets of a spreadsheet, a page each: cells parted by tabs, rows by line ends."""
-    import io
     import re
     import zipfile
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexquarry import schemas
-from lexquarry.operators import features, models, retrieval
+from lexquarry.operators import features, graph, models, retrieval
 from lexquarry.plans import jobs
 from lexquarry.sources import readers
 
@@ -82,3 +82,52 @@ def test_step_order():
     assert retrieval.step_order({"b": [], "a": ["b"], "c": ["b"], "d": ["a", "c"]}) == ["b", "a", "c", "d"]
     with pytest.raises(ValueError):
         retrieval.step_order({"a": ["b"], "b": ["a"]})
+
+
+def test_balanced_clusters(spark):
+    """Four cliques of eight in a ring, and a vertex without links."""
+    pairs = [(c * 8 + i, c * 8 + j, 1.0) for c in range(4) for i in range(8) for j in range(i)] + [(c * 8, (c + 1) % 4 * 8 + 1, 1.0) for c in range(4)]
+    edges, vertices = spark.createDataFrame(pairs, "src long, dst long, weight double"), spark.range(33).withColumnRenamed("id", "vec_id")
+    got = {r.id: r.cluster for r in graph.balanced_clusters(vertices, edges, 1.0, least=3, most=10, rounds=8).collect()}
+    assert got == {i: i // 8 * 8 for i in range(33)}
+    parted = spark.createDataFrame([(i, 0) for i in range(32)], "id long, part int")
+    whole = graph.communities(parted, graph._links(edges), 0.01, 8)
+    assert whole.select("cluster").distinct().count() < 4
+    small = graph._merged(spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 3)], "id long, cluster long"),
+                          spark.createDataFrame([(0, 2), (2, 1), (3, 1)], "cluster long, size long"),
+                          graph._links(spark.createDataFrame([(2, 0, 1.0), (2, 1, 1.0), (2, 3, 5.0)], "src long, dst long, weight double")), 2)
+    assert {r.id: r.cluster for r in small.collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    none = graph.balanced_clusters(vertices, edges.where("false"))
+    assert none.where("id = cluster").count() == 33
+
+
+def test_stratified_folds(spark):
+    rows = spark.range(60).select(F.col("id").alias("g"), (F.col("id") < 13).cast("int").alias("y")).union(spark.range(1).select(F.lit(None).cast("long"), F.lit(0)))
+    got = models.folds(rows, "g", 5, label="y").collect()
+    assert len(got) == 61
+    counts = {}
+    for r in got:
+        counts.setdefault(r.y, [0] * 5)[r.fold] += 1
+    assert all(max(c) - min(c) <= 1 for c in counts.values())
+
+
+def test_training_rows(spark):
+    docs = spark.createDataFrame([(f"d{i}", [f"see GSE{100 + i} " + " ".join(f"w{(i * j) % 11}" for j in range(30))]) for i in range(12)], "document_id string, pages array<string>")
+    cited = spark.createDataFrame([(f"d{i}", f"GSE{100 + i}") for i in range(12)], "document_id string, citation string")
+    labels = spark.createDataFrame([(f"GSE{100 + i}", "Primary") for i in range(5)], "dataset_id string, type string")
+    got = jobs.training_features(docs, cited, labels, dims=8, k=2, least=2, most=4)
+    rows = got.collect()
+    assert len(rows) == 12 and sum(r.target for r in rows) == 5
+    assert any(c.startswith("LEIDEN_") for c in got.columns) and "PCA_1" in got.columns
+    chunk = "chunk_id string, document_id string, token_count int, previous_chunk_id string, next_chunk_id string, citation_entities array<string>, embedding array<double>"
+    chunks = spark.createDataFrame([("a", "d", 1, None, "b", [], [1.0, 2.0]), ("b", "d", 1, "a", "c", ["GSE1"], [0.0, 1.0]), ("c", "d", 1, "b", "e", [], None), ("e", "d", 1, "c", None, None, [])], chunk)
+    got = {r.chunk_id: (r.target, r.emb_1) for r in jobs.chunk_relevance(chunks, 2).collect()}
+    assert got == {"a": (1, 2.0), "b": (1, 1.0), "c": (1, None), "e": (0, None)}
+
+
+def test_blank_pages_are_recognised():
+    def broken(picture):
+        raise OSError
+
+    parser = readers.with_recognition(readers.form_feed_pages, lambda content, n: f"page {n}".encode(), [broken, lambda p: " ", lambda p: p.decode() if p != b"page 3" else ""])
+    assert parser(b"one\f \fthree\f") == ["one", "page 1", "three", ""]

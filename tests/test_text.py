@@ -1,5 +1,6 @@
 """Text functions against plain re-statements of their rules."""
 
+import os
 import re
 
 import pytest
@@ -81,3 +82,16 @@ def test_tokens(spark):
     t = "Äb_1 c-d  E"
     assert one(spark, X.word_tokens("t"), t=t) == re.findall(r"[A-Za-z0-9_]+", t.lower())
     assert one(spark, X.approx_tokens("t"), t="") == 1 and one(spark, X.approx_tokens("t"), t="12345") == 2
+
+
+def test_entities_and_tokens(spark):
+    rows = spark.createDataFrame([("GSE123456; xGSE1234, gse999 and A12345 (phs000001.v1.p2) EPI_ISL_402124.",), ("",), (None,)], "t string")
+    got = [None if r.e is None else {tuple(x) for x in r.e} for r in rows.select(X.entities("t").alias("e")).collect()]
+    assert {("GEO_Series", "GSE123456"), ("GEO_Series", "gse999"), ("UniProt", "A12345"), ("GISAID", "EPI_ISL_402124")} <= got[0]
+    assert not any("1234" == e[-4:] and e.startswith("GSE1234") for _, e in got[0] if len(e) == 7) and got[1:] == [set(), None]
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    if os.path.exists(path):
+        from tokenizers import Tokenizer
+
+        n = len(Tokenizer.from_file(path).encode(rows.first().t, add_special_tokens=False).ids)
+        assert [r.n for r in rows.select(X.bpe_tokens("t", path).alias("n")).collect()] == [n, 0, None]
