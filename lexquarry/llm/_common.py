@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,20 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Batches for Python workers hold `size` bytes at most (or one row), where the session doesn't say otherwise. By rows alone a batch
+    of 10,000 long texts has no bound, and it lies in the JVM's direct memory and in the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(size))
+
+
 def frugal(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """f for mapInPandas; at a task's end its worker, which Spark keeps for others, gives freed memory back to the system."""
+    """f for mapInPandas; at a task's end its worker, which Spark keeps for others, gives freed memory back to the system: that of
+    Arrow's pool and that of the C library."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from f(batches)
+        pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
 

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes, _suffixes
-from ._common import broadcast_if_small, frugal, materialize, table, text_or_empty
+from ._common import broadcast_if_small, frugal, materialize, small_batches, table, text_or_empty
 from ._groups import map_groups
 
 WINDOW, GRAM = 100, 32
 #: Bytes of texts that are cut into runs at once, and differing segments of an anchor that a shard takes.
-CHUNK, CAP = 2_000_000, 2048
+CHUNK, CAP = 1_000_000, 2048
 #: Window starts of a very long text that are handled at once.
-PIECE = 1 << 23
+PIECE = 1 << 21
 #: Packed runs: anchor (48 bits in two parts), segment, document (id, hash), start, windows (+128: settled already).
 RUN = [("a0", "<u4"), ("a1", "<u2"), ("seg", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("start", "<u4"), ("n", "u1")]
 
@@ -284,6 +284,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, text) of all documents with an id, and (_d, _t, spans) of those that lose something."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs)
     met = materialize(map_groups(_packed(texts, buckets), ["bucket"], _settle, "kind int, anchor long, doc_id long, th long, span long"), "runs")
