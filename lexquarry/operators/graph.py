@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -16,6 +21,29 @@ def transpose(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
     return rows.groupBy("dim").agg(F.transform(ordered, lambda x: x["value"].cast("double")).alias("values"))
 
 
+def nearest_dimensions(vectors: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
+    """id, neighbour, similarity, rank: the k dimensions nearest to each by cosine over all rows. Only sums of products, dimensions squared
+    of them for each partition, leave a task. Components that are null or not finite count as 0; null vectors are left out; dimensions that
+    are all 0 have no neighbours; ties go to the lesser dimension; an empty table gives no rows; vectors are of one length."""
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                x = np.nan_to_num(np.array(batch["v"].tolist(), "f8"), posinf=0, neginf=0)
+                total = x.T @ x + (0 if total is None else total)
+        if total is not None:
+            i, j = np.indices(total.shape, "i4")
+            yield pd.DataFrame({"id": i.ravel(), "neighbour": j.ravel(), "s": total.ravel()})
+
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    gram = rows.mapInPandas(sums, "id int, neighbour int, s double").groupBy("id", "neighbour").agg(F.sum("s").alias("s"))
+    square = F.when(F.col("id") == F.col("neighbour"), F.col("s"))
+    norms = [F.sqrt(F.max(square).over(W.partitionBy(c))) for c in ("neighbour", "id")]
+    cosine = gram.select("id", "neighbour", (F.col("s") / F.nullif(norms[0] * norms[1], F.lit(0.0))).alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
+    return cosine.where("id != neighbour and similarity is not null").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def knn_edges(vectors: DataFrame, k: int, threshold: float | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """src, dst, weight: links to the k nearest others of at least the threshold, both directions kept."""
     near = retrieval.knn(vectors, k, id_col=id_col, vector=vector)

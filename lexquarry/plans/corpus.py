@@ -223,23 +223,48 @@ def xml_format(spark, d):
     return table(spark, d, "pages").select("page_id", X.xml_format(F.concat(head, F.regexp_replace("html", "<!DOCTYPE html>", ""))).alias("format"))
 
 
-@query()
+_PROSE = r"trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[^\x21-\x25\x27-\x3B\x3D-\x7E]+', ' ', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PROSE} AS body FROM pages)
+SELECT page_id, 0::INT AS ordinal, 1::INT AS level, 'abstract' AS kind, '' AS title, body AS text FROM p
+UNION ALL SELECT page_id, 1, 1, 'methods', 'Methods', url FROM (SELECT page_id, regexp_replace(url, '[&<]', ' ', 'g') AS url FROM pages)
+UNION ALL SELECT page_id, 2, 2, 'Inner', 'Inner', body FROM p""")
 def xml_sections(spark, d):
-    xml = F.concat(F.lit("<article><abstract><p>A</p></abstract><sec sec-type='methods'><title>Methods</title><p>"), F.regexp_replace("url", "[&<]", " "), F.lit("</p><sec><title>Inner</title><p>x</p></sec></sec></article>"))
+    """Articles whose abstract and nested section hold the words of the whole page."""
+    body = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[^\x21-\x25\x27-\x3B\x3D-\x7E]+", " ")
+    url = F.regexp_replace("url", "[&<]", " ")
+    parts = ["<article><abstract><p>", body, "</p></abstract><sec sec-type='methods'><title>Methods</title><p>", url, "</p><sec><title>Inner</title><p>", body, "</p></sec></sec></article>"]
+    xml = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     rows = table(spark, d, "pages").select("page_id", F.explode(readers.xml_sections(xml)).alias("s"))
     return rows.select("page_id", "s.*")
 
 
-@query("SELECT page_id, page FROM (SELECT page_id, unnest([1, 2, 3, 4, 5, 6]) AS page FROM pages) WHERE page >= 4")
+#: Whole texts as pages of 300 characters, and what makes a page a candidate.
+_PAGES = "SELECT doc_id, list_transform(range(1, length(coalesce(text, '')) + 1, 300), lambda s: substr(text, s, 300)) AS pages FROM documents"
+_CANDIDATE = "(?i)data|table"
+
+
+def _paged(spark: SparkSession, d: str) -> DataFrame:
+    n = F.length("text")
+    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(300))).otherwise(F.array().cast("array<int>"))
+    return _docs(spark, d).select("doc_id", F.transform(starts, lambda s: F.substr(F.col("text"), s, F.lit(300))).alias("pages"))
+
+
+@query(f"""WITH p AS ({_PAGES}), e AS (SELECT doc_id, len(pages) AS n, unnest(pages) AS page_text, unnest(range(0, len(pages))) AS i FROM p)
+SELECT doc_id, (i + 1)::INT AS page FROM e WHERE trim(page_text) <> '' AND (i >= floor(n * 0.65::DOUBLE) OR regexp_matches(page_text, '{_CANDIDATE}'))""")
 def candidate_pages(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.array(*[F.lit(f"text {i}") for i in "abcdef"]).alias("pages"))
-    return readers.candidate_pages(rows, "page_id", "pages", "no such word")
+    return readers.candidate_pages(_paged(spark, d), "doc_id", "pages", _CANDIDATE)
 
 
-@query("SELECT page_id, 'a,B,c' AS spliced FROM pages")
+@query(f"""WITH p AS ({_PAGES}), e AS (SELECT doc_id, unnest(pages) AS page_text, unnest(range(1, len(pages) + 1)) AS i, len(pages) AS n FROM p)
+SELECT doc_id, md5(string_agg(CASE WHEN regexp_matches(page_text, '{_CANDIDATE}') THEN page_text || '*' ELSE page_text END, '|' ORDER BY i)) AS spliced FROM e WHERE i < n GROUP BY doc_id""")
 def page_splice(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.array(*map(F.lit, "abc")).alias("x"), F.array(*map(F.lit, "ABCD")).alias("y"), F.array(F.lit(2)).alias("c"))
-    return rows.select("page_id", F.array_join(readers.splice_pages("x", "y", "c"), ",").alias("spliced"))
+    """The second reading marks its pages and lacks the last one."""
+    marked = F.transform("pages", lambda x: F.concat(x, F.lit("*")))
+    chosen = F.filter(F.transform("pages", lambda x, i: F.when(x.rlike(_CANDIDATE), i + 1)), lambda i: i.isNotNull())
+    rows = _paged(spark, d).where(F.size("pages") > 1).select("doc_id", "pages", F.slice(marked, F.lit(1), F.size("pages") - 1).alias("other"), chosen.alias("candidates"))
+    return rows.select("doc_id", F.md5(F.array_join(readers.splice_pages("pages", "other", "candidates"), "|").cast("binary")).alias("spliced"))
 
 
 # --- chunks ------------------------------------------------------------------------------------------------
@@ -280,7 +305,14 @@ def char_chunks(spark, d):
     return chunking.characters(_docs(spark, d), 500, 50).select("doc_id", "ordinal", F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"))
 
 
-@query()
+@query(rf"""WITH {_CHUNKS}, cw AS (SELECT doc_id, ordinal AS o, token_count > 400 AS big, chunk_text, regexp_extract_all(chunk_text, '\S+') AS words FROM ck),
+again AS (SELECT doc_id, o, words, len(words) AS n, unnest(range(0, len(words), 80)) AS s FROM cw WHERE big),
+pieces AS (SELECT doc_id, o, s, s = 0 OR least(100, n - s) >= 40 AS kept, array_to_string(words[s + 1 : s + 100], ' ') AS part FROM again),
+owned AS (SELECT *, max(CASE WHEN kept THEN s END) OVER (PARTITION BY doc_id, o ORDER BY s) AS own FROM pieces),
+every AS (SELECT doc_id, o, own, string_agg(part, ' ' ORDER BY s) AS t FROM owned GROUP BY doc_id, o, own
+  UNION ALL SELECT doc_id, o, 0, chunk_text FROM cw WHERE NOT big),
+numbered AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o, own) - 1)::INT AS ordinal, t FROM every)
+SELECT doc_id, ordinal, doc_id || '_' || ordinal AS chunk_id, greatest(1, floor((octet_length(encode(t)) + 3) / 4))::INT AS token_count FROM numbered""")
 def oversize_resplit(spark, d):
     return chunking.resplit(chunking.chunk(_docs(spark, d)), 400, 100, 20).select("doc_id", "ordinal", "chunk_id", "token_count")
 
@@ -462,23 +494,44 @@ def _ranked_chunks(spark: SparkSession, d: str) -> DataFrame:
     return linked.withColumn("rank", F.row_number().over(W.partitionBy("document_id").orderBy(F.md5(F.col("chunk_id").cast("binary")), "chunk_id")))
 
 
-@query()
+_RANKED = f"""{_CHUNKS}, ranked AS (SELECT doc_id AS document_id, chunk_id, token_count, lag(chunk_id) OVER o AS before, lead(chunk_id) OVER o AS after,
+  row_number() OVER (PARTITION BY doc_id ORDER BY md5(chunk_id), chunk_id)::INT AS rank FROM ck WINDOW o AS (PARTITION BY doc_id ORDER BY ordinal))"""
+
+
+@query(f"""WITH RECURSIVE {_RANKED}, walk AS (
+  SELECT document_id, chunk_id, rank, true AS kept, [before, after] AS banned FROM ranked WHERE rank = 1
+  UNION ALL SELECT r.document_id, r.chunk_id, r.rank, NOT list_contains(w.banned, r.chunk_id),
+    CASE WHEN list_contains(w.banned, r.chunk_id) THEN w.banned ELSE list_concat(w.banned, [r.before, r.after]) END
+  FROM walk w JOIN ranked r ON r.document_id = w.document_id AND r.rank = w.rank + 1)
+SELECT document_id, chunk_id, rank FROM walk WHERE kept""")
 def neighbour_collapse(spark, d):
     return retrieval.collapse_neighbours(_ranked_chunks(spark, d).select("document_id", "chunk_id", "rank", "previous_chunk_id", "next_chunk_id")).select("document_id", "chunk_id", "rank")
 
 
-@query()
+@query(f"""WITH {_RANKED},
+listed AS (SELECT document_id, rank, unnest([chunk_id, before, after]) AS c, unnest([0, 1, 2]) AS pos FROM ranked),
+met AS (SELECT document_id, c, min(rank * 3 + pos) AS seen FROM listed WHERE c IS NOT NULL GROUP BY ALL),
+taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seen) AS nth FROM met) WHERE nth <= 15),
+used AS (SELECT r.document_id, r.rank, r.chunk_id FROM ranked r WHERE (SELECT count(*) FROM met m WHERE m.document_id = r.document_id AND m.seen < r.rank * 3) < 15),
+leaving AS (SELECT document_id, c, min(turn) AS turn FROM (
+  SELECT document_id, c, (seen % 3) - (seen // 3) * 10 AS turn FROM taken WHERE seen % 3 > 0
+  UNION ALL SELECT document_id, chunk_id, 3 - rank * 10 FROM used) GROUP BY ALL),
+sized AS (SELECT t.document_id, t.c, t.nth, k.token_count, l.turn FROM taken t JOIN leaving l USING (document_id, c) JOIN ck k ON k.chunk_id = t.c),
+summed AS (SELECT *, sum(token_count) OVER (PARTITION BY document_id ORDER BY turn DESC) AS rest FROM sized)
+SELECT document_id, c AS chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY nth)::INT AS position FROM summed WHERE rest <= 1000""")
 def token_budget(spark, d):
     return retrieval.expand_and_prune(_ranked_chunks(spark, d).select("document_id", "chunk_id", "rank", "previous_chunk_id", "next_chunk_id", "token_count"))
 
 
-@query()
+#: The triplets of a whole document overlap in two ids each, so they are one group.
+@query(f"""WITH {_CHUNKS} SELECT doc_id AS document_id, 0::INT AS "group", list(chunk_id ORDER BY chunk_id) AS chunk_ids, list(chunk_id ORDER BY ordinal) AS anchors FROM ck GROUP BY doc_id""")
 def merge_triples(spark, d):
     chunks = chunking.chunk(_docs(spark, d)).select(F.col("doc_id").alias("document_id"), "ordinal", "chunk_id")
     return retrieval.merge_triplets(retrieval.triplets(chunks))
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, s AS (SELECT doc_id, chunk_id, sum(token_count) OVER (PARTITION BY doc_id ORDER BY chunk_id) AS n FROM ck)
+SELECT doc_id AS document_id, 0::INT AS "group", coalesce(list(chunk_id ORDER BY chunk_id) FILTER (WHERE n <= 1000), []) AS chunk_ids FROM s GROUP BY doc_id""")
 def group_budget(spark, d):
     chunks = chunking.chunk(_docs(spark, d)).withColumnRenamed("doc_id", "document_id")
     tokens = chunks.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", "token_count"))).alias("tokens"))
@@ -536,11 +589,15 @@ def graph_clusters(spark, d):
     return graph.cluster_report(graph.clusters(v, graph.knn_edges(v, 5).withColumn("weight", F.round("weight", 9)), rounds=4))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding)))::INT AS dim FROM embeddings),
+g AS (SELECT a.dim AS id, b.dim AS neighbour, sum(a.x * b.x) AS s FROM e a JOIN e b USING (vec_id) GROUP BY ALL),
+n AS (SELECT id, sqrt(s) AS norm FROM g WHERE id = neighbour),
+c AS (SELECT g.id, g.neighbour, g.s / (a.norm * b.norm) AS similarity FROM g JOIN n a ON a.id = g.id JOIN n b ON b.id = g.neighbour WHERE g.id <> g.neighbour)
+SELECT id, neighbour, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS r FROM c) WHERE r <= 4""")
 def dimension_clusters(spark, d):
     """The graph among vector dimensions: each dimension's nearest by cosine over all rows."""
-    t = graph.transpose(table(spark, d, "embeddings"))
-    return retrieval.knn(t, 4, id_col="dim", vector="values", blocks=1).select("id", "neighbour", F.round("similarity", 6).alias("similarity"))
+    out = graph.nearest_dimensions(table(spark, d, "embeddings"), 4)
+    return out.select("id", "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
 @query()

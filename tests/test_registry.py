@@ -16,7 +16,7 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["chunk_stats", "bm25_topk", "knn_graph", "audit_summary", "upsert_keep_created", "das_features", "dataset_aggregate"])
+@pytest.mark.parametrize("name", ["chunk_stats", "bm25_topk", "knn_graph", "audit_summary", "upsert_keep_created", "das_features", "dataset_aggregate", "xml_sections", "candidate_pages", "page_splice", "token_budget"])
 def test_against_duckdb(spark, name):
     import duckdb
 

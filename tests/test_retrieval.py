@@ -167,3 +167,18 @@ def test_components_of_dimensions_and_shuffles(spark):
     assert sorted(r.k for r in mixed) == list(range(200)) and sorted(r.v for r in mixed) == [i * 10 for i in range(200)]
     assert sum(r.v == r.k * 10 for r in mixed) < 20
     assert models.projection(df, 2).columns[-2:] == ["PCA_1", "PCA_2"]
+
+
+def test_nearest_dimensions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 6)).round(3)
+    x[:, 5] = 0
+    rows = [(i, [float(v) for v in r], "c") for i, r in enumerate(x)] + [(None, None, None), (99, [None] * 6, "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, neighbour string")
+    got = {(r["id"], r["neighbour"]): r["similarity"] for r in graph.nearest_dimensions(df, 2).collect()}
+    unit = x[:, :5] / np.linalg.norm(x[:, :5], axis=0)
+    cosine = unit.T @ unit - 2 * np.eye(5)
+    expected = {(i, j): cosine[i, j] for i in range(5) for j in np.argsort(-cosine[i])[:2].tolist()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    assert graph.nearest_dimensions(df.where("vec_id < 0"), 2).count() == 0
