@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexquarry.operators import chunking, features, graph, retrieval
+from lexquarry.operators import chunking, features, graph, models, retrieval
 
 
 def test_knn_blocks_agree_with_brute_force(spark):
@@ -182,3 +182,14 @@ def test_nearest_dimensions(spark):
     assert got.keys() == expected.keys()
     assert all(abs(got[k] - expected[k]) < 1e-9 for k in got)
     assert graph.nearest_dimensions(df.where("vec_id < 0"), 2).count() == 0
+
+
+def test_pca_agrees_with_singular_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 4)) * [5, 3, 2, 1]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["PCA_1"], r["PCA_2"]) for r in models.pca(df, 2).collect()}
+    centred = x - x.mean(0)
+    axes = np.linalg.svd(centred)[2][:2]
+    axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(1)])[:, None]
+    assert np.allclose([got[i] for i in range(40)], centred @ axes.T, atol=1e-6)
