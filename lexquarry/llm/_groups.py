@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,6 +53,11 @@ def map_groups(df: DataFrame, key: list[str], f: Callable[[pd.DataFrame, np.ndar
     return df.repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(frugal(run), schema)
 
 
+def number_of(ids: np.ndarray) -> int:
+    """A 64-bit number that groups of the same ids (ascending) share."""
+    return int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
 class Union:
     """Union-find over 0..n-1; the root of a set is its least member."""
 

@@ -7,19 +7,19 @@
 3. A region of at most CAP rows is compared whole. A denser one is walked in sorted order, in runs of at most CAP rows that are cut
    where neighbours share the shortest prefix: each row meets its neighbours of longest common prefix, at a depth that
    the region's density sets. Their links are confirmed, and linked rows contracted.
-4. What is still apart in a dense region is compared with everything else in it that it is not linked with yet, in blocks: rows of
-   the region's largest component are dealt once for each block of the rows that are not in it. So no link of
-   a region is lost, and a region of copies of one page costs linear work. Only a dense region whose rows stay apart (unrelated rows
-   of one template) is compared each with each: n * n / CAP copies of signatures.
-5. Comparing means that the signatures' agreement picks groups of sets that may be similar enough (four standard deviations
-   below the threshold still count); groups that several orders found are kept once.
+4. What is still apart in dense regions of several components is joined by its rarest shingles (`_prefixes`): sets meet only at a first common
+   shingle that leaves enough of either for a link. So no link of a region is lost, and copies of one page, linked or not, and
+   unrelated rows of one template cost linear work. Only sets that share so rare a shingle and yet stay apart are compared each with
+   each: n * n / CAP copies of their places.
+5. In step 3 the signatures' agreement picks groups of sets that may be similar enough (four standard deviations
+   below the threshold still count); groups that several orders found are kept once. Step 4 is exact.
 6. Only sets in groups are made again from whole texts, each group in a task; a group of more than BYTES of sets comes as
    pairs of blocks. Exact intersections of all its pairs come from matrix products, a group returns a spanning forest of its links, so
    the number of links returned is linear.
 7. Components of these links are found in DataFrames.
 
 Two sets of similarity 0.85 share no region with probability (1 - 0.85**3)**16 = 2e-7, at 0.8 with 1e-5,
-however dense their regions are. Step 5 misses 7e-5 of the pairs at exactly 0.85 (binomial tail of 160 values at four
+however dense their regions are. In regions of at most CAP rows step 5 misses 7e-5 of the pairs at exactly 0.85 (binomial tail of 160 values at four
 deviations), 1e-5 at 0.86, 2e-6 at 0.87; at 0.8 with a threshold of 0.8 6e-5.
 
 Defined results: null text and text without words have an empty set and are linked with nothing; rows with null doc_id are linked with nothing
@@ -32,18 +32,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shingles
+from . import _prefixes, _shingles
 from ._common import broadcast_if_small, frugal, materialize, table
 from ._components import components
-from ._groups import Union, map_groups
-from ._regions import apart, members
+from ._groups import Union, map_groups, number_of
+from ._regions import members
 
 WIDTH = 5
 #: Links have similarity >= PERCENT / 100.
@@ -98,10 +96,9 @@ def _signed(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(narrow.hint("merge"), F.col("vertex") == F.col("_v")).select(*rows.columns, "low", path)
 
 
-def _alike(low: np.ndarray, least: float, numbers: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Groups (two rows or more) that are connected by signatures which agree in a share of `least` or more; with
-    `numbers` (one for each row) only rows of different numbers are compared. A row that was reached is compared
-    with those that were not reached yet, so a group of n copies takes n steps."""
+def _alike(low: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Groups (two rows or more) that are connected by signatures which agree in a share of `least` or more. A row that was
+    reached is compared with those that were not reached yet, so a group of n copies takes n steps."""
     need = least * low.shape[1]
     left = np.arange(len(low))
     while len(left) > 1:
@@ -109,8 +106,6 @@ def _alike(low: np.ndarray, least: float, numbers: np.ndarray | None = None) ->
         while queue and len(left):
             i = queue.pop()
             near = (low[left] == low[i]).sum(1) >= need
-            if numbers is not None:
-                near &= numbers[left] != numbers[i]
             if near.any():
                 found = left[near].tolist()
                 group += found
@@ -120,16 +115,15 @@ def _alike(low: np.ndarray, least: float, numbers: np.ndarray | None = None) ->
             yield np.array(group)
 
 
-def _cells(vertex: np.ndarray, lows: np.ndarray, at: np.ndarray, least: float, numbers: np.ndarray | None = None) -> pd.DataFrame:
+def _cells(vertex: np.ndarray, lows: np.ndarray, at: np.ndarray, least: float) -> pd.DataFrame:
     """(cell, vertex) of the groups that are found between the bounds `at`."""
     cells, members = [], []
     for a, b in zip(at, at[1:]):
         low = np.frombuffer(b"".join(lows[a:b]), "u1").reshape(b - a, -1)
-        for group in _alike(low, least, None if numbers is None else numbers[a:b]):
+        for group in _alike(low, least):
             own = np.unique(vertex[a:b][group])
             if len(own) > 1:
-                name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
-                cells += [name] * len(own)
+                cells += [number_of(own)] * len(own)
                 members.append(own)
     return pd.DataFrame({"cell": np.array(cells, "i8"), "vertex": np.concatenate(members) if members else np.zeros(0, "i8")})
 
@@ -188,16 +182,17 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def apart_candidates(rows: DataFrame, sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+def apart_candidates(docs: DataFrame, rows: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """(cell, vertex) for the rest of the dense regions: groups of rows that may be linked and are not in one component
-    (id, component) yet. Rows outside of a region's largest component meet each other and those in it."""
-    least = _least_agreement(percent)
-    cells = apart(rows.where(F.col("n") > CAP), linked, CAP)
-
-    def find(frame: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
-        return _cells(frame["vertex"].to_numpy("i8"), frame["low"].to_numpy(), at, least, frame["component"].to_numpy("i8"))
-
-    return map_groups(_signed(cells, sets).drop("path"), ["region", "block"], find, "cell long, vertex long").distinct()
+    (id, component) yet. Rows of regions of several components are joined by their rarest shingles."""
+    known = rows.where(F.col("n") > CAP).join(linked.hint("merge"), F.col("vertex") == F.col("id"), "left")
+    known = materialize(known.select("region", "vertex", F.coalesce("component", "vertex").alias("component")), "contracted")
+    open_ = known.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("region")
+    left = materialize(known.join(open_.hint("merge"), "region").groupBy("vertex").agg(F.min("component").alias("component")), "apart")
+    sample = F.broadcast(left.select("vertex").orderBy(F.xxhash64("vertex"), "vertex").limit(_prefixes.SAMPLE))
+    counts = _prefixes.order_of(_texts(docs, sample), WIDTH)
+    places = _prefixes.prefixes(_texts(docs, broadcast_if_small(left)), WIDTH, percent, counts)
+    return _prefixes.meetings(materialize(places, "prefixes"), percent, CAP)
 
 
 def _links(sets: list[np.ndarray], percent: int, own: np.ndarray, width: int = 4096) -> Iterator[tuple[int, int]]:
@@ -231,6 +226,12 @@ def _links(sets: list[np.ndarray], percent: int, own: np.ndarray, width: int = 4
     yield from zip(i.tolist(), j.tolist())
 
 
+def _texts(docs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """vertices (vertex, ...) with their texts."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return narrow.join(vertices, F.col("doc_id") == F.col("vertex")).select("text", *vertices.columns)
+
+
 def links(docs: DataFrame, cells: DataFrame, sets: DataFrame, percent: int, few: bool = False) -> DataFrame:
     """Confirmed links (a, b) between vertices: for each cell a spanning forest of its links. Texts are shuffled to the
     cells' vertices; where `few` of them are expected the vertices are broadcast behind a count."""
@@ -242,9 +243,7 @@ def links(docs: DataFrame, cells: DataFrame, sets: DataFrame, percent: int, few:
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     dealt = dealt.select("vertex", "cell", "own", F.explode(pair).alias("pair")).select("vertex", F.struct("cell", "own", "pair").alias("cell"))
     wanted = dealt.groupBy("vertex").agg(F.collect_list("cell").alias("cells"))  # a few: at most one a region and block
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    side = broadcast_if_small(materialize(wanted, "wanted")) if few else wanted.hint("merge")
-    texts = narrow.join(side, F.col("doc_id") == F.col("vertex")).select("vertex", "text", "cells")
+    texts = _texts(docs, broadcast_if_small(materialize(wanted, "wanted")) if few else wanted.hint("merge"))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -277,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = materialize(links(docs, materialize(candidates(met, vertices, percent), "cells"), vertices, percent), "links")
     of_vertex = components(near, "a", "b")
     if met.where(F.col("n") > CAP).limit(1).count():
-        rest = materialize(apart_candidates(met, vertices, of_vertex, percent), "cells")
+        rest = materialize(apart_candidates(docs, met, of_vertex, percent), "cells")
         if rest.limit(1).count():
             of_vertex = components(near.union(links(docs, rest, vertices, percent, few=True)), "a", "b")
     label = vertices.select(*keys, "vertex").join(of_vertex.hint("merge"), F.col("vertex") == F.col("id"), "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexquarry.llm import _components, _suffixes, embeddings, minhash, suffix_dedup
+from lexquarry.llm import _components, _prefixes, _suffixes, embeddings, minhash, suffix_dedup
 
 
 def reach(ids, links):
@@ -161,6 +161,58 @@ def test_minhash_keeps_the_links_of_a_dense_region(spark, monkeypatch):
     assert {r.component_id for r in out} == {0}
 
 
+def copies_that_stay_apart(n):
+    """Copies of one page, each similar to the page and to the others, but not enough for a link."""
+    rng = random.Random(12)
+    page = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        copy = list(page)
+        for k in range(6):
+            copy[rng.randrange(3 + 32 * k, 30 + 32 * k)] = f"new{i}-{k}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_rows_dealt_for_copies_that_stay_apart_grow_with_the_region(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CAP", 8)
+    dealt = []
+
+    def counted(df, key, f, schema):
+        if len(key) > 1 and "cell" not in key:  # neither the small regions nor the confirmation
+            dealt[-1] += df.count()
+        return map_groups(df, key, f, schema)
+
+    map_groups = minhash.map_groups
+    for module in (minhash, _prefixes):
+        monkeypatch.setattr(module, "map_groups", counted)
+    for n in (60, 240):
+        dealt.append(0)
+        out = minhash.near_duplicates(spark.createDataFrame(copies_that_stay_apart(n), "doc_id long, text string"), 85)
+        assert {r.doc_id for r in out.collect() if r.kept} == set(range(n))
+    assert dealt[1] <= 6 * max(dealt[0], 60)
+
+
+def test_sets_that_are_linked_meet_at_a_rare_shingle(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        text = list(words[: rng.choice([20, 40, 60])])
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            text[rng.randrange(len(text))] = rng.choice(["x", f"y{i}"])
+        rows.append((i, " ".join(text[rng.choice([0, 0, 2]) :]), i % 3))
+    sets = [shingles(t) for _, t, _ in rows]
+    texts = spark.createDataFrame(rows, "vertex long, text string, component long")
+    for percent, cap, sample in [(85, 512, 4096), (85, 4, 4096), (80, 3, 0)]:  # blocks of two; an order that knows nothing
+        counts = _prefixes.order_of(texts.limit(sample), 5)
+        places = minhash.materialize(_prefixes.prefixes(texts, 5, percent, counts), "places")
+        met = _prefixes.meetings(places, percent, cap).groupBy("cell").agg({"vertex": "collect_set"}).collect()
+        pairs = {(a, b) for r in met for a in r[1] for b in r[1] if a < b}
+        links = {(a, b) for a in range(150) for b in range(a) if rows[a][2] != rows[b][2] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert links and {(b, a) for a, b in links} <= pairs
+
+
 def test_orders_are_cut_where_neighbours_share_least():
     rng = np.random.default_rng(2)
     for cap in (1, 2, 5, 64):
