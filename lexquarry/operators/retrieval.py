@@ -12,18 +12,23 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import lexicon as L
 from ._groups import by_group
+from ._nearest import Best, matrix, unit as _unit
 from ..functions.text import availability_prior, inference_boost, repository_doi_prior, specific_score, word_tokens
 
-#: BM25's parameters; query vectors that a broadcast may hold, more go in blocks; rows of a block of vectors.
+#: BM25's parameters; query vectors that a broadcast may hold, more go in blocks.
 K1, B = 1.5, 0.75
-MOST_QUERIES, BLOCK = 20_000, 2048
+MOST_QUERIES = 20_000
+#: Nearest of all rows: rows of a share at least, rows of a block at most, tasks at least where there are rows enough; rows of a batch that leaves.
+BLOCK, STRIP, CELLS, OUT = 2048, 49_152, 48, 65_536
 EPSILON = 1e-8
 
 
@@ -62,8 +67,8 @@ def in_blocks(queries: DataFrame) -> Iterator[DataFrame]:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", q: tuple[str, str] = ("query_id", "query"), v: tuple[str, str] = ("id", "vector")) -> DataFrame:
-    """query_id, id, score, rank: the k nearest vectors for each query, by blocked matrix products. Queries are sent to
-    each task once, at most MOST_QUERIES at a time: each further block is another pass over the vectors."""
+    """query_id, id, score, rank: the k nearest vectors for each query, by products of tiles. Queries are sent to each task once, at most
+    MOST_QUERIES at a time: each further block is another pass over the vectors. A task keeps k rows for each query, whatever it reads."""
     kinds, rows = (dict(queries.dtypes)[q[0]], dict(vectors.dtypes)[v[0]]), queries.select(*q).toLocalIterator()
     found = _nearest(list(islice(rows, MOST_QUERIES)), kinds, vectors, k, metric, v)
     while block := list(islice(rows, MOST_QUERIES)):
@@ -72,59 +77,76 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
 
 
 def _nearest(rows: list, kinds: tuple[str, str], vectors: DataFrame, k: int, metric: str, v: tuple[str, str]) -> DataFrame:
-    """query_id, id, score: for the queries of one block, the k nearest of each batch of vectors."""
+    """query_id, id, score: for the queries of one block, the k nearest of each partition of vectors. There are as many partitions as keep the
+    executors busy, since each of them gives k rows for every query."""
     names = [r[0] for r in rows]
-    m = np.array([r[1] for r in rows], "f8").reshape(len(rows), -1 if rows else 0)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, _unit(m) if metric == "cosine" else m))
+    context = vectors.sparkSession.sparkContext
+    shared = context.broadcast((names, np.array([r[1] for r in rows], "f8").reshape(len(rows), -1 if rows else 0)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, m = shared.value
+        best = Best(np.arange(len(names)), m, k, metric)
         for batch in batches:
-            if not len(batch) or not names:
-                continue
-            x = np.array(batch["vector"].tolist(), "f8")
-            score = m @ _unit(x).T if metric == "cosine" else 1 - ((m * m).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * m @ x.T)
-            ids = batch["id"].to_numpy()
-            n = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :n]
-            yield pd.DataFrame({"query_id": np.repeat(np.array(names), n), "id": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+            if batch.num_rows and names:
+                best.see(batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1)))
+        i, ids, score = best.rows()
+        for at in range(0, len(i), OUT):
+            part = slice(at, at + OUT)
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i[part]], types[0]), pa.array(ids[part], types[1]), pa.array(score[part])], ["query_id", "id", "score"])
 
-    return vectors.select(F.col(v[0]).alias("id"), F.col(v[1]).alias("vector")).mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    types = _arrow(schema)
+    some = vectors.where(F.col(v[1]).isNotNull()).select(F.col(v[0]).alias("id"), F.col(v[1]).alias("vector"))
+    return some.coalesce(max(16, 2 * context.defaultParallelism)).mapInArrow(run, schema)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-300)
+def _arrow(schema: str) -> list[pa.DataType]:
+    return [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema)]
 
 
 def knn(vectors: DataFrame, k: int, include_self: bool = False, id_col: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
-    """id, neighbour, similarity, rank: the k nearest of all others by cosine. Exact, so quadratic: rows are dealt into
-    blocks by a hash of their id, each pair of blocks is one task of bounded size, and only the best k for each row leave it."""
-    if blocks is None:
-        blocks = max(1, -(-vectors.count() // BLOCK))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("own"))
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cells = rows.withColumn("other", F.explode(other)).select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def best(cell: pd.DataFrame) -> pd.DataFrame:
-        i, j = cell["i"].iloc[0], cell["j"].iloc[0]
-        own = cell["own"].to_numpy()
-        out = []
-        for a, b in ((i, j),) if i == j else ((i, j), (j, i)):
-            left, right = cell[own == a], cell[own == b]
-            if not len(left) or not len(right):
-                continue
-            s = _unit(np.array(left["v"].tolist(), "f8")) @ _unit(np.array(right["v"].tolist(), "f8")).T
-            ids = right["id"].to_numpy()
-            if a == b and not include_self:
-                s[left["id"].to_numpy()[:, None] == ids[None]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -s))[:, :k]
-            out.append(pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), order.shape[1]), "neighbour": ids[order].ravel(), "similarity": np.take_along_axis(s, order, 1).ravel()}))
-        out = pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
-        return out[np.isfinite(out["similarity"].astype("f8"))]
+    """id, neighbour, similarity, rank: the k nearest of all others by cosine. Exact, so quadratic in work, not in what is moved: a task has a
+    block of rows (at most about STRIP) and a share of all others passes by it, and only the best k for each of its rows leave it. Null vectors are left out."""
+    n = vectors.count()
+    tiles = max(1, -(-n // BLOCK))
+    blocks = blocks or max(-(-n // STRIP), min(4, tiles))
+    shares = min(tiles, -(-CELLS // blocks))
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    own, share = (F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(m)).cast("int") for i, m in enumerate((blocks, shares)))
+    to = lambda cell, passes: F.struct(cell.cast("int").alias("cell"), F.lit(passes).alias("passes"))
+    cells = F.concat(F.transform(F.sequence(F.lit(0), F.lit(shares - 1)), lambda s: to(own * shares + s, False)), F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: to(b * shares + share, True)))
+    dealt = rows.select("id", "v", F.explode(cells).alias("c")).select("c.*", "id", "v").repartitionById(blocks * shares, "cell").sortWithinPartitions("cell", "passes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, best = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            i, others, s = best.rows() if best is not None else ((), (), ())
+            for at in range(0, len(i), OUT):
+                part = slice(at, at + OUT)
+                yield pa.RecordBatch.from_arrays([pa.array(best.ids[i[part]], types[0]), pa.array(others[part], types[1]), pa.array(s[part])], ["id", "neighbour", "similarity"])
+
+        for batch in batches:
+            where = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.nonzero(np.diff(where))[0] + 1), len(where)] if len(where) else []
+            for start, end in zip(edges, edges[1:]):
+                piece = batch.slice(start, end - start)
+                if where[start] // 2 != cell:
+                    yield from done()
+                    cell, held, best = where[start] // 2, [], None
+                ids, x = piece.column(2).to_numpy(zero_copy_only=False), matrix(piece.column(3))
+                if not where[start] % 2:
+                    held.append((ids, x))
+                elif held:
+                    if best is None:
+                        best = Best(*(np.concatenate(c) for c in zip(*held)), k, others=not include_self)
+                    best.see(ids, x)
+        yield from done()
 
     kind = dict(vectors.dtypes)[id_col]
-    found = cells.groupBy("i", "j").applyInPandas(best, f"id {kind}, neighbour {kind}, similarity double")
-    return top(found, k, ["id"], "similarity", "neighbour")
+    schema = f"id {kind}, neighbour {kind}, similarity double"
+    types = _arrow(schema)
+    return top(dealt.mapInArrow(run, schema), k, ["id"], "similarity", "neighbour")
 
 
 def bm25_stats(chunks: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
