@@ -23,9 +23,10 @@ def by_group(df: DataFrame, key: str, order: list[str], f: Callable[[list[tuple]
                     out += f(group)
                     group = []
                 group.append(row)
+            if out:  # Arrow can't tell arrays in a frame without rows
+                yield pd.DataFrame(out, columns=names)
+        if group and (out := f(group)):
             yield pd.DataFrame(out, columns=names)
-        if group:
-            yield pd.DataFrame(f(group), columns=names)
 
     return df.repartition(parts, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 

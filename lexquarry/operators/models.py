@@ -63,7 +63,8 @@ def gram(vectors: DataFrame, by: str | None = None, vector: str = "embedding", o
                 x = x - x.mean(1, keepdims=True) if over == "rows" else x
                 n, g = held.get(k, (0, 0.0))
                 held[k] = n + len(x), g + x.T @ x
-        yield pd.DataFrame({"k": list(held), "n": [n for n, _ in held.values()], "g": [g.ravel() for _, g in held.values()]})
+        if held:  # Arrow can't tell lists in a frame without rows
+            yield pd.DataFrame({"k": list(held), "n": [n for n, _ in held.values()], "g": [g.ravel() for _, g in held.values()]})
 
     parts = vectors.select(key.alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(sums, f"k {kind}, n long, g array<double>")
     cells = parts.select("k", "n", F.posexplode("g").alias("i", "x")).groupBy("k", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
