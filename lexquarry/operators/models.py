@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .features import class_weights
+from .features import class_weights, running
 
 
 def pca(rows: DataFrame, k: int, vector: str = "embedding", prefix: str = "PCA_") -> DataFrame:
@@ -114,6 +114,17 @@ def projection(rows: DataFrame, k: int = 2, fit: Callable[[DataFrame, int], Data
     return out
 
 
+def median(rows: DataFrame, column: str) -> float | None:
+    """The exact median, between the two middle values if their number is even; null and NaN don't count, null without any value. From counts
+    by value, summed up by range, so no task sees all values."""
+    counted = rows.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
+    upto = running(counted, "v", ["n"])
+    whole = upto.agg(F.max("upto_n").alias("all"))  # one row
+    middle = upto.crossJoin(F.broadcast(whole)).where("2 * upto_n >= all and 2 * (upto_n - n) <= all")  # the values that hold a middle place
+    low, high = middle.agg(F.min("v"), F.max("v")).first()
+    return None if low is None else (low + high) / 2
+
+
 def impute(rows: DataFrame, columns: list[str]) -> DataFrame:
     return Imputer(strategy="median", inputCols=columns, outputCols=columns).fit(rows).transform(rows)
 
