@@ -142,8 +142,8 @@ def split_by_group(rows: DataFrame, group: str, share: float = 0.2, seed: int =
 
 def folds(rows: DataFrame, group: str, k: int = 5, seed: int = 42, label: str | None = None, bucket: int = 5000) -> DataFrame:
     """rows with fold, 0 to k - 1; a group is in one fold, and reruns agree. Without a label by a hash of the group. With one, groups are dealt
-    in turn, those of each label (a group's is its greatest) by themselves: folds of a label differ by one group at most for each `bucket`
-    groups, which are numbered within random buckets, so that no task sees all of a label."""
+    in turn, those of each label (a group's is its greatest) by themselves: folds of a label differ by one group at most. Groups are numbered
+    within random buckets of about `bucket`, after the counts of the buckets before, so that no task sees all of a label."""
     if label is None:
         return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(group).cast("string")), F.lit(k)).cast("int"))
     from pyspark.sql import Window as W
@@ -153,7 +153,11 @@ def folds(rows: DataFrame, group: str, k: int = 5, seed: int = 42, label: str |
     buckets = max(1, groups.count() // bucket)
     nth = F.row_number().over(W.partitionBy("_l", "_b").orderBy(place, "_g"))
     dealt = groups.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_g").cast("string")), F.lit(buckets)))
-    dealt = dealt.select("_g", F.pmod(nth + F.col("_b"), F.lit(k)).cast("int").alias("fold"))
+    sizes = dealt.groupBy("_l", "_b").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy("_l").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # a row a bucket
+    before = sizes.select(F.col("_l").alias("_m"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    dealt = dealt.withColumn("_nth", nth).join(before, F.col("_l").eqNullSafe(F.col("_m")) & (F.col("_b") == F.col("_c")))
+    dealt = dealt.select("_g", F.pmod(F.col("_nth") + F.col("_before"), F.lit(k)).cast("int").alias("fold"))
     return rows.join(dealt, rows[group].eqNullSafe(dealt["_g"])).select(*rows.columns, "fold")
 
 
