@@ -61,14 +61,14 @@ def clusters(vertices: DataFrame, edges: DataFrame, resolution: float = 0.0, rou
     """id, cluster by label propagation over links of at least `resolution`, an approximation of modularity clustering: each round a
     vertex takes the label with the greatest weight around it (its own counts a little), ties to the smallest. Deterministic."""
     links = edges.where(F.col("weight") >= resolution).select("src", "dst", "weight")
-    links = links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    links = written(links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "links")  # read in each round
     labels = vertices.select(F.col(id_col).alias("id"), F.col(id_col).alias("cluster"))
     for _ in range(rounds):
         votes = links.join(labels, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
         votes = votes.union(labels.select("id", "cluster", F.lit(1e-6).alias("w")))
         votes = votes.groupBy("id", "cluster").agg(F.round(F.sum("w"), 9).alias("w"))
         labels = votes.groupBy("id").agg(F.min_by("cluster", F.struct(-F.col("w"), "cluster")).alias("cluster"))
-        labels = labels.checkpoint() if labels.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else labels
+        labels = written(labels, "labels")  # a round reads the last one twice
     return labels
 
 
