@@ -126,7 +126,9 @@ def median(rows: DataFrame, column: str) -> float | None:
 
 
 def impute(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return Imputer(strategy="median", inputCols=columns, outputCols=columns).fit(rows).transform(rows)
+    """rows with the column's median where it is null or NaN."""
+    filled = {c: F.when(F.col(c).isNull() | F.isnan(c), F.lit(median(rows, c)).cast(dict(rows.dtypes)[c])).otherwise(F.col(c)) for c in columns}
+    return rows.withColumns(filled)
 
 
 def correlation_matrix(rows: DataFrame, columns: list[str]) -> list[list[float]]:
