@@ -7,6 +7,9 @@ a top-k has bounded before.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -20,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import lexicon as L
+from ..session import written
 from ._groups import by_group
 from ._nearest import Best, matrix, unit as _unit
 from ..functions.text import availability_prior, inference_boost, repository_doi_prior, specific_score, word_tokens
@@ -30,6 +34,9 @@ MOST_QUERIES = 20_000
 #: Nearest of all rows: rows of a share at least, rows of a block at most, tasks at least where there are rows enough; rows of a batch that leaves.
 BLOCK, STRIP, CELLS, OUT = 2048, 49_152, 48, 65_536
 EPSILON = 1e-8
+#: Tokens of lower-case texts, as word_tokens() finds them; terms that a worker may hold.
+TOKEN = re.compile("[A-Za-z0-9_]+")
+MOST_TERMS = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -159,14 +166,39 @@ def bm25_stats(chunks: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     return terms, df.select("term", "df", idf.alias("idf")), lengths
 
 
+def _term_counts(chunks: DataFrame, terms: list[str], text: str, sizes: bool) -> DataFrame:
+    """chunk_id, term, tf, length: how often a chunk has each of the terms, and with sizes a row without term for each chunk."""
+    kind = dict(chunks.dtypes)["chunk_id"]
+    schema = f"chunk_id {kind}, term string, tf double, length double"
+    types, shared = _arrow(schema), chunks.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            out: list[tuple] = []
+            for cid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = TOKEN.findall(t or "")
+                length = None if t is None else float(len(tokens))
+                if sizes:
+                    out.append((cid, None, None, length))
+                out += [(cid, w, float(n), length) for w, n in Counter(w for w in tokens if w in wanted).items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], ["chunk_id", "term", "tf", "length"])
+
+    return chunks.select("chunk_id", F.lower(text).alias("t")).mapInArrow(run, schema)
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, text: str = "text") -> DataFrame:
     """query_id, chunk_id, score, rank. queries: query_id, text; repeated query terms count repeatedly. Only terms of queries
-    are counted in the corpus, so what is shuffled follows the matches, not the corpus."""
+    are counted in the corpus, in one pass over it for each MOST_TERMS of them, so what is written and shuffled follows the matches."""
     wanted = queries.select("query_id", F.explode(word_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    tokens = chunks.select("chunk_id", word_tokens(text).alias("_t")).withColumn("length", F.size("_t"))
-    corpus = tokens.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("avg_length"))
-    hits = tokens.select("chunk_id", "length", F.explode("_t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy("chunk_id", "term").agg(F.count("*").cast("double").alias("tf"), F.first("length").cast("double").alias("length"))
+    terms = (r.term for r in wanted.select("term").distinct().toLocalIterator())
+    counts = _term_counts(chunks, list(islice(terms, MOST_TERMS)), text, True)
+    while block := list(islice(terms, MOST_TERMS)):
+        counts = counts.union(_term_counts(chunks, block, text, False))
+    counts = written(counts, "terms")
+    corpus = counts.where("term is null").agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("avg_length"))
+    hits = counts.where("term is not null")
     d = lambda x: F.lit(float(x))
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     scored = hits.join(df, "term").crossJoin(F.broadcast(corpus)).join(wanted, "term")  # corpus: one row
@@ -215,14 +247,14 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 25, per_signal: int |
     n = per_signal or 3 * k
     sparse = bm25(queries, chunks, n).select("query_id", F.lit("sparse").alias("list"), F.col("chunk_id").alias("id"), "rank")
     dense = nearest(queries, chunks, n, q=("query_id", "vector"), v=("chunk_id", "vector")).select("query_id", F.lit("dense").alias("list"), "id", "rank")
-    fused = top(rank_fusion(sparse.union(dense), max(5, n // 2)), 2 * n, ["query_id"], "score", "id")
+    fused = rank_fusion(sparse.union(dense), max(5, n // 2))
     if prototypes:
         spark = queries.sparkSession
         liked = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(prototypes)], "prototype_id int, vector array<double>")
         pool = nearest(liked, chunks, n, q=("prototype_id", "vector"), v=("chunk_id", "vector")).select("id").distinct()  # n a prototype at most
         pairs = queries.select("query_id").crossJoin(F.broadcast(pool))
-        fused = fused.drop("rank").join(pairs, ["query_id", "id"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        fused = fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+        fused = fused.join(pairs, ["query_id", "id"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    fused = written(fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))), "fused")
     # rules read a candidate's text once, however many queries it is a candidate of
     texts = chunks.select(F.col("chunk_id").alias("id"), "text", "vector").join(fused.select("id").distinct(), "id", "left_semi")
     affinity = prototype_affinity(chunks, prototypes, m, "vector") if prototypes else F.lit(0.0)
@@ -376,11 +408,34 @@ def as_vectors(long: DataFrame, key: str, dims: int = 64) -> DataFrame:
     return v.select(key, F.transform("v", lambda x: F.coalesce(F.try_divide(x, norm(F.col("v"))), F.lit(0.0))).alias("embedding"))
 
 
+def embedding(text: str | Column, dims: int = 64) -> Column:
+    """The vector of as_vectors(hash_embedding()), text by text, without a row for each token; null without tokens."""
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        place: dict[str, int] = {}
+
+        def one(t: str | None) -> np.ndarray | None:
+            tokens = TOKEN.findall(t or "")
+            if not tokens:
+                return None
+            if len(place) > MOST_TERMS:
+                place.clear()
+            for w in {w for w in tokens if w not in place}:
+                h = hashlib.md5(w.encode()).hexdigest()
+                place[w] = int(h[:6], 16) % dims + (0 if int(h[6], 16) < 8 else dims)
+            n = np.bincount([place[w] for w in tokens], minlength=2 * dims)
+            v = (n[:dims] - n[dims:]).astype("f8")
+            return v / np.sqrt((v * v).sum()) if v.any() else v
+
+        return texts.map(one)
+
+    return of(F.lower(F.col(text) if isinstance(text, str) else text))
+
+
 def with_vectors(texts: DataFrame, key: str, text: str = "text", dims: int = 64) -> DataFrame:
-    """Every row of texts with its vector, a hash embedding; without tokens zeros. key: unique and not null."""
-    vectors = as_vectors(hash_embedding(texts, key, text, dims), key, dims).withColumnRenamed("embedding", "vector")
+    """Every row of texts with its vector, a hash embedding; without tokens zeros."""
     zeros = F.array_repeat(F.lit(0.0).cast("double"), dims)
-    return texts.join(vectors, key, "left").withColumn("vector", F.coalesce("vector", zeros))
+    return texts.withColumn("vector", F.coalesce(embedding(text, dims), zeros))
 
 
 def within_group(queries: DataFrame, vectors: DataFrame, k: int, by: str) -> DataFrame:
@@ -457,17 +512,18 @@ def two_pass_context(queries: DataFrame, chunks: DataFrame, embed: Callable[[Dat
 
 
 def corpus_context(queries: DataFrame, chunks: DataFrame, k: int = 200, percentile: float = 0.7) -> DataFrame:
-    """query_id, document_id, pre, anchor, post: triplets around the chunks that each query ranks best over the whole corpus: hybrid scores,
-    collapse of neighbours within query and document, percentile gate, diversity."""
+    """query_id, document_id, pre, anchor, post, position: triplets around the chunks that each query ranks best over the whole corpus: hybrid
+    scores, collapse of neighbours within query and document, percentile gate, diversity. Every anchor past the gate stays; position is its
+    place by relevance and diversity."""
     ranked = hybrid(queries, chunks, k).withColumnRenamed("id", "chunk_id")
     info = ranked.join(chunks.select("chunk_id", "document_id", "vector", "previous_chunk_id", "next_chunk_id"), "chunk_id")
-    info = info.withColumn("key", F.to_json(F.struct("query_id", "document_id")))
+    info = written(info.withColumn("key", F.to_json(F.struct("query_id", "document_id"))), "ranked")  # k rows a query
     kept = collapse_neighbours(info.select("key", "document_id", "chunk_id", "rank", "fused", "query_id", "vector", "previous_chunk_id", "next_chunk_id"), by="key")
     gated = percentile_gate(kept, "fused", percentile, ["query_id"])
     wanted = gated.join(queries.select("query_id", F.col("vector").alias("query")), "query_id")
-    chosen = mmr(wanted.select("query_id", F.col("chunk_id").alias("id"), "query", "vector"), k).select("query_id", F.col("id").alias("anchor"))
+    chosen = mmr(wanted.select("query_id", F.col("chunk_id").alias("id"), "query", "vector"), k).select("query_id", F.col("id").alias("anchor"), F.col("mmr_rank").alias("position"))
     around = info.select("query_id", "document_id", F.col("chunk_id").alias("anchor"), F.col("previous_chunk_id").alias("pre"), F.col("next_chunk_id").alias("post"))
-    return chosen.distinct().join(around.distinct(), ["query_id", "anchor"]).select("query_id", "document_id", "pre", "anchor", "post")
+    return chosen.join(around.distinct(), ["query_id", "anchor"]).select("query_id", "document_id", "pre", "anchor", "post", "position")
 
 
 def with_target(retrieved: DataFrame, targets: DataFrame, key: str = "dataset_id") -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import citations as C
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..operators import chunking, features, graph, quality, retrieval
-from ..session import table
+from ..session import table, written
 from ..sources import readers
 
 QUERIES: dict = {}
@@ -475,7 +475,7 @@ def rank_neighbour_boost(spark, d):
 def hybrid_score(spark, d):
     from ..operators import retrieval as r
 
-    chunks = r.with_vectors(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), _cited().alias("text")), "chunk_id")
+    chunks = written(r.with_vectors(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), _cited().alias("text")), "chunk_id"), "texts")
     q = r.with_vectors(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
     return r.hybrid(q, chunks, 10)
 

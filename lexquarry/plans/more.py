@@ -85,7 +85,7 @@ def within_group_topk(spark, d):
 def _text_vectors(spark, d):
     """The stated queries (documents with ids divisible by 50) and all documents, each with a vector of its text."""
     texts = _docs(spark, d).select(F.col("doc_id").alias("id"), _cited().alias("text"), (F.col("doc_id") % 4 < 3).alias("cited"), "source")
-    chunks = retrieval.with_vectors(texts, "id")
+    chunks = written(retrieval.with_vectors(texts, "id"), "texts")  # read for queries, prototypes, neighbours and texts
     return chunks.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), chunks
 
 
@@ -104,7 +104,7 @@ def boosted_dense(spark, d):
 
 def _embedded(spark, d):
     chunks = chunking.link(chunking.chunk(_docs(spark, d).select("doc_id", _cited().alias("text")))).withColumnRenamed("doc_id", "document_id")
-    return jobs.embed_chunks(chunks).withColumnRenamed("chunk_text", "text").withColumnRenamed("embedding", "vector")
+    return written(jobs.embed_chunks(chunks).withColumnRenamed("chunk_text", "text").withColumnRenamed("embedding", "vector"), "chunks")
 
 
 def _one_query(spark):
