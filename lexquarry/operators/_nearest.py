@@ -5,6 +5,8 @@ A pair's score is summed up component by component, so it depends on the pair al
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 
@@ -41,6 +43,12 @@ class Best:
         self.score, self.best = np.full((len(x), k), -np.inf), None
         self.room = np.empty(ROWS * COLUMNS, self.approximate.dtype)
 
+    def again(self) -> Best:
+        """The same block without partners yet; what does not change is shared."""
+        new = copy.copy(self)
+        new.low, new.score, new.best = np.full_like(self.low, -np.inf), np.full_like(self.score, -np.inf), None
+        return new
+
     def see(self, ids: np.ndarray, y: np.ndarray) -> None:
         if self.best is None:
             self.best = np.zeros((len(self.low), self.k), ids.dtype)

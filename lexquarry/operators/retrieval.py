@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -37,6 +38,8 @@ EPSILON = 1e-8
 #: Tokens of lower-case texts, as word_tokens() finds them; terms that a worker may hold.
 TOKEN = re.compile("[A-Za-z0-9_]+")
 MOST_TERMS = 200_000
+#: Labels whose best scores a task holds.
+HELD = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -438,10 +441,91 @@ def with_vectors(texts: DataFrame, key: str, text: str = "text", dims: int = 64)
     return texts.withColumn("vector", F.coalesce(embedding(text, dims), zeros))
 
 
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    rows = queries.toLocalIterator()
+    while block := list(islice(rows, MOST_QUERIES)):
+        yield block
+
+
 def within_group(queries: DataFrame, vectors: DataFrame, k: int, by: str) -> DataFrame:
-    """query_id, id, score, rank: the k nearest vectors of each query's own group. An equi-join by group; a group is never gathered."""
-    pairs = vectors.join(queries, by)
-    return top(pairs.select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("score")), k, ["query_id"], "score", "id")
+    """query_id, id, score, rank: the k nearest vectors of each query's own group, by tiles. A group is never gathered, and no pair becomes a row.
+    Queries without a group find nothing."""
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+    context, schema = vectors.sparkSession.sparkContext, f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    types = _arrow(schema)
+    some = vectors.where(F.col("vector").isNotNull() & F.col(by).isNotNull()).select("id", "vector", by).coalesce(max(16, 2 * context.defaultParallelism))
+
+    def of(block: list) -> DataFrame:
+        groups: dict = {}
+        for name, v, g in block:
+            groups.setdefault(g, ([], []))[0].append(name)
+            groups[g][1].append(v)
+        shared = context.broadcast({g: (names, np.array(v, "f8")) for g, (names, v) in groups.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict = {}
+            for batch in batches:
+                for g, ids, x in _by_label(batch):
+                    if g in shared.value:
+                        if g not in held:
+                            held[g] = Best(np.arange(len(shared.value[g][0])), shared.value[g][1], k)
+                        held[g].see(ids, x)
+            for g, best in held.items():
+                i, ids, score = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array([shared.value[g][0][n] for n in i], types[0]), pa.array(ids, types[1]), pa.array(score)], ["query_id", "id", "score"])
+
+        return some.mapInArrow(run, schema)
+
+    found = [of(block) for block in _blocks(queries.select("query_id", "query", by).where(F.col(by).isNotNull()))]
+    empty = vectors.sparkSession.createDataFrame([], schema)
+    return top(reduce(DataFrame.union, found, empty), k, ["query_id"], "score", "id")
+
+
+def _by_label(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(label, ids, vectors) of a batch's columns id, vector and label."""
+    if batch.num_rows:
+        coded = batch.column(2).dictionary_encode(null_encoding="encode")
+        codes, labels = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ids, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
+        for n, label in enumerate(labels):
+            rows = np.nonzero(codes == n)[0]
+            yield label, ids[rows], x[rows]
+
+
+def best_labels(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, label, score, rank: the k labels whose best vector (id, vector, label) is nearest to each query, by tiles. A task holds the best of
+    HELD labels at most; then it gives those that are among the query's k best of these (or tie), which no label of the result can fail to be."""
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["label"]
+    context, schema = vectors.sparkSession.sparkContext, f"query_id {kinds[0]}, label {kinds[1]}, score double"
+    types = _arrow(schema)
+    some = vectors.where(F.col("vector").isNotNull()).select("id", "vector", "label").coalesce(max(16, 2 * context.defaultParallelism))
+
+    def of(block: list) -> DataFrame:
+        shared = context.broadcast(([r[0] for r in block], np.array([r[1] for r in block], "f8")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, m = shared.value
+            none, held = Best(np.arange(len(names)), m, 1), {}
+
+            def given() -> Iterator[pa.RecordBatch]:
+                labels = list(held)
+                s = np.column_stack([held[x].score[:, 0] for x in labels]) if labels else np.zeros((0, 0))
+                least = np.partition(s, -k, axis=1)[:, -k] if len(labels) > k else np.full(len(s), -np.inf)
+                i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array([names[n] for n in i], types[0]), pa.array([labels[n] for n in j], types[1]), pa.array(s[i, j])], ["query_id", "label", "score"])
+
+            for batch in batches:
+                for label, ids, x in _by_label(batch):
+                    if label not in held and len(held) == HELD:
+                        yield from given()
+                        held = {}
+                    held.setdefault(label, none.again() if label not in held else None).see(ids, x)
+            yield from given()
+
+        return some.mapInArrow(run, schema)
+
+    found = reduce(DataFrame.union, [of(block) for block in _blocks(queries.select("query_id", "query"))], vectors.sparkSession.createDataFrame([], schema))
+    return best_scores(found, k, id_col="label")
 
 
 def training_retrieval(queries: DataFrame, chunks: DataFrame, k: int = 3, boost: float = 0.15, fuse: bool = True) -> DataFrame:
@@ -452,15 +536,23 @@ def training_retrieval(queries: DataFrame, chunks: DataFrame, k: int = 3, boost:
     near = nearest(queries, chunks, 5 * k)
     if not fuse:
         return near.where(F.col("rank") <= k)
-    joined = near.drop("rank").join(chunks.select("id", "text", "cited"), "id")
-    return top(joined.select("query_id", "id", (F.col("score") + F.lit(boost) * training_boost("text", F.col("cited"))).alias("score")), k, ["query_id"], "score", "id")
+    near = written(near, "near")
+    rules = _candidates(near, chunks).select("id", training_boost("text", F.col("cited")).alias("_b"))
+    joined = near.drop("rank").join(rules, "id")
+    return top(joined.select("query_id", "id", (F.col("score") + F.lit(boost) * F.col("_b")).alias("score")), k, ["query_id"], "score", "id")
+
+
+def _candidates(near: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks that are near to any query, each once: rules read a text once and no text is copied for each query."""
+    return chunks.join(near.select("id").distinct(), "id", "left_semi")
 
 
 def boosted_dense(queries: DataFrame, chunks: DataFrame, prototypes: DataFrame | None = None, k: int = 25, presence: float = 0.5) -> DataFrame:
     """query_id, id, score, rank: scaled cosine plus keyword boost, plus `presence` for chunks among the k nearest of a prototype."""
-    near = nearest(queries, chunks, 5 * k)
-    joined = near.withColumn("scaled", minmax("score", ["query_id"])).join(chunks.select("id", "text"), "id")
-    score = F.col("scaled") + inference_boost("text")
+    near = written(nearest(queries, chunks, 5 * k), "near")
+    rules = _candidates(near, chunks).select("id", inference_boost("text").alias("_b"))
+    joined = near.withColumn("scaled", minmax("score", ["query_id"])).join(rules, "id")
+    score = F.col("scaled") + F.col("_b")
     if prototypes is not None:
         liked = nearest(prototypes, chunks, k).select("id").distinct().withColumn("liked", F.lit(True))
         joined = joined.join(liked, "id", "left")

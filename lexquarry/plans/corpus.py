@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -397,11 +395,9 @@ def cosine_topk(spark, d):
 
 @query(f"WITH {_NEAR} SELECT query_id, label, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label)::INT AS rank FROM (SELECT query_id, label, max(score) AS score FROM near JOIN v ON v.vec_id = near.id GROUP BY ALL)) WHERE rank <= 5")
 def best_score_topk(spark, d):
-    q, v = _stated(spark, d)
-    labelled = v.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
-    score = retrieval.cosine(F.col("vector"), F.col("query")).alias("score")
-    best = [retrieval.best_scores(labelled.join(F.broadcast(block)).select("query_id", F.col("label").alias("id"), score), 5) for block in retrieval.in_blocks(q)]
-    return reduce(DataFrame.union, best).select("query_id", F.col("id").alias("label"), F.round("score", 6).alias("score"), "rank")
+    q, _ = _stated(spark, d)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return retrieval.best_labels(q, v, 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH v AS ({_V}), p AS (SELECT vec_id AS p_id, e AS pe FROM v WHERE vec_id < 3),
