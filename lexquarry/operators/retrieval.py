@@ -66,16 +66,6 @@ def best_scores(hits: DataFrame, k: int, query: str = "query_id", id_col: str =
     return top(hits.groupBy(query, id_col).agg(F.max(score).alias(score)), k, [query], score, id_col)
 
 
-def in_blocks(queries: DataFrame) -> Iterator[DataFrame]:
-    """All queries, in DataFrames of at most MOST_QUERIES rows that may be broadcast; one empty if there are none."""
-    rows = queries.toLocalIterator()
-    block = list(islice(rows, MOST_QUERIES))
-    while True:
-        yield queries.sparkSession.createDataFrame(block, queries.schema)
-        if not (block := list(islice(rows, MOST_QUERIES))):
-            return
-
-
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", q: tuple[str, str] = ("query_id", "query"), v: tuple[str, str] = ("id", "vector")) -> DataFrame:
     """query_id, id, score, rank: the k nearest vectors for each query, by products of tiles. Queries are sent to each task once, at most
     MOST_QUERIES at a time: each further block is another pass over the vectors. A task keeps k rows for each query, whatever it reads."""
